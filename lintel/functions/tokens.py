@@ -47,7 +47,7 @@ TOKEN_RE = "|".join([STRING_RE, COMMENT_RE, CONTINUATION_RE, NEWLINE_RE, NUMBER_
 # Token kinds.
 K_SKIP, K_NL, K_STR, K_NUM, K_NAME, K_CONST, K_KW, K_OP = range(8)
 OPERAND_KINDS = (K_STR, K_NUM, K_NAME, K_CONST)
-OP_CHARS = "*/%@&|^~<>=(){}[],:;.-+"
+OP_CHARS = "*/%@&|^~<>=(){}[],:;.-+!"
 
 
 def sql_str(v: str) -> str:
@@ -115,17 +115,18 @@ def _category_sql(x: str) -> str:
 
 HARD_HEADS = [k for k, _ in R.HEAD_NODE if k not in ("match", "case")]
 SOFT_HEADS = ["match", "case"]
-# A soft keyword opens a statement when the next token can start a pattern
-# or subject: a name, number, string, bracket or minus sign.
+# A soft keyword opens a statement when it starts a line and the next token
+# can start a pattern or subject: a name, number, string, bracket or minus.
 SOFT_NEXT_RE = r"""^[\p{L}_0-9"'(\[{-]"""
 
 
 def _head_sql(x: str) -> str:
-    t, k, nt = f"{x}.t", f"{x}.k", f"{x}.nt"
+    t, k, nt, pk = f"{x}.t", f"{x}.k", f"{x}.nt", f"{x}.pk"
     return (
         "CASE "
         f"WHEN {k} = {K_KW} AND {t} IN ({_sql_list(HARD_HEADS)}) THEN {t} "
-        f"WHEN {k} = {K_NAME} AND {t} IN ({_sql_list(SOFT_HEADS)}) AND {nt} RLIKE {sql_str(SOFT_NEXT_RE)} THEN {t} "
+        f"WHEN {k} = {K_NAME} AND {t} IN ({_sql_list(SOFT_HEADS)}) AND coalesce({pk}, {K_NL}) = {K_NL} "
+        f"AND {nt} RLIKE {sql_str(SOFT_NEXT_RE)} THEN {t} "
         "END"
     )
 
@@ -142,7 +143,8 @@ def with_tokens(df, content: str = "content", out: str = "tokens"):
     df = df.withColumn(tmp, F.expr(kept_tokens_sql(f"`{content}`")))
     look = (
         f"transform(`{tmp}`, (x, i) -> named_struct('t', x.t, 'k', x.k, "
-        f"'nt', try_element_at(`{tmp}`, i + 2).t))"
+        f"'nt', try_element_at(`{tmp}`, i + 2).t, "
+        f"'pk', CASE WHEN i > 0 THEN element_at(`{tmp}`, i).k END))"
     )
     full = (
         f"transform({look}, y -> named_struct('t', y.t, 'k', y.k, 'nt', y.nt, "

@@ -79,7 +79,8 @@ def structure(df: DataFrame, content: str = "content", count_keywords: bool = Fa
     """
     df = TK.with_tokens(df, content, "__tok")
     df = df.withColumn("__s", F.expr(ST.fold_sql("__tok")))
-    opd = F.filter("__tok", lambda x: x["k"].isin(*TK.OPERAND_KINDS))
+    # soft keywords that open a statement are keywords, not operands
+    opd = F.filter("__tok", lambda x: x["k"].isin(*TK.OPERAND_KINDS) & x["h"].isNull())
     df = df.withColumn("__opd", F.transform(opd, lambda x: x["t"]))
     if count_keywords:
         kw = F.filter("__tok", lambda x: (x["k"] == TK.K_KW) & x["t"].isin(*R.OPERATOR_KEYWORDS))
