@@ -131,16 +131,27 @@ def _head_sql(x: str) -> str:
     )
 
 
+def materialize(df, expr, name: str):
+    """Add ``expr`` as column ``name``, computed exactly once per row.
+
+    A one-element ``inline`` generator is an optimizer barrier: projections
+    and pushed-down filters above it cannot inline ``expr`` into lambdas
+    (where it would be re-evaluated per array element). It adds no shuffle
+    and no copy of the row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(expr.alias(name)))))
+
+
 def with_tokens(df, content: str = "content", out: str = "tokens"):
-    """Add ``out`` = ``array<struct<t, k, nt, c, h>>``.
+    """Add ``out`` = ``array<struct<t, k, nt, pk, c, h>>``.
 
-    ``nt`` is the next token's text (lookahead for ``not in`` and soft
-    keywords), ``c`` the operator category, ``h`` the statement head the
-    token would open if it started a line. Two projections so the regex runs
-    once per row; the lookahead reads the materialised array column.
+    ``nt``/``pk`` are the next token's text and the previous token's kind
+    (lookahead for ``not in`` and soft keywords), ``c`` the operator
+    category, ``h`` the statement head the token would open if it started a
+    line. The regex runs once per row (materialised before the lookahead).
     """
     tmp = f"__{out}_kept"
-    df = df.withColumn(tmp, F.expr(kept_tokens_sql(f"`{content}`")))
+    df = materialize(df, F.expr(kept_tokens_sql(f"`{content}`")), tmp)
     look = (
         f"transform(`{tmp}`, (x, i) -> named_struct('t', x.t, 'k', x.k, "
         f"'nt', try_element_at(`{tmp}`, i + 2).t, "
@@ -150,4 +161,4 @@ def with_tokens(df, content: str = "content", out: str = "tokens"):
         f"transform({look}, y -> named_struct('t', y.t, 'k', y.k, 'nt', y.nt, "
         f"'c', {_category_sql('y')}, 'h', {_head_sql('y')}))"
     )
-    return df.withColumn(out, F.expr(full)).drop(tmp)
+    return materialize(df, F.expr(full), out).drop(tmp)
