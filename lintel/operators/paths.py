@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintel import rules as R
+from lintel.functions.tokens import materialize
 
 
 def _lcp_len(a: Column, b: Column) -> Column:
@@ -116,7 +117,9 @@ def path_edges(files: DataFrame, path: str = "file_path") -> DataFrame:
     """
     names = root_names(files, path)
     pre = names.select("common_prefix").scalar()
-    rel = F.filter(F.split(F.substring(F.col(path), F.length(pre) + 1, 1 << 30), "/"), lambda s: s != "")
+    # the scalar subquery is evaluated outside any higher-order function
+    files = materialize(files.select(path), F.substring(F.col(path), F.length(pre) + 1, 1 << 30), "__relpath")
+    rel = F.filter(F.split(F.col("__relpath"), "/"), lambda s: s != "")
     n = F.size(rel)
     links = F.transform(
         F.sequence(F.lit(1), F.greatest(n, F.lit(1))),

@@ -376,8 +376,11 @@ def q_stream_upsert(spark, sf):
 
 def q_stream_debt_window(spark, sf):
     ev = C.table(spark, sf, "events")
-    return STR.stream_window_counts(spark, os.path.join(sf, "events.parquet"), ev.schema, "ts",
-                                    ["event_type"], "value", window="1 hour", watermark="1 hour")
+    src = scratch_path(spark, f"events-win-{uuid.uuid4().hex[:8]}")
+    ev.write.parquet(src)
+    out = STR.stream_window_counts(spark, src, ev.schema, "ts", ["event_type"], "value",
+                                   window="1 hour", watermark="1 hour")
+    return out.withColumn("value_sum", F.round("value_sum", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

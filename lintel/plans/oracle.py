@@ -143,15 +143,15 @@ im AS (SELECT li.file_path, regexp_extract(li.file_path, '[^/]*$') AS file_name,
 RESPONSES = f"""
 rs AS (SELECT {CODE_PATH} AS file_path, conv_id, turn,
   CASE conv_id % 6
-    WHEN 0 THEN '```json' || {NL} || '{{"has_bug": true, "issue": "' || regexp_replace(substr(text, 1, 40), '[^\\p{{L}} ]', '', 'g')
+    WHEN 0 THEN '```json' || {NL} || '{{"has_bug": true, "issue": "' || regexp_replace(substr(c.text, 1, 40), '[^\\p{{L}} ]', '', 'g')
          || '", "severity": "' || ['high', 'medium', 'low'][turn % 3 + 1] || '"}}' || {NL} || '```'
     WHEN 1 THEN '{{"has_bug": ' || CASE WHEN turn % 4 = 1 THEN 'true' ELSE 'false' END || ', "issue": "'
-         || regexp_replace(substr(text, 1, 40), '[^\\p{{L}} ]', '', 'g') || '"}}'
+         || regexp_replace(substr(c.text, 1, 40), '[^\\p{{L}} ]', '', 'g') || '"}}'
     WHEN 2 THEN '{{"has_bug": true}}'
     WHEN 3 THEN '[1, 2, 3]'
-    WHEN 4 THEN text
-    ELSE 'Found an error: ' || text END AS response
-  FROM conversations JOIN documents ON conv_id = doc_id WHERE role = 'assistant'),
+    WHEN 4 THEN c.text
+    ELSE 'Found an error: ' || c.text END AS response
+  FROM conversations c JOIN documents ON c.conv_id = doc_id WHERE c.role = 'assistant'),
 rj AS (SELECT *, trim(response, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS t0 FROM rs),
 rk AS (SELECT *, trim(CASE WHEN starts_with(t0, '```') AND len(string_split(t0, '```')) > 1
                      THEN regexp_replace(string_split(t0, '```')[2], '^json', '') ELSE t0 END,
@@ -341,8 +341,8 @@ SELECT file_path,
          ELSE 'NoneType' END || chr(39) || ' object has no attribute ' || chr(39) || 'get' || chr(39) END AS issue,
   CASE WHEN kind = 'obj' THEN coalesce(j->>'severity', 'low') WHEN kind = 'bad' THEN 'none' ELSE 'medium' END
     AS severity,
-  CASE WHEN kind = 'obj' THEN coalesce(json_array_length(j->'suggestions'), 0)
-       WHEN kind = 'bad' THEN CASE WHEN length(response) > 0 THEN 1 ELSE 0 END ELSE 0 END AS n_suggestions,
+  CAST(CASE WHEN kind = 'obj' THEN coalesce(json_array_length(j->'suggestions'), 0)
+       WHEN kind = 'bad' THEN CASE WHEN length(response) > 0 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS n_suggestions,
   CASE WHEN kind = 'obj' THEN j->'suggestions'->>0
        WHEN kind = 'bad' THEN CASE WHEN length(response) > 0 THEN substr(response, 1, 200) END END AS first_suggestion
 FROM rq""")
@@ -574,4 +574,4 @@ QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY last_analyzed DESC, s
 
 SQL["stream_debt_window"] = """
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type,
-  count(*) AS events, sum(value) AS value_sum FROM events GROUP BY ALL"""
+  count(*) AS events, round(sum(value), 6) AS value_sum FROM events GROUP BY ALL"""
