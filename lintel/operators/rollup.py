@@ -16,11 +16,14 @@ from lintel.functions import bands as B
 def project_health(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A1: files, avg MI (100 if none), total debt, avg cognitive (0 if none), total LOC."""
     by = by or []
+    # mean MI from exact hundredths: the same IEEE division in every engine,
+    # so no summation-order drift between runs or engines
+    mi_cents = F.sum(F.round(F.col("maintainability_index") * 100).cast("long"))
     aggs = [
         F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.avg("maintainability_index"), F.lit(100.0)).alias("avg_mi"),
+        F.coalesce(mi_cents / F.count(F.lit(1)) / 100.0, F.lit(100.0)).alias("avg_mi"),
         F.coalesce(F.sum("sqale_debt_hours"), F.lit(0).cast("decimal(22,2)")).alias("total_debt_hours"),
-        F.coalesce(F.avg("cognitive_complexity"), F.lit(0.0)).alias("avg_cognitive"),
+        F.coalesce(F.sum("cognitive_complexity") / F.count(F.lit(1)), F.lit(0.0)).alias("avg_cognitive"),
         F.coalesce(F.sum("lines_of_code"), F.lit(0).cast("long")).alias("total_loc"),
     ]
     g = metrics.groupBy(*by).agg(*aggs) if by else metrics.agg(*aggs)
@@ -31,17 +34,15 @@ def health_dashboard(metrics: DataFrame, by: list[str] | None = None) -> DataFra
     """A1 with the gauge classifications."""
     h = project_health(metrics, by)
     return h.select(
-        *(by or []), "files",
-        F.round("avg_mi", 4).alias("avg_mi"), "total_debt_hours",
-        F.round("avg_cognitive", 4).alias("avg_cognitive"), "total_loc",
+        *(by or []), "files", "avg_mi", "total_debt_hours", "avg_cognitive", "total_loc",
         B.gauge_band(F.col("avg_mi")).alias("mi_band"),
         B.health_text(F.col("avg_mi")).alias("health_text"),
         B.debt_band(F.col("total_debt_hours")).alias("debt_band"),
         B.cognitive_band(F.col("avg_cognitive")).alias("cognitive_band"),
         B.debt_text(F.col("total_debt_hours")).alias("debt_text"),
-        F.round(B.gauge_percent(F.col("avg_mi"), 100), 4).alias("health_pct"),
-        F.round(B.gauge_percent(F.least(F.col("total_debt_hours").cast("double"), F.lit(40.0)), 40), 4).alias("debt_pct"),
-        F.round(B.gauge_percent(F.least(F.col("avg_cognitive"), F.lit(30.0)), 30), 4).alias("cognitive_pct"),
+        B.gauge_percent(F.col("avg_mi"), 100).alias("health_pct"),
+        B.gauge_percent(F.least(F.col("total_debt_hours").cast("double"), F.lit(40.0)), 40).alias("debt_pct"),
+        B.gauge_percent(F.least(F.col("avg_cognitive"), F.lit(30.0)), 30).alias("cognitive_pct"),
     )
 
 
@@ -109,6 +110,4 @@ def folder_rollup(metrics: DataFrame, root: str = "/") -> DataFrame:
         "maintainability_index", "sqale_debt_hours", "cognitive_complexity", "lines_of_code",
     ).withColumn("folder", F.when(F.col("folder") == "", F.lit(root)).otherwise(F.col("folder")))
     return project_health(x, ["folder"]).select(
-        "folder", "files", F.round("avg_mi", 4).alias("avg_mi"), "total_debt_hours",
-        F.round("avg_cognitive", 4).alias("avg_cognitive"), "total_loc",
-    )
+        "folder", "files", "avg_mi", "total_debt_hours", "avg_cognitive", "total_loc")

@@ -247,23 +247,24 @@ SELECT file_path,
 FROM cm""")
 
 HEALTH = """
-h AS (SELECT repo, count(*) AS files, coalesce(avg(maintainability_index), 100.0) AS avg_mi,
+h AS (SELECT repo, count(*) AS files,
+        coalesce(sum(CAST(round(maintainability_index * 100) AS BIGINT)) / count(*) / 100.0, 100.0) AS avg_mi,
         CAST(coalesce(sum(sqale_debt_hours), 0) AS DECIMAL(22,2)) AS total_debt_hours,
-        coalesce(avg(cognitive_complexity), 0.0) AS avg_cognitive,
+        coalesce(sum(cognitive_complexity) / count(*), 0.0) AS avg_cognitive,
         CAST(coalesce(sum(lines_of_code), 0) AS BIGINT) AS total_loc
       FROM cm GROUP BY repo)
 """
 
 SQL["project_health"] = with_code(f""", {HEALTH}
-SELECT repo, files, round(avg_mi, 4) AS avg_mi, total_debt_hours, round(avg_cognitive, 4) AS avg_cognitive, total_loc,
+SELECT repo, files, avg_mi, total_debt_hours, avg_cognitive, total_loc,
   CASE WHEN avg_mi >= 80 THEN 'green' WHEN avg_mi >= 50 THEN 'amber' ELSE 'red' END AS mi_band,
   {_band('avg_mi', [(85, 'Excellent'), (70, 'Good'), (50, 'Moderate'), (30, 'Poor')], 'Critical')} AS health_text,
   CASE WHEN total_debt_hours <= 2 THEN 'green' WHEN total_debt_hours <= 8 THEN 'amber' ELSE 'red' END AS debt_band,
   CASE WHEN avg_cognitive < 5 THEN 'green' WHEN avg_cognitive < 15 THEN 'amber' ELSE 'red' END AS cognitive_band,
   {debt_text('total_debt_hours')} AS debt_text,
-  round(least(avg_mi / 100.0 * 100.0, 100.0), 4) AS health_pct,
-  round(least(least(CAST(total_debt_hours AS DOUBLE), 40.0) / 40.0 * 100.0, 100.0), 4) AS debt_pct,
-  round(least(least(avg_cognitive, 30.0) / 30.0 * 100.0, 100.0), 4) AS cognitive_pct
+  least(avg_mi / 100.0 * 100.0, 100.0) AS health_pct,
+  least(least(CAST(total_debt_hours AS DOUBLE), 40.0) / 40.0 * 100.0, 100.0) AS debt_pct,
+  least(least(avg_cognitive, 30.0) / 30.0 * 100.0, 100.0) AS cognitive_pct
 FROM h""".replace("WITH \n,", "WITH"))
 
 SQL["scan_summary"] = with_code(
@@ -289,9 +290,9 @@ SQL["folder_rollup"] = with_code("""
         LATERAL (SELECT array_to_string(list_slice(string_split(cm.file_path, '/'), 1, i), '/') AS folder
                  FROM range(1, len(string_split(cm.file_path, '/'))) t(i)) f)
 SELECT CASE WHEN folder = '' THEN '/' ELSE folder END AS folder, count(*) AS files,
-  round(coalesce(avg(maintainability_index), 100.0), 4) AS avg_mi,
+  coalesce(sum(CAST(round(maintainability_index * 100) AS BIGINT)) / count(*) / 100.0, 100.0) AS avg_mi,
   CAST(coalesce(sum(sqale_debt_hours), 0) AS DECIMAL(22,2)) AS total_debt_hours,
-  round(coalesce(avg(cognitive_complexity), 0.0), 4) AS avg_cognitive,
+  coalesce(sum(cognitive_complexity) / count(*), 0.0) AS avg_cognitive,
   CAST(coalesce(sum(lines_of_code), 0) AS BIGINT) AS total_loc
 FROM fo GROUP BY 1""")
 

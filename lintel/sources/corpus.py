@@ -23,6 +23,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+# Inputs smaller than this are spread over the cores by a hash repartition;
+# larger inputs already arrive in many splits and are used as they are.
+SPREAD_BELOW_BYTES = 1 << 30
+
+
+def input_bytes(spark: SparkSession, df: DataFrame) -> int:
+    """Total size of the files behind ``df`` (file-system metadata only)."""
+    total = 0
+    for f in df.inputFiles():
+        p = spark._jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return total
+
+
+def spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition a small, CPU-heavy input over all cores.
+
+    A small Parquet file may hold one row group, i.e. one non-empty split,
+    which would run the per-row metric pass in a single task. The size check
+    keeps big inputs on their native splits (no shuffle of the corpus).
+    """
+    if input_bytes(spark, df) >= SPREAD_BELOW_BYTES:
+        return df
+    n = max(8, spark.sparkContext.defaultParallelism * 2)
+    return df.repartition(n, key)
+
+
 # ---------------------------------------------------------------------------
 # docs_corpus: documents as files with synthetic paths
 # ---------------------------------------------------------------------------
@@ -40,7 +67,7 @@ def doc_path(doc_id: Column, source: Column, lang: Column) -> Column:
 
 def docs_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(repo, snapshot_id, file_path, content, doc_id)`` from documents."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(spark, table(spark, sf_dir, "documents"), "doc_id")
     return d.select(
         d.source.alias("repo"),
         F.lit(1).cast("long").alias("snapshot_id"),
@@ -120,7 +147,7 @@ def code_text(doc_id: Column, text: Column) -> Column:
 
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(repo, snapshot_id, file_path, content, doc_id)``: code from documents."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(spark, table(spark, sf_dir, "documents"), "doc_id")
     content = code_text(d.doc_id, d.text)
     return d.select(
         d.source.alias("repo"),
