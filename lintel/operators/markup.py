@@ -50,7 +50,8 @@ def node_depth(events: DataFrame, key: str = "page_id", rules: DataFrame | None
     e = events
     if rules is not None:
         nest = rules.filter(F.col("role") == "nesting").select(F.col("node_type").alias("tag")).distinct()
-        e = e.join(nest.withColumn("__nest", F.lit(True)), "tag", "left")
+        # the rule table has one row per node type: a bounded broadcast
+        e = e.join(F.broadcast(nest.withColumn("__nest", F.lit(True))), "tag", "left")
         step = F.when(F.coalesce("__nest", F.lit(False)), F.when(F.col("is_close"), -1).otherwise(1)).otherwise(0)
     else:
         step = F.when(F.col("is_close"), -1).otherwise(1)
