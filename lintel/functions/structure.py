@@ -22,7 +22,7 @@ _ZERO = (
     "'stk', cast(array() as array<struct<i:int,n:boolean>>), "
     "'cog', 0, 'ctl', 0, 'nst', 0, "
     "'nasg', 0, 'naug', 0, 'nbin', 0, 'nun', 0, 'ncmp', 0, 'nbool', 0, 'nnot', 0, "
-    "'pe', false, 'pt', cast(null as string), 'ff', false, 'cm', 0L, "
+    "'pe', false, 'pc', -1, 'ff', false, 'cm', 0L, "
     "'ds', 0, 'dt', cast(null as string))"
 )
 
@@ -36,12 +36,14 @@ def _step() -> str:
     first = f"(a.ls AND {k} != {TK.K_NL} AND NOT {is_async})"
     popped = "filter(a.stk, e -> e.i < a.ind)"
     is_ctl = f"({first} AND {h} IN ({_sql_list(CONTROL_HEADS)}))"
-    pt = "coalesce(a.pt, '')"
+    # previous significant token: its operator category (only 'is'/'not' matter)
+    prev_is = f"(a.pc = {TK.C_IS})"
+    prev_not = f"(a.pc = {TK.C_NOT})"
     ntx = f"coalesce({nt}, '')"
-    not_in_head = f"({c} = {TK.C_NOT} AND {pt} != 'is' AND {ntx} = 'in')"
-    not_op = f"({c} = {TK.C_NOT} AND {pt} != 'is' AND {ntx} != 'in')"
-    in_cmp = f"({c} = {TK.C_IN} AND {pt} != 'not' AND NOT a.ff)"
-    in_for = f"({c} = {TK.C_IN} AND {pt} != 'not' AND a.ff)"
+    not_in_head = f"({c} = {TK.C_NOT} AND NOT {prev_is} AND {ntx} = 'in')"
+    not_op = f"({c} = {TK.C_NOT} AND NOT {prev_is} AND {ntx} != 'in')"
+    in_cmp = f"({c} = {TK.C_IN} AND NOT {prev_not} AND NOT a.ff)"
+    in_for = f"({c} = {TK.C_IN} AND NOT {prev_not} AND a.ff)"
     cmp_head = f"({c} = {TK.C_CMP} OR {c} = {TK.C_IS} OR {not_in_head} OR {in_cmp})"
     boundary = (
         f"({c} IN ({TK.C_ASSIGN}, {TK.C_AUG}, {TK.C_BOOL}, {TK.C_PUNCT}, {TK.C_KWB}, {TK.C_FOR}) "
@@ -71,7 +73,7 @@ def _step() -> str:
         "nbool": f"a.nbool + {b(f'{c} = {TK.C_BOOL}')}",
         "nnot": f"a.nnot + {b(not_op)}",
         "pe": f"CASE WHEN {nl_in} THEN a.pe ELSE {ender} END",
-        "pt": f"CASE WHEN {nl_in} THEN a.pt ELSE {t} END",
+        "pc": f"CASE WHEN {nl_in} THEN a.pc ELSE {c} END",
         "ff": f"CASE WHEN {c} = {TK.C_FOR} THEN true WHEN {c} = {TK.C_IN} THEN false ELSE a.ff END",
         "cm": (
             f"CASE WHEN {c} = {TK.C_OPEN} THEN a.cm & ~shiftleft(1L, least(a.d + 1, 62)) "
