@@ -36,16 +36,18 @@ def get_spark(master: str | None = None, app: str = "lintel", **conf: str) -> Sp
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is used as is. Only
-    when it is unset (tests, local runs) a fresh scratch folder is made.
+    A cluster must name the folder; without the setting only a local session
+    (one JVM: tests, a laptop) gets a scratch folder of its own.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="lintel-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if not named:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="lintel-ckpt-")
+        sc.setCheckpointDir(named)
+    return named or sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
