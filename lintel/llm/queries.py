@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe
+from lintel.llm import bpe, chat, ngram_join
 from lintel.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,7 +24,22 @@ def op1_bpe(spark, sf_dir) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_ngram_join(spark, sf_dir) -> DataFrame:
+    """Near-duplicate classes of all documents at Jaccard 0.75 on 5-word shingles."""
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op8_chat(spark, sf_dir) -> DataFrame:
+    """Format every conversation, and one whose texts hold control strings; digests read back from the output."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return chat.read_back(chat.format_chats(chat.log_of(said.unionByName(tricky))))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op8_chat": op8_chat}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}
