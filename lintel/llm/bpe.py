@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 #: Encoded strings a worker remembers; a speed bound only, the memory starts anew beyond it.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Rows of a batch whose results are held as Python objects.
+SLICE = 200
 #: The split pattern whose matches may be found between single spaces (see ``Merges.encode``).
 SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 60
@@ -212,7 +214,9 @@ def _batched(one, path: str, pattern: str, kind: pa.DataType):
         vocabulary = merges(path, pattern)
         call = getattr(vocabulary, one)
         for batch in batches:
-            yield pa.array((call(x.as_py()) if x.is_valid else None for x in batch), type=kind)
+            parts = [pa.array([call(x.as_py()) if x.is_valid else None for x in batch[i:i + SLICE]], type=kind)
+                     for i in range(0, len(batch), SLICE)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
     return run
 
 
