@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe, chat, ngram_join
+from lintel.llm import bpe, chat, grid_join, ngram_join, url_filter
 from lintel.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,20 @@ def op2_ngram_join(spark, sf_dir) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the URL query, and host words that mark a URL as unwanted for training.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+UNWANTED_HOST_WORDS = ["casino", "bet", "bets", "pills", "ads", "track", "win", "porn", "viagra", "loan"]
+
+
+def op4_url_filter(spark, sf_dir) -> DataFrame:
+    """Judge the URL of every page by the rules, else by trees trained on URLs labelled by words of their hosts."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    words = F.split(url_filter.host_of(F.col("url")), r"[.-]")
+    unwanted = F.arrays_overlap(words, F.array(*[F.lit(w) for w in UNWANTED_HOST_WORDS]))
+    labelled = pages.select("url", unwanted.cast("int").alias("label"))
+    return url_filter.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_chat(spark, sf_dir) -> DataFrame:
     """Format every conversation, and one whose texts hold control strings; digests read back from the output."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -39,7 +53,12 @@ def op8_chat(spark, sf_dir) -> DataFrame:
     return chat.read_back(chat.format_chats(chat.log_of(said.unionByName(tricky))))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op8_chat": op8_chat}
+def op9_grid_join(spark, sf_dir) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9."""
+    return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op4_url_filter": op4_url_filter, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}
