@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe, chat, grid_join, ngram_join, url_filter
+from lintel.llm import bpe, chat, grid_join, ngram_join, toxicity, url_filter
 from lintel.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -43,6 +43,25 @@ def op4_url_filter(spark, sf_dir) -> DataFrame:
     return url_filter.judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def held_out(doc_id):
+    """Whether a document's label must not be learnt from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+
+
+def toxicity_net(spark, sf_dir) -> toxicity.Net:
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.train(labels.join(docs, "doc_id"))
+
+
+def op5_toxicity(spark, sf_dir) -> DataFrame:
+    """Score every document; labels of held-out documents are never read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = toxicity.score(docs, toxicity_net(spark, sf_dir))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic")
+
+
 def op8_chat(spark, sf_dir) -> DataFrame:
     """Format every conversation, and one whose texts hold control strings; digests read back from the output."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -58,7 +77,7 @@ def op9_grid_join(spark, sf_dir) -> DataFrame:
     return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op4_url_filter": op4_url_filter, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join}
+QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}

@@ -32,10 +32,13 @@ def keys(n: int, seed: int = 1) -> np.ndarray:
 _PLACES = keys(256)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and for each text its number of words."""
+def word_hashes(texts: list[bytes], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and for each text its number of words.
+
+    ``between``: for each byte value whether it stands between words (a space must).
+    """
     data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    space = _SPACE[data]
+    space = between[data]
     first = ~space
     first[1:] &= space[:-1]
     starts = np.flatnonzero(first)
