@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +51,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark send this package to its Python workers, once for each context."""
+    sc = spark.sparkContext
+    if any(os.path.basename(f).startswith("lintel-") for f in sc._python_includes):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="lintel-py-"), "lintel-package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "lintel")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(target)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)
