@@ -17,13 +17,16 @@ at least ceil(0.75 n) members that other documents have too.
 4. *Hubs.* In each list one member is the hub, and each document is compared with
    the hub it meets most. A large group of near copies is joined this way by one
    comparison a document.
-5. *The rest.* Only lists whose members are still in different components are
-   paired, and only members of different components. Nothing is left out: pairs
-   inside a component can't change the result.
+5. *The rest.* Only lists whose members are still in different components matter,
+   and there each member of the smaller component is a query to the larger
+   component as a whole (one row, however many members that has). Components are dealt
+   out in shards of bounded size with an inverted index each; a query stops at the
+   first link in a shard, as more can't change the result. Pairs inside a
+   component can't either, and are the only ones left out.
 
-Comparisons are made query by query in blocks of candidates: the query's short
-lists within the block are merged by a heap, documents with enough occurrences
-are looked up in its long lists by binary search, and those that reach T stay.
+Within a block or shard the query's short lists are merged by a heap, documents
+with enough occurrences are looked up in its long lists by binary search, and
+those that reach T stay.
 
 Defined results: null and empty texts have no shingles and link with nothing;
 repeated rows of an id are one document, that of its largest set; a null id is left out;
@@ -54,6 +57,8 @@ TEXT_BYTES = 4_000_000
 BROADCAST_IDS = 2_000_000
 #: Candidates of a query compared at a time, and sent to one task together (about).
 BLOCK, SALT = 256, 2048
+#: Documents of a component that share an index.
+SHARD = 512
 _MANY = 0xFFFF
 
 
@@ -212,12 +217,11 @@ def _exploded(sets: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ comparison
-def divide_skip(short: list[np.ndarray], long: list[list[int]], least_short: int, least: int) -> dict[int, int]:
+def divide_skip(short: list[list[int]], long: list[list[int]], least_short: int, least: int) -> Iterator[tuple[int, int]]:
     """Members of at least ``least`` of all lists, with the number; each is in at least ``least_short`` short lists.
 
     The short lists (sorted) are merged by a heap, the long ones searched by bisection.
     """
-    found = {}
     for member, times in groupby(heapq.merge(*short)):
         n = sum(1 for _ in times)
         if n < least_short:
@@ -230,8 +234,34 @@ def divide_skip(short: list[np.ndarray], long: list[list[int]], least_short: int
             at = bisect_left(one, member)
             n += at < len(one) and one[at] == member
         if n >= least:
-            found[member] = n
-    return found
+            yield member, n
+
+
+class _Index:
+    """The inverted lists of some documents."""
+
+    def __init__(self, docs: list[tuple[int, np.ndarray]]):
+        self.docs = docs
+        self.sizes = [len(s) for _, s in docs]
+        h = np.concatenate([s for _, s in docs])
+        who = np.repeat(np.arange(len(docs)), self.sizes)
+        order = np.argsort(h, kind="stable")
+        self.h, self.who, self.smallest = h[order], who[order], min(self.sizes)
+
+    def links(self, s: np.ndarray) -> Iterator[int]:
+        """The documents that link with the set ``s``."""
+        least = _needed(len(s), max(self.smallest, -(-3 * len(s) // 4)))  # smaller ones can't link
+        lo, hi = np.searchsorted(self.h, s, "left"), np.searchsorted(self.h, s, "right")
+        lists = sorted((n, b) for n, b in zip((hi - lo).tolist(), lo.tolist()) if n)
+        if len(lists) < least:
+            return
+        apart = max(least - 1 - len(s) // 16, 0)  # lists set aside as long ones; fewer than the overlap needed
+        cut = max(len(lists) - apart, 0)
+        short = [self.who[b:b + n].tolist() for n, b in lists[:cut]]
+        long = [self.who[b:b + n].tolist() for n, b in reversed(lists[cut:])]
+        for k, n in divide_skip(short, long, least - len(long), least):
+            if n >= _needed(len(s), self.sizes[k]):
+                yield self.docs[k][0]
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,23 +273,6 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
               .join(sets.select(F.col("doc_id").alias("b"), "shingles"), "b").select("a", "salt", "b", "shingles"))
     both = query.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
-    def linked(a: int, s: np.ndarray, others: list[tuple[int, np.ndarray]]) -> list[int]:
-        sizes = [len(x) for _, x in others]
-        need = [_needed(len(s), m) for m in sizes]
-        least = min(need)
-        h = np.concatenate([x for _, x in others])
-        who = np.repeat(np.arange(len(others)), sizes)
-        order = np.argsort(h, kind="stable")
-        h, who = h[order], who[order]
-        lo, hi = np.searchsorted(h, s, "left"), np.searchsorted(h, s, "right")
-        lists = sorted((int(n), int(b)) for n, b in zip(hi - lo, lo))
-        apart = max(least - 1 - len(s) // 16, 0)  # lists set aside as long ones; fewer than the overlap needed
-        cut = len(lists) - apart
-        short = [who[b:b + n].tolist() for n, b in lists[:cut] if n]
-        far = [who[b:b + n].tolist() for n, b in reversed(lists[cut:]) if n]
-        found = divide_skip(short, far, least - apart, least)
-        return [others[k][0] for k, n in found.items() if n >= need[k]]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
@@ -267,7 +280,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     yield a.as_py(), salt.as_py(), b.as_py(), np.frombuffer(s.as_py(), dtype=np.uint64)
 
         def done(a, s, others):
-            hits = linked(a, s, others)
+            hits = list(_Index(others).links(s))
             return pa.RecordBatch.from_arrays([pa.array([a] * len(hits), pa.int64()), pa.array(hits, pa.int64())], names=["a", "b"])
 
         for (a, _), some in groupby(rows(), key=lambda x: x[:2]):
@@ -309,21 +322,63 @@ def _hub_pairs(short: DataFrame) -> DataFrame:
     return best.select(F.col("s.hub").alias("a"), F.col("doc_id").alias("b"))
 
 
-def _rest_pairs(short: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in enough short lists."""
-    own = short.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left") \
-        .withColumn("component", F.coalesce("component", "doc_id"))
-    per = own.groupBy("h", "component").agg(F.count("*").alias("c"))
-    mixed = per.groupBy("h").agg(F.max(F.struct("c", "component")).alias("s"), F.count("*").alias("parts")).filter("parts > 1")
-    rows = saved(own.join(mixed.select("h", F.col("s.component").alias("main")), "h"), "mixed-lists")
-    few = rows.filter("component != main").select("h", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    every = rows.select("h", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "main")
-    pairs = few.join(every, "h").filter(
-        (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")))
-    met = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) \
-        .agg(F.count("*").alias("met"), F.min(F.least("na", "nb")).alias("n"))
-    return met.filter(F.col("met") >= F.floor(F.col("n") / 16) + 1).select("a", "b")
+def _queries(short: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, target)``: documents and the other components that they meet in enough short lists."""
+    own = saved(short.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+                .withColumn("component", F.coalesce("component", "doc_id")), "labelled-lists")
+    sizes = labels.groupBy("component").agg(F.count("*").alias("c"))  # of two components the same one always asks
+    per = (own.groupBy("h", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+           .join(sizes, "component", "left").fillna({"c": 1}))
+    mixed = per.groupBy("h").agg(F.count("*").alias("parts")).filter("parts > 1").select("h")
+    per = saved(per.join(mixed, "h"), "mixed-lists")
+    asking = own.join(per.select("h", "component", "c"), ["h", "component"])
+    target = per.select("h", F.col("component").alias("target"), F.col("c").alias("tc"), "lo", "hi")
+    met = (asking.join(target, "h")
+           .filter((F.col("c") < F.col("tc")) | ((F.col("c") == F.col("tc")) & (F.col("component") > F.col("target"))))
+           .filter((100 * F.col("hi") >= 75 * F.col("n")) & (75 * F.col("lo") <= 100 * F.col("n")))
+           .groupBy("doc_id", "target").agg(F.count("*").alias("met"), F.min("n").alias("n")))
+    return met.filter(F.col("met") > F.floor(F.ceil(F.col("n") * 0.75) / 16)).select("doc_id", "target")
+
+
+def _answered(queries: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """A link ``(a, b)`` for each query and shard of its target component that has one."""
+    queries = saved(queries, "queries")
+    asked = queries.select(F.col("target").alias("component")).distinct()
+    members = (sets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+               .withColumn("component", F.coalesce("component", "doc_id")).select("component", "doc_id", "shingles"))
+    members = saved(members.join(asked, "component", "left_semi"), "asked-members")
+    salts = members.groupBy("component").agg(F.floor((F.count("*") - 1) / SHARD).alias("salts"))
+    held = members.join(salts, "component").select("component", F.pmod(F.xxhash64("doc_id"), F.col("salts") + 1).alias("salt"),
+                                                   F.lit(0).alias("kind"), "doc_id", "shingles")
+    asks = (queries.withColumnRenamed("target", "component").join(salts, "component")
+            .select("component", F.explode(F.sequence(F.lit(0).cast("long"), "salts")).alias("salt"), F.lit(1).alias("kind"), "doc_id")
+            .join(sets.select("doc_id", "shingles"), "doc_id").select("component", "salt", "kind", "doc_id", "shingles"))
+    dealt = held.unionByName(asks).repartition("component", "salt").sortWithinPartitions("component", "salt", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for component, salt, kind, doc, s in zip(*batch.columns):
+                    yield component.as_py(), salt.as_py(), kind.as_py(), doc.as_py(), np.frombuffer(s.as_py(), dtype=np.uint64)
+
+        links = []
+        for _, some in groupby(rows(), key=lambda x: x[:2]):
+            docs, index = [], None
+            for _, _, kind, doc, s in some:
+                if kind == 0:
+                    docs.append((doc, s))
+                    continue
+                index = index or _Index(docs)
+                hit = next(index.links(s), None)
+                if hit is not None:
+                    links.append((doc, hit))
+            if len(links) > 10_000:
+                yield _rows(links, "a long, b long")
+                links = []
+        if links:
+            yield _rows(links, "a long, b long")
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,7 +395,8 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     sets = saved(_sets(_selected(texts, reps)), "sets")
     short = saved(_short_lists(sets), "short-lists")
     links = saved(_compared(_hub_pairs(short), sets), "hub-links")
-    rest = saved(_compared(_rest_pairs(short, components(links)), sets), "rest-links")
+    labels = components(links)
+    rest = saved(_answered(_queries(short, labels), sets, labels), "rest-links")
     same = copies.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(rest).unionByName(same))
     return (every.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
