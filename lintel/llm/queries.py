@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe, chat, grid_join, ngram_join, toxicity, url_filter
+from lintel.llm import bpe, chat, decontaminate, grid_join, ngram_join, toxicity, url_filter
 from lintel.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,11 @@ def op5_toxicity(spark, sf_dir) -> DataFrame:
                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic")
 
 
+def op6_decontaminate(spark, sf_dir) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the extent of the overlap."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat(spark, sf_dir) -> DataFrame:
     """Format every conversation, and one whose texts hold control strings; digests read back from the output."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -77,7 +82,7 @@ def op9_grid_join(spark, sf_dir) -> DataFrame:
     return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join}
+QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}
