@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe, chat, decontaminate, grid_join, ngram_join, toxicity, url_filter
+from lintel.llm import bpe, chat, decontaminate, grid_join, ngram_join, pii, toxicity, url_filter
 from lintel.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -82,7 +82,16 @@ def op9_grid_join(spark, sf_dir) -> DataFrame:
     return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join}
+#: Key of the surrogates in the registered query; a real corpus needs a secret one.
+PII_KEY = "lintel-demonstration-key"
+
+
+def op10_pii(spark, sf_dir) -> DataFrame:
+    """Every document with personal data replaced by surrogates."""
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join, "op10_pii": op10_pii}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}
