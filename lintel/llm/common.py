@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,3 +49,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+#: Ids up to this number are sent to the tasks; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(df: DataFrame, ids: DataFrame, id: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id isn't among ``ids`` (one column); null ids stay."""
+    ids = saved(ids.distinct().toDF(id), "dropped")
+    return df.join(broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id, "left_anti")

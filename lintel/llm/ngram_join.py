@@ -46,15 +46,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import saved
+from lintel.llm.common import BROADCAST_IDS, saved
 from lintel.llm.components import components
 from lintel.llm.shingles import set_key, shingle_sets, text_groups
 
 #: Shingles and documents that a task packs at a time.
 PACK_SHINGLES, PACK_DOCS = 3_000_000, 60_000
 TEXT_BYTES = 4_000_000
-#: Ids up to this number are sent to the tasks to select texts; more are joined.
-BROADCAST_IDS = 2_000_000
 #: Candidates of a query compared at a time, and sent to one task together (about).
 BLOCK, SALT = 256, 2048
 #: Documents of a component that share an index.

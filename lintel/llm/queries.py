@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe, chat, decontaminate, grid_join, ngram_join, pii, toxicity, url_filter
+from lintel.llm import bpe, chat, decontaminate, grid_join, langid, license_scan, ngram_join, pii, toxicity, url_filter
 from lintel.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,11 @@ def op2_ngram_join(spark, sf_dir) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark, sf_dir) -> DataFrame:
+    """License passages of all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the URL query, and host words that mark a URL as unwanted for training.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 UNWANTED_HOST_WORDS = ["casino", "bet", "bets", "pills", "ads", "track", "win", "porn", "viagra", "loan"]
@@ -67,6 +72,12 @@ def op6_decontaminate(spark, sf_dir) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_langid(spark, sf_dir) -> DataFrame:
+    """The language of every page; the text model is fitted on documents of known language."""
+    model = langid.Model.fit(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "pages"), model).select("page_id", "url", "language", "confidence", "text_language")
+
+
 def op8_chat(spark, sf_dir) -> DataFrame:
     """Format every conversation, and one whose texts hold control strings; digests read back from the output."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -91,7 +102,7 @@ def op10_pii(spark, sf_dir) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join, "op10_pii": op10_pii}
+QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join, "op10_pii": op10_pii}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {}
