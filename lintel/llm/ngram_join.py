@@ -16,7 +16,8 @@ at least ceil(0.75 n) members that other documents have too.
    of their short lists. The T - k others are its long lists.
 4. *Hubs.* In each list one member is the hub, and each document is compared with
    the hub it meets most. A large group of near copies is joined this way by one
-   comparison a document.
+   comparison a document. Then ``ROUNDS`` times each document asks the component
+   that is the largest in most of its lists.
 5. *The rest.* Only lists whose members are still in different components matter,
    and there each member of the smaller component is a query to the larger
    component as a whole (one row, however many members that has). Components are dealt
@@ -55,8 +56,8 @@ PACK_SHINGLES, PACK_DOCS = 3_000_000, 60_000
 TEXT_BYTES = 4_000_000
 #: Candidates of a query compared at a time, and sent to one task together (about).
 BLOCK, SALT = 256, 2048
-#: Documents of a component that share an index.
-SHARD = 512
+#: Documents of a component that share an index; rounds that join documents to large components before the rest is searched.
+SHARD, ROUNDS = 512, 2
 _MANY = 0xFFFF
 
 
@@ -320,15 +321,28 @@ def _hub_pairs(short: DataFrame) -> DataFrame:
     return best.select(F.col("s.hub").alias("a"), F.col("doc_id").alias("b"))
 
 
-def _queries(short: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, target)``: documents and the other components that they meet in enough short lists."""
+def _labelled(short: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The short lists with components, and per list and component its size (over all) and smallest and largest n."""
     own = saved(short.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
                 .withColumn("component", F.coalesce("component", "doc_id")), "labelled-lists")
     sizes = labels.groupBy("component").agg(F.count("*").alias("c"))  # of two components the same one always asks
     per = (own.groupBy("h", "component").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
            .join(sizes, "component", "left").fillna({"c": 1}))
     mixed = per.groupBy("h").agg(F.count("*").alias("parts")).filter("parts > 1").select("h")
-    per = saved(per.join(mixed, "h"), "mixed-lists")
+    return own, saved(per.join(mixed, "h"), "mixed-lists")
+
+
+def _largest(short: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, target)``: each document with the component that is the largest in most of its lists."""
+    own, per = _labelled(short, labels)
+    main = per.groupBy("h").agg(F.max(F.struct("c", "component")).alias("s")).select("h", F.col("s.component").alias("target"))
+    met = own.join(main, "h").filter(F.col("component") != F.col("target")).groupBy("doc_id", "target").count()
+    return met.groupBy("doc_id").agg(F.max(F.struct("count", "target")).alias("s")).select("doc_id", "s.target")
+
+
+def _queries(short: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, target)``: documents and the other components that they meet in enough short lists."""
+    own, per = _labelled(short, labels)
     asking = own.join(per.select("h", "component", "c"), ["h", "component"])
     target = per.select("h", F.col("component").alias("target"), F.col("c").alias("tc"), "lo", "hi")
     met = (asking.join(target, "h")
@@ -394,6 +408,12 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     short = saved(_short_lists(sets), "short-lists")
     links = saved(_compared(_hub_pairs(short), sets), "hub-links")
     labels = components(links)
+    for _ in range(ROUNDS):
+        more = saved(_answered(_largest(short, labels), sets, labels), "more-links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
     rest = saved(_answered(_queries(short, labels), sets, labels), "rest-links")
     same = copies.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(rest).unionByName(same))
