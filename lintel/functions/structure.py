@@ -1,7 +1,7 @@
 """One left fold over a file's token array (P3-P5, P7, M2-M5, M9 inputs).
 
 The fold carries only O(nesting) state: bracket depth, the indentation stack
-of open blocks, a bit set of "inside a comparison chain" flags per bracket
+of open blocks, a stack of "inside a comparison chain" flags by bracket
 level, and running counters. It is a single Spark ``aggregate`` expression,
 evaluated in the JVM per row, so the structure pass never leaves the scan
 stage.
@@ -22,7 +22,7 @@ _ZERO = (
     "'stk', cast(array() as array<struct<i:int,n:boolean>>), "
     "'cog', 0, 'ctl', 0, 'nst', 0, "
     "'nasg', 0, 'naug', 0, 'nbin', 0, 'nun', 0, 'ncmp', 0, 'nbool', 0, 'nnot', 0, "
-    "'pe', false, 'pc', -1, 'ff', false, 'cm', 0L, "
+    "'pe', false, 'pc', -1, 'ff', false, 'cs', array(false), "
     "'ds', 0, 'dt', cast(null as string))"
 )
 
@@ -49,8 +49,8 @@ def _step() -> str:
         f"({c} IN ({TK.C_ASSIGN}, {TK.C_AUG}, {TK.C_BOOL}, {TK.C_PUNCT}, {TK.C_KWB}, {TK.C_FOR}) "
         f"OR {not_op} OR {in_for} OR {nl0})"
     )
-    bit = "shiftleft(1L, least(a.d, 62))"
-    in_chain = f"((a.cm & {bit}) != 0)"
+    in_chain = "element_at(a.cs, -1)"  # whether the innermost bracket is inside a comparison chain
+    below = "slice(a.cs, 1, size(a.cs) - 1)"
     ender = f"({k} IN ({', '.join(map(str, TK.OPERAND_KINDS))}) OR {c} = {TK.C_CLOSE})"
     b = lambda cond: f"CASE WHEN {cond} THEN 1 ELSE 0 END"
     fields = {
@@ -75,12 +75,13 @@ def _step() -> str:
         "pe": f"CASE WHEN {nl_in} THEN a.pe ELSE {ender} END",
         "pc": f"CASE WHEN {nl_in} THEN a.pc ELSE {c} END",
         "ff": f"CASE WHEN {c} = {TK.C_FOR} THEN true WHEN {c} = {TK.C_IN} THEN false ELSE a.ff END",
-        "cm": (
-            f"CASE WHEN {c} = {TK.C_OPEN} THEN a.cm & ~shiftleft(1L, least(a.d + 1, 62)) "
-            f"WHEN {c} = {TK.C_CLOSE} AND a.d = 0 THEN a.cm & ~1L "
-            f"WHEN {cmp_head} THEN a.cm | {bit} "
-            f"WHEN {boundary} THEN a.cm & ~{bit} "
-            "ELSE a.cm END"
+        "cs": (
+            f"CASE WHEN {c} = {TK.C_OPEN} THEN array_append(a.cs, false) "
+            f"WHEN {c} = {TK.C_CLOSE} AND a.d = 0 THEN array(false) "
+            f"WHEN {c} = {TK.C_CLOSE} THEN {below} "
+            f"WHEN {cmp_head} THEN CASE WHEN {in_chain} THEN a.cs ELSE array_append({below}, true) END "
+            f"WHEN {boundary} AND {in_chain} THEN array_append({below}, false) "
+            "ELSE a.cs END"
         ),
         "ds": (
             f"CASE WHEN a.ds = 0 AND {k} != {TK.K_NL} THEN CASE WHEN {k} = {TK.K_STR} THEN 1 ELSE 2 END "

@@ -3,8 +3,8 @@
 A file is one row. Its text is cut into tokens with one Java-side regex
 (``regexp_extract_all``) and every later step is a higher-order function over
 that array, so the whole front end runs map-side inside the scan stage: no
-exchange, no Python worker. The same regex is RE2-compatible, which lets the
-DuckDB oracle cut the same tokens.
+exchange, no Python worker. The loops inside string literals are possessive: they
+neither recurse nor backtrack, whatever the literal's length.
 
 Known limits of the text front end (documented, tested where cheap):
 names inside f-string braces stay inside the string token; ``lambda x=1``
@@ -26,8 +26,8 @@ STRING_RE = (
     r"(?:[rRbBuUfF]{1,2})?(?:"
     r'"""[\s\S]*?"""'
     r"|'''[\s\S]*?'''"
-    r'|"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"'
-    r"|'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'"
+    r'|"(?:[^"\\\n]|\\[\s\S])*+"'
+    r"|'(?:[^'\\\n]|\\[\s\S])*+'"
     r")"
 )
 COMMENT_RE = r"#[^\n]*"

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel import rules as R
+from lintel.operators.metrics import is_blank as blank_source
+from lintel.operators.metrics import strip_ws
 
 
 def _usable_docstring():
-    return F.length(F.trim(F.col("description"))) > 10
+    return F.length(strip_ws(F.col("description"))) > 10
 
 
 def description_cache(previous: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def resolve_descriptions(metrics: DataFrame, cache: DataFrame, generated: DataFr
     x = metrics.join(cache.select("file_path", "cached_description"), "file_path", "left").join(
         g, "file_path", "left")
     if sources is not None:
-        blank = sources.select("file_path", (F.trim(F.coalesce("content", F.lit(""))) == "").alias("__blank"))
+        blank = sources.select("file_path", blank_source(F.col("content")).alias("__blank"))
         x = x.join(blank, "file_path", "left")
         is_blank = F.coalesce(F.col("__blank"), F.lit(True))
     else:

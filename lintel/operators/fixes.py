@@ -43,7 +43,7 @@ def run_passed(output: Column) -> Column:
 
 def instruction(user_text: Column, diagnosed: Column) -> Column:
     """Trimmed user text, else the diagnosed issue, else a constant."""
-    u = F.nullif(F.trim(user_text), F.lit(""))
+    u = F.nullif(F.regexp_replace(user_text, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", ""), F.lit(""))
     d = F.nullif(diagnosed, F.lit(""))
     return F.coalesce(u, d, F.lit("Fix any issues in this file"))
 
@@ -62,6 +62,7 @@ def fold_attempts(attempts: DataFrame) -> DataFrame:
         F.max(F.when(F.col("attempt") == 0, ~F.col("passed"))).alias("reproduced"),
         F.min(F.when(win, F.col("attempt"))).alias("winning_attempt"),
         F.min_by(F.col("fixed_code"), F.when(win, F.col("attempt"))).alias("winning_code"),
+        F.min_by(F.col("fixed_code"), F.when(fix, F.col("attempt"))).alias("first_code"),
         F.max(F.when(fix, F.col("attempt"))).alias("last_attempt"),
         F.max_by(F.col("output"), F.when(fix, F.col("attempt"))).alias("last_output"),
         F.count_if(fix).alias("fix_attempts"),
@@ -71,7 +72,7 @@ def fold_attempts(attempts: DataFrame) -> DataFrame:
 def fix_outcomes(requests: DataFrame, attempts: DataFrame, sources: DataFrame) -> DataFrame:
     """L8 + L10: the outcome ladder per request.
 
-    not found -> unreadable -> simple (success, verification skipped) ->
+    not found -> unreadable -> simple (success with the first code, verification skipped) ->
     verification unavailable -> not reproduced -> fixed -> exhausted.
     """
     folded = fold_attempts(attempts)
@@ -107,7 +108,7 @@ def fix_outcomes(requests: DataFrame, attempts: DataFrame, sources: DataFrame) -
         F.when(exists & F.col("readable") & simple, F.lit("skipped (simple issue)"))
         .when(ran, F.lit("verified")).alias("verification"),
         F.when(ran & ~won, F.col("last_output")).alias("last_error"),
-        F.when(ran & won, F.col("winning_code")).alias("fixed_code"),
+        F.when(exists & F.col("readable") & simple, F.col("first_code")).when(ran & won, F.col("winning_code")).alias("fixed_code"),
     )
 
 

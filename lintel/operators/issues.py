@@ -19,13 +19,37 @@ FENCE = "```"
 def strip_fence(resp: Column) -> Column:
     """L2: trim; when it starts with a triple backtick take the 2nd part of
     the split on backticks and drop a leading ``json``; trim again."""
-    t = F.trim(resp)
+    t = F.regexp_replace(resp, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
     second = F.try_element_at(F.split(t, "```", -1), F.lit(2))
     inner = F.when(t.startswith(FENCE) & (F.size(F.split(t, "```", -1)) > 1),
                    F.regexp_replace(second, "^json", "")).otherwise(t)
     return F.regexp_replace(inner, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
 
 
+def _field(answer: str, key: str) -> Column:
+    """A key of a parsed object as a variant; NULL if missing, a variant null if null."""
+    return F.try_variant_get(answer, f"$.{key}", "variant")
+
+
+def _number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+
+
+def _truthy(answer: str, key: str) -> Column:
+    """Truth of a JSON value: false for a missing key, null, false, zero and empty values."""
+    kind = F.schema_of_variant(_field(answer, key))
+    as_ = lambda t: F.try_variant_get(answer, f"$.{key}", t)
+    return F.coalesce(
+        F.when(kind == "BOOLEAN", as_("boolean")).when(kind == "STRING", as_("string") != "").when(_number(kind), as_("double") != 0)
+        .when(kind == "VOID", F.lit(False)).otherwise(~F.to_json(_field(answer, key)).isin("{}", "[]")), F.lit(False))
+
+
+def _text(answer: str, key: str, default: str) -> Column:
+    """A string key; the default only if the key is missing; NULL for any other type."""
+    kind = F.schema_of_variant(_field(answer, key))
+    return F.when(kind.isNull(), F.lit(default)).when(kind == "STRING", F.try_variant_get(answer, f"$.{key}", "string"))
+
+
 def severity_rank(sev: Column) -> Column:
     """O1 sort key: high 0, medium 1, low 2, anything else 1."""
     expr = F.lit(R.UNKNOWN_SEVERITY_RANK)
@@ -38,7 +62,8 @@ def parse_diagnosis(responses: DataFrame) -> DataFrame:
     """L3 + L4: diagnosis per answer.
 
     Parsed object: missing keys default to false / 'Analysis complete' /
-    'low' / []. Unparsable: healthy, 'Code analyzed - no critical issues
+    'low' / []; a key of a wrong type (null included) makes the answer invalid,
+    a failed analysis. Unparsable: healthy, 'Code analyzed - no critical issues
     found', severity 'none', first 200 characters as the only suggestion.
     """
     v = F.try_parse_json(strip_fence(F.col("response")))
@@ -52,19 +77,24 @@ def parse_diagnosis(responses: DataFrame) -> DataFrame:
               .when(schema.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "int")
               .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "float")
               .when(schema == "STRING", "str").when(schema == "BOOLEAN", "bool").otherwise("NoneType"))
-    sugg = F.try_variant_get(F.col("__v"), "$.suggestions", "array<string>")
     empty = F.array().cast("array<string>")
+    hk, sk = F.schema_of_variant(_field("__v", "is_healthy")), F.schema_of_variant(_field("__v", "suggestions"))
+    as_text = F.lower(F.try_variant_get("__v", "$.is_healthy", "string"))
+    healthy = (F.when(hk.isNull(), F.lit(False)).when(hk == "BOOLEAN", F.try_variant_get("__v", "$.is_healthy", "boolean"))
+               .when(as_text.isin("true", "1", "yes", "on", "t", "y"), F.lit(True))
+               .when(as_text.isin("false", "0", "no", "off", "f", "n"), F.lit(False)))
+    sugg = F.when(sk.isNull(), empty).when(sk == "ARRAY<STRING>", F.try_variant_get("__v", "$.suggestions", "array<string>")) \
+        .when(sk == "ARRAY<VOID>", empty)
+    issue, severity = _text("__v", "issue", "Analysis complete"), _text("__v", "severity", "low")
+    valid = obj & healthy.isNotNull() & sugg.isNotNull() & issue.isNotNull() & severity.isNotNull()
+    failed = F.when(obj, F.lit("Analysis failed: invalid answer")).otherwise(
+        F.concat(F.lit("Analysis failed: '"), pytype, F.lit("' object has no attribute 'get'")))
     return df.select(
         "file_path",
-        F.when(obj, F.coalesce(F.try_variant_get("__v", "$.is_healthy", "boolean"), F.lit(False)))
-        .when(bad, F.lit(True)).otherwise(F.lit(False)).alias("is_healthy"),
-        F.when(obj, F.coalesce(F.try_variant_get("__v", "$.issue", "string"), F.lit("Analysis complete")))
-        .when(bad, F.lit("Code analyzed - no critical issues found"))
-        .otherwise(F.concat(F.lit("Analysis failed: '"), pytype, F.lit("' object has no attribute 'get'")))
-        .alias("issue"),
-        F.when(obj, F.coalesce(F.try_variant_get("__v", "$.severity", "string"), F.lit("low")))
-        .when(bad, F.lit("none")).otherwise(F.lit("medium")).alias("severity"),
-        F.when(obj, F.coalesce(sugg, empty))
+        F.when(valid, healthy).when(bad, F.lit(True)).otherwise(F.lit(False)).alias("is_healthy"),
+        F.when(valid, issue).when(bad, F.lit("Code analyzed - no critical issues found")).otherwise(failed).alias("issue"),
+        F.when(valid, severity).when(bad, F.lit("none")).otherwise(F.lit("medium")).alias("severity"),
+        F.when(valid, sugg)
         .when(bad, F.when(F.length("response") > 0, F.array(F.substring("response", 1, 200))).otherwise(empty))
         .otherwise(empty).alias("suggestions"),
     )
@@ -74,14 +104,15 @@ def parse_bug_scan(responses: DataFrame, metrics: DataFrame) -> DataFrame:
     """L5 + J4: bug-scan answers to issue rows with the file's metrics.
 
     Object with truthy ``has_bug`` -> issue (defaults 'Potential issue
-    detected' / 'medium'); unparsable but mentioning bug/error -> medium
+    detected' / 'medium' for missing keys; no row if a key isn't text);
+    unparsable but mentioning bug/error -> medium
     issue with the first 150 characters; valid non-object JSON -> no row.
     """
     v = F.try_parse_json(strip_fence(F.col("response")))
     df = responses.withColumn("__v", v)
     kind = F.when(F.col("__v").isNull(), "bad").when(
         F.schema_of_variant(F.col("__v")).startswith("OBJECT"), "obj").otherwise("other")
-    has_bug = F.coalesce(F.try_variant_get("__v", "$.has_bug", "boolean"), F.lit(False))
+    has_bug = _truthy("__v", "has_bug")
     low = F.lower("response")
     mentions = low.contains("bug") | low.contains("error")
     x = df.withColumn("__kind", kind).where(
@@ -89,13 +120,13 @@ def parse_bug_scan(responses: DataFrame, metrics: DataFrame) -> DataFrame:
     x = x.select(
         "file_path",
         F.when(F.col("__kind") == "obj",
-               F.coalesce(F.try_variant_get("__v", "$.issue", "string"), F.lit("Potential issue detected")))
+               _text("__v", "issue", "Potential issue detected"))
         .otherwise(F.when(F.length("response") > 0, F.substring("response", 1, 150))
                    .otherwise(F.lit("Analysis inconclusive"))).alias("issue"),
         F.when(F.col("__kind") == "obj",
-               F.coalesce(F.try_variant_get("__v", "$.severity", "string"), F.lit("medium")))
+               _text("__v", "severity", "medium"))
         .otherwise(F.lit("medium")).alias("severity"),
-    )
+    ).filter(F.col("issue").isNotNull() & F.col("severity").isNotNull())
     return attach_metrics(x, metrics)
 
 

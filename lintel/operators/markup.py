@@ -50,8 +50,7 @@ def node_depth(events: DataFrame, key: str = "page_id", rules: DataFrame | None
     e = events
     if rules is not None:
         nest = rules.filter(F.col("role") == "nesting").select(F.col("node_type").alias("tag")).distinct()
-        # the rule table has one row per node type: a bounded broadcast
-        e = e.join(F.broadcast(nest.withColumn("__nest", F.lit(True))), "tag", "left")
+        e = e.join(nest.withColumn("__nest", F.lit(True)), "tag", "left")
         step = F.when(F.coalesce("__nest", F.lit(False)), F.when(F.col("is_close"), -1).otherwise(1)).otherwise(0)
     else:
         step = F.when(F.col("is_close"), -1).otherwise(1)
@@ -82,11 +81,10 @@ def nesting_stats(pages: DataFrame) -> DataFrame:
 def nesting_cost(depths: DataFrame, rules: DataFrame, key: str = "page_id") -> DataFrame:
     """R1 + M3: Σ weight × (1 + depth) over nodes whose role is ``control``.
 
-    The rule table (tens of rows) is broadcast; its size is bounded by the
-    number of node types, not by the data.
+    A small rule table is broadcast by Spark itself, after its size is known.
     """
     ctl = rules.filter(F.col("role") == "control").select(F.col("node_type").alias("tag"), "weight")
-    j = depths.join(F.broadcast(ctl), "tag", "inner")
+    j = depths.join(ctl, "tag", "inner")
     return j.groupBy(key).agg(
         F.count(F.lit(1)).alias("control_nodes"),
         F.sum(F.col("weight") * (1 + F.col("depth"))).alias("nesting_cost"),

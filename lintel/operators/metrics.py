@@ -78,7 +78,7 @@ def structure(df: DataFrame, content: str = "content", count_keywords: bool = Fa
     docstring) and operand arrays. Map-only.
     """
     df = TK.with_tokens(df, content, "__tok")
-    df = df.withColumn("__s", F.expr(ST.fold_sql("__tok")))
+    df = TK.materialize(df, F.expr(ST.fold_sql("__tok")), "__s")  # filters above must not copy the fold
     # soft keywords that open a statement are keywords, not operands
     opd = F.filter("__tok", lambda x: x["k"].isin(*TK.OPERAND_KINDS) & x["h"].isNull())
     df = df.withColumn("__opd", F.transform(opd, lambda x: x["t"]))

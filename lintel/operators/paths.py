@@ -98,13 +98,13 @@ def path_nodes(files: DataFrame, path: str = "file_path") -> DataFrame:
 
 
 def sibling_order(nodes: DataFrame) -> DataFrame:
-    """O3: folders first, then case-insensitive name order, per parent.
+    """O3: folders first, then names in locale order, per parent.
 
     The rank is a window per ``parent_path``; a folder with very many
     children is one window partition, which Spark sorts with spill.
     """
     w = Window.partitionBy("parent_path").orderBy(
-        F.when(F.col("type") == "folder", 0).otherwise(1), F.lower("name"), F.col("name"))
+        F.when(F.col("type") == "folder", 0).otherwise(1), F.collate("name", "UNICODE"), F.col("name"))
     return nodes.withColumn("sibling_rank", F.row_number().over(w))
 
 
@@ -139,21 +139,25 @@ def path_edges(files: DataFrame, path: str = "file_path") -> DataFrame:
     return x.unionByName(top)
 
 
+def _listed():
+    """Names that a listing shows."""
+    return ~F.col("name").startswith(".") & ~F.col("name").isin(*R.LISTING_HIDDEN)
+
+
 def list_children(nodes: DataFrame, folder: str) -> DataFrame:
     """Direct children of ``folder``; dot-names and noise folders hidden;
     folders first, then case-insensitive name; with the listing's parent."""
     parent_of = folder.rsplit("/", 1)[0] if "/" in folder.strip("/") else ("/" if folder.startswith("/") else None)
-    kids = nodes.filter(F.col("parent_path") == F.lit(folder)).filter(
-        ~F.col("name").startswith(".") & ~F.col("name").isin(*R.LISTING_HIDDEN))
+    kids = nodes.filter(F.col("parent_path") == F.lit(folder)).filter(_listed())
     return kids.select(
         "name", "path", (F.col("type") == "folder").alias("is_dir"),
         F.lit(folder).alias("current_path"), F.lit(parent_of).cast("string").alias("parent_path"),
-    )
+    ).orderBy(F.desc("is_dir"), F.lower("name"), "name")
 
 
 def folder_counts(nodes: DataFrame) -> DataFrame:
-    """Per folder, the number of child folders and child files."""
-    return nodes.filter(F.col("parent_path").isNotNull()).groupBy("parent_path").agg(
+    """Per folder, the number of listed child folders and child files."""
+    return nodes.filter(F.col("parent_path").isNotNull() & _listed()).groupBy("parent_path").agg(
         F.count_if(F.col("type") == "folder").alias("folder_count"),
         F.count_if(F.col("type") == "file").alias("file_count"),
     )

@@ -69,7 +69,7 @@ def list_metrics(metrics: DataFrame) -> DataFrame:
 
 
 def top_complex(metrics: DataFrame, k: int, by: list[str] | None = None,
-                order_col: str = "cognitive_complexity") -> DataFrame:
+                order_col: str = "complexity_score") -> DataFrame:
     """O2: the k most complex files, overall (TakeOrderedAndProject) or per group.
 
     Per group, a window rank keeps only k rows per key after a shuffle on the
@@ -92,7 +92,9 @@ def triage(metrics: DataFrame, sources: DataFrame | None = None) -> DataFrame:
 
 
 def folder_rollup(metrics: DataFrame, root: str = "/") -> DataFrame:
-    """A1 for every folder above each file (all ancestor folders).
+    """A1 for every folder above each file (all ancestor folders), per repo.
+
+    A bare file name has no folder above it and counts in none.
 
     Each file emits one row per ancestor folder (depth of the path, bounded
     by path length), then a partial+final hash aggregate per folder. A hot
@@ -101,13 +103,13 @@ def folder_rollup(metrics: DataFrame, root: str = "/") -> DataFrame:
     """
     parts = F.split(F.col("file_path"), "/")
     n = F.size(parts)
-    folders = F.transform(
+    folders = F.when(n > 1, F.transform(
         F.sequence(F.lit(1), n - 1),
         lambda i: F.array_join(F.slice(parts, 1, i), "/"),
-    )
+    ))
     x = metrics.select(
-        F.explode(folders).alias("folder"),
+        "repo", F.explode(folders).alias("folder"),
         "maintainability_index", "sqale_debt_hours", "cognitive_complexity", "lines_of_code",
     ).withColumn("folder", F.when(F.col("folder") == "", F.lit(root)).otherwise(F.col("folder")))
-    return project_health(x, ["folder"]).select(
-        "folder", "files", "avg_mi", "total_debt_hours", "avg_cognitive", "total_loc")
+    return project_health(x, ["repo", "folder"]).select(
+        "repo", "folder", "files", "avg_mi", "total_debt_hours", "avg_cognitive", "total_loc")

@@ -24,26 +24,30 @@ def segmented_running(df: DataFrame, key: list[str], order: list[str], value: Co
     previous row's value per key (``lag``), crossing segment borders.
     """
     v = F.col(value) if isinstance(value, str) else value
-    x = df.withColumn("__seg", segment).withColumn("__v", v)
+    # a NULL segment (a row without a place in the order) is the first one
+    x = df.withColumn("__seg", F.coalesce(segment.cast("long"), F.lit(-(1 << 62)))).withColumn("__v", v)
     ob = [F.col(c) for c in order]
     frame = Window.partitionBy(*key, "__seg").orderBy(*ob)
     hi = 0 if inclusive else -1
     x = x.withColumn("__local", F.coalesce(
         F.sum("__v").over(frame.rowsBetween(Window.unboundedPreceding, hi)), F.lit(0)))
     if prev_out:
-        x = x.withColumn("__lag", F.lag("__v").over(frame))
+        x = x.withColumn("__lag", F.lag("__v").over(frame)).withColumn("__nth", F.row_number().over(frame))
     seg = x.groupBy(*key, "__seg").agg(
         F.sum("__v").alias("__tot"),
-        F.max_by("__v", F.struct(*ob)).alias("__last"),
+        F.max_by(F.struct("__v"), F.struct(*ob)).alias("__last"),
     )
     sw = Window.partitionBy(*key).orderBy("__seg")
     seg = seg.select(
-        *key, "__seg",
+        *[F.col(c).alias(f"__k{i}") for i, c in enumerate(key)], F.col("__seg").alias("__s"),
         F.coalesce(F.sum("__tot").over(sw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
-        F.lag("__last").over(sw).alias("__prev_last"),
+        F.lag("__last").over(sw)["__v"].alias("__prev_last"),
     )
-    y = x.join(seg, [*key, "__seg"], "inner").withColumn(out, F.col("__local") + F.col("__off"))
+    same = F.col("__seg") == F.col("__s")
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    y = x.join(seg, same, "inner").withColumn(out, F.col("__local") + F.col("__off"))
     if prev_out:
-        y = y.withColumn(prev_out, F.coalesce(F.col("__lag"), F.col("__prev_last")))
-        y = y.drop("__lag")
-    return y.drop("__seg", "__v", "__local", "__off", "__prev_last")
+        y = y.withColumn(prev_out, F.when(F.col("__nth") == 1, F.col("__prev_last")).otherwise(F.col("__lag")))
+        y = y.drop("__lag", "__nth")
+    return y.drop("__seg", "__v", "__local", "__off", "__prev_last", "__s", *[f"__k{i}" for i in range(len(key))])

@@ -7,6 +7,7 @@ full; limits appear only where a top-k is the feature.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Callable
 
@@ -45,6 +46,11 @@ def scanned_docs(spark: SparkSession, sf: str) -> DataFrame:
     return FS.prune_ignored(d.filter(F.col("file_path").endswith(".py")))
 
 
+def existing_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of the code corpus that still exist: some were deleted after the scan."""
+    return C.code_corpus(spark, sf).filter(F.col("doc_id") % 37 != 0).select("repo", "file_path")
+
+
 # ----------------------------------------------------------------- queries
 def q_scan_prune(spark, sf):
     return scanned_docs(spark, sf).select("repo", "file_path", "doc_id")
@@ -100,7 +106,7 @@ def q_insight(spark, sf):
 
 def q_top_complex(spark, sf):
     return RU.top_complex(code_metrics(spark, sf), 10).select(
-        "file_path", "cognitive_complexity", "maintainability_index")
+        "file_path", "complexity_score", "cognitive_complexity", "maintainability_index")
 
 
 def q_list_metrics(spark, sf):
@@ -109,7 +115,7 @@ def q_list_metrics(spark, sf):
 
 def q_triage(spark, sf):
     m = code_metrics(spark, sf)
-    return RU.triage(m, C.code_corpus(spark, sf)).select("file_path", "maintainability_index",
+    return RU.triage(m, existing_files(spark, sf)).select("file_path", "maintainability_index",
                                                           "cognitive_complexity")
 
 
@@ -132,15 +138,16 @@ def q_severity_counts(spark, sf):
 
 
 def q_issues_per_file(spark, sf):
-    return I.issues_per_file(code_metrics(spark, sf), FA.label_issues(spark, sf))
+    return I.issues_per_file(C.code_corpus(spark, sf), FA.label_issues(spark, sf))
 
 
 def q_diagnosis_summary(spark, sf):
-    return I.diagnosis_summary(code_metrics(spark, sf), _issues(spark, sf))
+    files = C.code_corpus(spark, sf)
+    return I.diagnosis_summary(files, I.issue_navigation(FA.label_issues(spark, sf), files))
 
 
 def q_issue_navigation(spark, sf):
-    return I.issue_navigation(FA.label_issues(spark, sf), code_metrics(spark, sf))
+    return I.issue_navigation(FA.label_issues(spark, sf), existing_files(spark, sf))
 
 
 def q_parse_bug_scan(spark, sf):
@@ -173,7 +180,7 @@ def q_requests(spark, sf):
 
 def q_instruction(spark, sf):
     c = C.table(spark, sf, "conversations")
-    user = F.when(F.col("role") == "user", F.col("text")).otherwise(F.lit("   "))
+    user = F.when(F.col("role") == "user", F.concat(F.lit("\n\t"), "text", F.lit(" \n"))).otherwise(F.lit(" \n "))
     diag = F.when(F.col("turn") % 3 == 0, F.lit("Division by zero")).otherwise(F.lit(""))
     return c.select("conv_id", "turn", FX.instruction(user, diag).alias("instruction"))
 
@@ -199,7 +206,7 @@ def _generated(spark, sf):
     d = C.table(spark, sf, "documents")
     g = g.join(d.select("doc_id", FA.code_path(d.doc_id, d.source, d.lang).alias("file_path")),
                g.conv_id == d.doc_id, "inner")
-    return g.select("file_path", F.concat(F.lit("Handles "), F.substring("t", 1, 60)).alias("description"))
+    return g.select("file_path", F.concat(F.lit("Handles "), "t").alias("description"))
 
 
 def _previous(spark, sf):
@@ -219,7 +226,7 @@ def q_description_cache(spark, sf):
 def q_describe(spark, sf):
     m = code_metrics(spark, sf)
     cache = D.description_cache(_previous(spark, sf))
-    r = D.resolve_descriptions(m, cache, _generated(spark, sf), C.code_corpus(spark, sf))
+    r = D.resolve_descriptions(m, cache, _generated(spark, sf))  # blank files are those with no lines of code
     return r.select("file_path", "description", "description_source")
 
 
@@ -236,6 +243,8 @@ def _expectations(spark, sf):
     blocks_cog = F.array(*[F.lit(b[3]) for b in C.BLOCKS])
     n = F.size(F.split(d.text, "\n", -1))
     cog = blocks_cog[b0] + blocks_cog[b1] + 1 + 2 * n
+    cog = F.when((d.doc_id % 29 == 0) | (d.doc_id % 31 == 0), 0).otherwise(cog)
+    cog = cog + F.when(d.doc_id % 43 == 0, 1).otherwise(0)  # wrong expectations, which must fail
     return d.select(FA.code_path(d.doc_id, d.source, d.lang).alias("file_path"),
                     cog.alias("cognitive_complexity"),
                     F.round(cog.cast("decimal(10,0)") * F.lit(0.15).cast("decimal(3,2)"), 2)
@@ -248,7 +257,8 @@ def q_calibration(spark, sf):
 
 
 def q_path_uniqueness(spark, sf):
-    return Q.duplicate_keys(C.docs_corpus(spark, sf))
+    docs = C.docs_corpus(spark, sf)
+    return Q.duplicate_keys(docs.unionByName(docs.filter(F.col("doc_id") % 41 == 0)))
 
 
 def q_path_nodes(spark, sf):
@@ -286,20 +296,23 @@ def q_folder_counts(spark, sf):
 def q_diff_lines(spark, sf):
     d = C.table(spark, sf, "documents")
     pairs = d.select(F.col("doc_id").alias("file_path"), F.col("text").alias("original"),
-                     F.regexp_replace("text", "###", "#").alias("fixed"))
-    return LN.diff_lines(pairs).where(F.col("changed")).select("file_path", "line_no", "original_line",
-                                                                "fixed_line")
+                     F.concat(F.regexp_replace("text", "###", "#"), F.when(F.col("doc_id") % 5 == 0, "\nend").otherwise("")).alias("fixed"))
+    return LN.diff_lines(pairs).select("file_path", "line_no", "original_line", "fixed_line", "changed")
+
+
+def q_lines(spark, sf):
+    return LN.lines(C.docs_corpus(spark, sf))
 
 
 def q_content_lookup(spark, sf):
-    docs = C.docs_corpus(spark, sf)
+    docs = C.docs_corpus(spark, sf).withColumn("content", F.when(F.col("doc_id") % 23 != 0, F.col("content")))  # some unreadable
     lab = C.table(spark, sf, "labels")
     d = C.table(spark, sf, "documents")
     have = lab.join(d, "doc_id").select(C.doc_path(d.doc_id, d.source, d.lang).alias("file_path"))
     bench = C.table(spark, sf, "benchmark").select(
         F.concat(F.lit("/missing/b"), F.col("item_id").cast("string"), F.lit(".py")).alias("file_path"))
     return S.content_lookup(docs, have.unionByName(bench)).select(
-        "file_path", "file_name", "found", F.length("content").alias("content_chars"))
+        "file_path", "file_name", "found", "content")
 
 
 def q_patch_names(spark, sf):
@@ -348,8 +361,7 @@ def q_patch_overlay(spark, sf):
         F.when(F.col("toxic") == 1, F.concat(F.lit("/gone/"), F.col("doc_id").cast("string"), F.lit(".py")))
         .otherwise(FA.code_path(d.doc_id, d.source, d.lang)).alias("file_path"),
         F.concat(F.lit("# fixed\n"), F.col("text")).alias("new_code"))
-    return S.patch_overlay(snap, fixes).select("file_path", "snapshot_id", F.length("content").alias("chars"),
-                                               "message", "applied")
+    return S.patch_overlay(snap, fixes).select("file_path", "snapshot_id", "content", "message", "applied")
 
 
 def q_scan_files(spark, sf):
@@ -359,16 +371,14 @@ def q_scan_files(spark, sf):
                                         (F.col("doc_id") % 11 == 0).alias("bad"))
     FS.write_tree(d, out, encoding_bad="bad")
     src = FS.scan_sources(spark, out, repo="docs", keep_invalid=True)
-    good, bad = FS.quarantine(src)
-    rel = F.regexp_replace("file_path", "^.*?/srv/", "/srv/")
-    return good.select(rel.alias("file_path"), F.lit(True).alias("readable")).unionByName(
-        bad.select(rel.alias("file_path"), F.lit(False).alias("readable")))
+    root = re.sub(r"^file:/*", "/", out).rstrip("/")
+    return src.select(F.substring("file_path", len(root) + 1, 1 << 30).alias("file_path"), F.col("content").isNotNull().alias("readable"))
 
 
 def q_stream_upsert(spark, sf):
     ev = FA.metric_events(spark, sf)
     src = scratch_path(spark, f"events-src-{uuid.uuid4().hex[:8]}")
-    ev.repartition(4, "seq").write.parquet(src)
+    ev.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq").write.parquet(src)
     st = STR.stream_upsert(spark, src, ev.schema, ["file_path"], ["last_analyzed", "seq"],
                            max_files_per_trigger=2)
     return st.select("file_path", "last_analyzed", "seq", "sqale_debt_hours")

@@ -8,7 +8,9 @@ functions. Views ``region ... conversations`` are pre-registered.
 
 from __future__ import annotations
 
-from lintel.functions import tokens as TK
+import io
+import tokenize
+
 from lintel.sources import corpus as C
 from lintel.sources.facts import PRIORITY_TYPES
 
@@ -31,29 +33,35 @@ OPS = ("assignment", "augmented_assignment", "binary_operator", "unary_operator"
        "boolean_operator", "not_operator")
 
 
+def token_count(code: str) -> int:
+    """Tokens of a block by Python's own tokenizer, without layout and comments."""
+    layout = (tokenize.NEWLINE, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.COMMENT, tokenize.ENDMARKER)
+    return sum(t.type not in layout for t in tokenize.generate_tokens(io.StringIO(code).readline))
+
+
 def _blocks_values() -> str:
     rows = []
     for i, (txt, loc, ctl, cog, nst, ops, opd) in enumerate(C.BLOCKS):
         counts = ", ".join(str(ops.get(o, 0)) for o in OPS)
-        rows.append(f"({i}, {lit(txt)}, {loc}, {ctl}, {cog}, {nst}, {counts}, {_list(opd)})")
+        rows.append(f"({i}, {lit(txt)}, {loc}, {ctl}, {cog}, {nst}, {counts}, {_list(opd)}, {token_count(txt)})")
     return "VALUES " + ", ".join(rows)
 
 
-TOKEN_RE_SQL = "'" + TK.TOKEN_RE.replace("'", "''") + "'"
-
 CODE_CTE = f"""
-blk(b, txt, loc, ctl, cog, nst, asg, aug, bin, un, cmp, boo, nno, opd) AS ({_blocks_values()}),
+blk(b, txt, loc, ctl, cog, nst, asg, aug, bin, un, cmp, boo, nno, opd, ntk) AS ({_blocks_values()}),
 cbase AS (
   SELECT doc_id, source AS repo, lang, text, replace(text, '\"\"\"', '') AS body,
          len(string_split(text, {NL})) AS nl,
+         CASE WHEN doc_id % 29 = 0 THEN 'blank' WHEN doc_id % 31 = 0 THEN 'tiny' ELSE 'full' END AS kind,
          CAST(doc_id % 10 AS INTEGER) AS b0, CAST((doc_id // 10) % 10 AS INTEGER) AS b1
   FROM documents),
 cc AS (
-  SELECT c.doc_id, c.repo, c.body, c.nl,
+  SELECT c.doc_id, c.repo, c.body, c.nl, c.kind, x.ntk + y.ntk + 1 + 5 + 6 * c.nl AS ntok,
     '/code/' || c.repo || '/' || c.lang || '/mod_' || CAST(c.doc_id AS VARCHAR) || '.py' AS file_path,
+    CASE c.kind WHEN 'blank' THEN {NL} || '  ' || chr(9) || {NL} WHEN 'tiny' THEN 'x = 1' || {NL} ELSE
     '\"\"\"' || {NL} || c.body || {NL} || '\"\"\"' || {NL} || {NL} || {NL} || x.txt || {NL} || {NL} || y.txt
       || {NL} || {NL} || 'for row in rows:' || {NL}
-      || repeat('    if flag:' || {NL} || '        total += 1' || {NL}, CAST(c.nl AS BIGINT)) AS content,
+      || repeat('    if flag:' || {NL} || '        total += 1' || {NL}, CAST(c.nl AS BIGINT)) END AS content,
     x.ctl + y.ctl + 1 + c.nl AS ctl,
     x.cog + y.cog + 1 + 2 * c.nl AS cog,
     1 + x.nst + y.nst + 1 + 2 * c.nl AS nst,
@@ -68,17 +76,15 @@ ch AS (
     (asg > 0)::INT + (aug > 0)::INT + (bin > 0)::INT + (un > 0)::INT + (cmp > 0)::INT + (boo > 0)::INT
       + (nno > 0)::INT AS n1_unique,
     len(list_filter(string_split(content, {NL}), lambda l: regexp_matches(l, '^{WS}*[^ \\t\\n\\r\\f\\x0B#]')))
-      AS loc_raw,
-    len(list_filter(regexp_extract_all(content, {TOKEN_RE_SQL}),
-        lambda t: NOT (left(t, 1) IN ('#', chr(92), {NL})))) AS ntok
+      AS loc_raw
   FROM cc),
 cv AS (
   SELECT *, CASE WHEN n1_unique + n2_unique = 0 THEN 0.0
                  ELSE (n1_total + n2_total) * log2(n1_unique + n2_unique) END AS vol,
          greatest(loc_raw, 1) AS loc
   FROM ch),
-cm AS (
-  SELECT repo, doc_id, file_path, content,
+cf AS (
+  SELECT repo, doc_id, file_path, content, kind,
     CAST(ctl AS INTEGER) AS complexity_score,
     CAST(1 + ntok + nst AS BIGINT) AS node_count,
     CAST(cog AS INTEGER) AS cognitive_complexity,
@@ -89,7 +95,22 @@ cm AS (
     CAST(loc AS INTEGER) AS lines_of_code,
     regexp_replace(body, '^{WS}+|{WS}+$', '', 'g') AS description,
     n1_total, n1_unique, n2_total, n2_unique
-  FROM cv)
+  FROM cv),
+cm AS (  -- blank and one-statement files by their hand-counted constants
+  SELECT repo, doc_id, file_path, content,
+    CASE WHEN kind = 'full' THEN complexity_score ELSE 0 END AS complexity_score,
+    CAST(CASE kind WHEN 'full' THEN node_count WHEN 'tiny' THEN 5 ELSE 0 END AS BIGINT) AS node_count,
+    CASE WHEN kind = 'full' THEN cognitive_complexity ELSE 0 END AS cognitive_complexity,
+    CASE kind WHEN 'full' THEN halstead_volume WHEN 'tiny' THEN 4.75 ELSE 0.0 END AS halstead_volume,
+    CASE kind WHEN 'full' THEN maintainability_index WHEN 'tiny' THEN 95.12 ELSE 100.0 END AS maintainability_index,
+    CAST(CASE WHEN kind = 'full' THEN sqale_debt_hours ELSE 0 END AS DECIMAL(12,2)) AS sqale_debt_hours,
+    CAST(CASE kind WHEN 'full' THEN lines_of_code WHEN 'tiny' THEN 1 ELSE 0 END AS INTEGER) AS lines_of_code,
+    CASE WHEN kind = 'full' THEN description END AS description,
+    CASE kind WHEN 'full' THEN n1_total WHEN 'tiny' THEN 1 ELSE 0 END AS n1_total,
+    CASE kind WHEN 'full' THEN n1_unique WHEN 'tiny' THEN 1 ELSE 0 END AS n1_unique,
+    CASE kind WHEN 'full' THEN n2_total WHEN 'tiny' THEN 2 ELSE 0 END AS n2_total,
+    CASE kind WHEN 'full' THEN n2_unique WHEN 'tiny' THEN 2 ELSE 0 END AS n2_unique
+  FROM cf)
 """
 
 DOC_PATH = (
@@ -141,17 +162,19 @@ im AS (SELECT li.file_path, regexp_extract(li.file_path, '[^/]*$') AS file_name,
 """
 
 RESPONSES = f"""
-rs AS (SELECT {CODE_PATH} AS file_path, conv_id, turn,
-  CASE conv_id % 6
-    WHEN 0 THEN '```json' || {NL} || '{{"has_bug": true, "issue": "' || regexp_replace(substr(c.text, 1, 40), '[^\\p{{L}} ]', '', 'g')
-         || '", "severity": "' || ['high', 'medium', 'low'][turn % 3 + 1] || '"}}' || {NL} || '```'
-    WHEN 1 THEN '{{"has_bug": ' || CASE WHEN turn % 4 = 1 THEN 'true' ELSE 'false' END || ', "issue": "'
-         || regexp_replace(substr(c.text, 1, 40), '[^\\p{{L}} ]', '', 'g') || '"}}'
+rs AS (SELECT CASE WHEN doc_id IS NULL THEN '/code/none/conv_' || CAST(conv_id AS VARCHAR) || '.py' ELSE {CODE_PATH} END AS file_path, conv_id, turn,
+  CASE conv_id % 9
+    WHEN 0 THEN {NL} || chr(9) || '```json' || {NL} || CAST(to_json({{'has_bug': true, 'issue': c.text,
+         'severity': ['high', 'medium', 'low'][turn % 3 + 1]}}) AS VARCHAR) || {NL} || '```'
+    WHEN 1 THEN CAST(to_json({{'has_bug': turn % 4 = 1, 'issue': c.text}}) AS VARCHAR)
     WHEN 2 THEN '{{"has_bug": true}}'
     WHEN 3 THEN '[1, 2, 3]'
     WHEN 4 THEN c.text
+    WHEN 6 THEN '{{"has_bug": "false", "is_healthy": true, "suggestions": ["a", "b"]}}'
+    WHEN 7 THEN '{{"has_bug": true, "issue": null, "is_healthy": null}}'
+    WHEN 8 THEN '{{"has_bug": 2, "severity": "low", "is_healthy": "yes", "suggestions": null}}'
     ELSE 'Found an error: ' || c.text END AS response
-  FROM conversations c JOIN documents ON c.conv_id = doc_id WHERE c.role = 'assistant'),
+  FROM conversations c LEFT JOIN documents ON c.conv_id = doc_id),
 rj AS (SELECT *, trim(response, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS t0 FROM rs),
 rk AS (SELECT *, trim(CASE WHEN starts_with(t0, '```') AND len(string_split(t0, '```')) > 1
                      THEN regexp_replace(string_split(t0, '```')[2], '^json', '') ELSE t0 END,
@@ -184,6 +207,7 @@ ff AS (SELECT request_id,
          bool_or(CASE WHEN attempt = 0 THEN NOT passed END) AS reproduced,
          min(CASE WHEN fix AND passed THEN attempt END) AS winning_attempt,
          arg_min(fixed_code, attempt) FILTER (WHERE fix AND passed) AS winning_code,
+         arg_min(fixed_code, attempt) FILTER (WHERE fix) AS first_code,
          max(CASE WHEN fix THEN attempt END) AS last_attempt,
          arg_max(output, attempt) FILTER (WHERE fix) AS last_output,
          count(*) FILTER (WHERE fix) AS fix_attempts
@@ -276,25 +300,25 @@ SELECT repo, CAST(round(avg_mi, 0) AS INTEGER) AS healthy_pct, {debt_text('total
 FROM h WHERE files > 0 AND total_debt_hours > 0""")
 
 SQL["top_complex"] = with_code(
-    "SELECT file_path, cognitive_complexity, maintainability_index FROM cm "
-    "ORDER BY cognitive_complexity DESC, file_path ASC LIMIT 10")
+    "SELECT file_path, complexity_score, cognitive_complexity, maintainability_index FROM cm "
+    "ORDER BY complexity_score DESC, file_path ASC LIMIT 10")
 
 SQL["list_metrics"] = with_code("SELECT file_path, complexity_score, node_count FROM cm")
 
 SQL["triage"] = with_code(
     "SELECT file_path, maintainability_index, cognitive_complexity FROM cm "
-    "WHERE NOT (maintainability_index >= 85 AND cognitive_complexity < 5)")
+    "WHERE NOT (maintainability_index >= 85 AND cognitive_complexity < 5) AND doc_id % 37 <> 0")
 
 SQL["folder_rollup"] = with_code("""
 , fo AS (SELECT f.folder, cm.* FROM cm,
         LATERAL (SELECT array_to_string(list_slice(string_split(cm.file_path, '/'), 1, i), '/') AS folder
                  FROM range(1, len(string_split(cm.file_path, '/'))) t(i)) f)
-SELECT CASE WHEN folder = '' THEN '/' ELSE folder END AS folder, count(*) AS files,
+SELECT repo, CASE WHEN folder = '' THEN '/' ELSE folder END AS folder, count(*) AS files,
   coalesce(sum(CAST(round(maintainability_index * 100) AS BIGINT)) / count(*) / 100.0, 100.0) AS avg_mi,
   CAST(coalesce(sum(sqale_debt_hours), 0) AS DECIMAL(22,2)) AS total_debt_hours,
   coalesce(sum(cognitive_complexity) / count(*), 0.0) AS avg_cognitive,
   CAST(coalesce(sum(lines_of_code), 0) AS BIGINT) AS total_loc
-FROM fo GROUP BY 1""")
+FROM fo GROUP BY ALL""")
 
 SQL["rank_issues"] = with_code(f""", {LABEL_ISSUES},
 ri AS (SELECT *, split_part(file_path, '/', 3) AS repo FROM im),
@@ -314,38 +338,37 @@ SELECT cm.file_path, CAST(count(li.file_path) AS BIGINT) AS issues FROM cm LEFT
 GROUP BY cm.file_path""")
 
 SQL["diagnosis_summary"] = with_code(f""", {LABEL_ISSUES}
-SELECT (SELECT count(*) FROM cm) AS total_files, (SELECT count(*) FROM im) AS files_with_issues""")
+SELECT (SELECT count(*) FROM documents) AS total_files, (SELECT count(*) FROM labels SEMI JOIN documents USING (doc_id)) AS files_with_issues""")
 
 SQL["issue_navigation"] = with_code(f""", {LABEL_ISSUES}
-SELECT * FROM li WHERE file_path IN (SELECT file_path FROM cm)""")
+SELECT * FROM li WHERE file_path IN (SELECT file_path FROM cm WHERE doc_id % 37 <> 0)""")
 
 SQL["parse_bug_scan"] = with_code(f""", {RESPONSES},
 iss AS (SELECT file_path,
-    CASE WHEN kind = 'obj' THEN coalesce(j->>'issue', 'Potential issue detected')
+    CASE WHEN kind = 'obj' THEN CASE WHEN json_exists(j, '$.issue') THEN j->>'issue' ELSE 'Potential issue detected' END
          ELSE CASE WHEN length(response) > 0 THEN substr(response, 1, 150) ELSE 'Analysis inconclusive' END END AS issue,
-    CASE WHEN kind = 'obj' THEN coalesce(j->>'severity', 'medium') ELSE 'medium' END AS severity
+    CASE WHEN kind = 'obj' THEN CASE WHEN json_exists(j, '$.severity') THEN j->>'severity' ELSE 'medium' END ELSE 'medium' END AS severity
   FROM rq
-  WHERE (kind = 'obj' AND coalesce(TRY_CAST(j->'has_bug' AS BOOLEAN), false))
+  WHERE (kind = 'obj' AND (conv_id % 9 IN (0, 2, 6, 7, 8) OR (conv_id % 9 = 1 AND turn % 4 = 1)))  -- truth by shape
      OR (kind = 'bad' AND (contains(lower(response), 'bug') OR contains(lower(response), 'error'))))
 SELECT iss.file_path, regexp_extract(iss.file_path, '[^/]*$') AS file_name, issue, severity, {SEV_RANK} AS severity_rank,
   cm.cognitive_complexity, cm.maintainability_index
-FROM iss JOIN cm USING (file_path)""")
+FROM iss JOIN cm USING (file_path) WHERE issue IS NOT NULL AND severity IS NOT NULL""")
 
 SQL["parse_diagnosis"] = with_code(f""", {RESPONSES}
 SELECT file_path,
-  CASE WHEN kind = 'obj' THEN coalesce(TRY_CAST(j->'is_healthy' AS BOOLEAN), false) WHEN kind = 'bad' THEN true
-       ELSE false END AS is_healthy,
-  CASE WHEN kind = 'obj' THEN coalesce(j->>'issue', 'Analysis complete')
-       WHEN kind = 'bad' THEN 'Code analyzed - no critical issues found'
+  CASE WHEN kind = 'bad' OR conv_id % 9 = 6 THEN true ELSE false END AS is_healthy,
+  CASE WHEN kind = 'bad' THEN 'Code analyzed - no critical issues found'
+       WHEN kind = 'obj' THEN CASE WHEN conv_id % 9 IN (7, 8) THEN 'Analysis failed: invalid answer'
+         ELSE coalesce(j->>'issue', 'Analysis complete') END
        ELSE 'Analysis failed: ' || chr(39) || CASE json_type(j) WHEN 'ARRAY' THEN 'list' WHEN 'BIGINT' THEN 'int'
          WHEN 'UBIGINT' THEN 'int' WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool'
          ELSE 'NoneType' END || chr(39) || ' object has no attribute ' || chr(39) || 'get' || chr(39) END AS issue,
-  CASE WHEN kind = 'obj' THEN coalesce(j->>'severity', 'low') WHEN kind = 'bad' THEN 'none' ELSE 'medium' END
-    AS severity,
-  CAST(CASE WHEN kind = 'obj' THEN coalesce(json_array_length(j->'suggestions'), 0)
-       WHEN kind = 'bad' THEN CASE WHEN length(response) > 0 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS n_suggestions,
-  CASE WHEN kind = 'obj' THEN j->'suggestions'->>0
-       WHEN kind = 'bad' THEN CASE WHEN length(response) > 0 THEN substr(response, 1, 200) END END AS first_suggestion
+  CASE WHEN kind = 'bad' THEN 'none' WHEN kind = 'obj' AND conv_id % 9 NOT IN (7, 8) THEN coalesce(j->>'severity', 'low')
+       ELSE 'medium' END AS severity,
+  CAST(CASE WHEN kind = 'bad' THEN CASE WHEN length(response) > 0 THEN 1 ELSE 0 END WHEN conv_id % 9 = 6 THEN 2 ELSE 0 END AS INTEGER) AS n_suggestions,
+  CASE WHEN kind = 'bad' THEN CASE WHEN length(response) > 0 THEN substr(response, 1, 200) END
+       WHEN conv_id % 9 = 6 THEN 'a' END AS first_suggestion
 FROM rq""")
 
 SQL["clean_code"] = f"""
@@ -362,8 +385,8 @@ SQL["requests"] = with_code(
     "SELECT file_path, regexp_extract(file_path, '[^/]*$') AS file_name, 'describe' AS task, "
     "substr(content, 1, 2000) AS content_head, CAST(length(content) AS INTEGER) AS content_chars FROM cm")
 
-SQL["instruction"] = """
-SELECT conv_id, turn, coalesce(nullif(trim(CASE WHEN role = 'user' THEN text ELSE '   ' END), ''),
+SQL["instruction"] = f"""
+SELECT conv_id, turn, coalesce(nullif(CASE WHEN role = 'user' THEN regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') ELSE '' END, ''),
   nullif(CASE WHEN turn % 3 = 0 THEN 'Division by zero' ELSE '' END, ''), 'Fix any issues in this file') AS instruction
 FROM conversations"""
 
@@ -375,7 +398,7 @@ SELECT request_id, reproduced, CAST(winning_attempt AS INTEGER) AS winning_attem
 
 SQL["fix_outcomes"] = f"""WITH {FIX.strip()},
 x AS (SELECT fr.request_id, fr.file_path, fr.verifier_available, {ISSUE_TYPE} AS issue_type, fs.readable,
-        fs.file_path IS NOT NULL AS ex, ff.reproduced, ff.winning_attempt, ff.winning_code, ff.last_output
+        fs.file_path IS NOT NULL AS ex, ff.reproduced, ff.winning_attempt, ff.winning_code, ff.first_code, ff.last_output
       FROM fr LEFT JOIN fs USING (file_path) LEFT JOIN ff USING (request_id)),
 y AS (SELECT *, issue_type IN ('typo', 'docs', 'style') AS simple, coalesce(reproduced, false) AS rep,
         winning_attempt IS NOT NULL AS won FROM x),
@@ -392,7 +415,7 @@ SELECT request_id, file_path, issue_type,
   CAST(CASE WHEN ex AND readable AND simple THEN 1 WHEN ran AND won THEN winning_attempt END AS INTEGER) AS attempts,
   CASE WHEN ex AND readable AND simple THEN 'skipped (simple issue)' WHEN ran THEN 'verified' END AS verification,
   CASE WHEN ran AND NOT won THEN last_output END AS last_error,
-  CASE WHEN ran AND won THEN winning_code END AS fixed_code
+  CASE WHEN ex AND readable AND simple THEN first_code WHEN ran AND won THEN winning_code END AS fixed_code
 FROM z"""
 
 PREVIOUS = f"""
@@ -403,7 +426,7 @@ pv AS (SELECT {CODE_PATH} AS file_path, 0 AS snapshot_id,
 cache AS (SELECT file_path, arg_max(description, snapshot_id) AS cached_description FROM pv
           WHERE description IS NOT NULL AND description <> '' AND NOT starts_with(description, 'Description unavailable')
           GROUP BY file_path),
-gen AS (SELECT {CODE_PATH} AS file_path, 'Handles ' || substr(t, 1, 60) AS description
+gen AS (SELECT {CODE_PATH} AS file_path, 'Handles ' || t AS description
         FROM (SELECT conv_id, arg_min(text, turn) AS t FROM conversations WHERE role = 'assistant' GROUP BY conv_id) g
         JOIN documents ON conv_id = doc_id)
 """
@@ -412,7 +435,7 @@ SQL["description_cache"] = f"WITH {PREVIOUS.strip()}\nSELECT * FROM cache"
 
 SQL["describe"] = with_code(f""", {PREVIOUS.strip()},
 r AS (SELECT cm.file_path, cm.description AS d, cache.cached_description AS c, gen.description AS g,
-        trim(cm.content) = '' AS blank, length(trim(cm.description)) > 10 AS usable
+        NOT regexp_matches(cm.content, '[^ \\t\\n\\r\\f\\x0B]') AS blank, length(regexp_replace(cm.description, '^{WS}+|{WS}+$', '', 'g')) > 10 AS usable
       FROM cm LEFT JOIN cache USING (file_path) LEFT JOIN gen USING (file_path))
 SELECT file_path,
   CASE WHEN coalesce(usable, false) THEN d WHEN c IS NOT NULL THEN c WHEN blank THEN d WHEN g IS NOT NULL THEN g
@@ -422,18 +445,19 @@ SELECT file_path,
 FROM r""")
 
 SQL["describe_missing"] = with_code(f""", {PREVIOUS.strip()}
-SELECT file_path FROM cm WHERE NOT coalesce(length(trim(description)) > 10, false)
+SELECT file_path FROM cm WHERE NOT coalesce(length(regexp_replace(description, '^{WS}+|{WS}+$', '', 'g')) > 10, false)
   AND file_path NOT IN (SELECT file_path FROM cache)""")
 
-SQL["calibration"] = with_code("""
-, ex AS (SELECT file_path, cognitive_complexity AS ec, sqale_debt_hours AS eh FROM cm)
-SELECT count(*) AS files, count(*) FILTER (WHERE ec = cognitive_complexity AND abs(eh - sqale_debt_hours) < 0.01)
-  AS passed_files,
-  coalesce(bool_and(coalesce(ec = cognitive_complexity AND abs(eh - sqale_debt_hours) < 0.01, false)), true) AS all_passed
-FROM ex JOIN cm USING (file_path)""")
+SQL["calibration"] = """
+SELECT count(*) AS files, count(*) FILTER (WHERE doc_id % 43 <> 0) AS passed_files, coalesce(bool_and(doc_id % 43 <> 0), true) AS all_passed
+FROM documents"""
+
+SQL["lines"] = with_docs(f"""
+SELECT file_path, CAST(i AS INTEGER) AS line_no, string_split(content, {NL})[i] AS line
+FROM dc, range(1, len(string_split(content, {NL})) + 1) t(i)""")
 
 SQL["path_uniqueness"] = with_docs(
-    "SELECT file_path, count(*) AS copies FROM dc GROUP BY file_path HAVING count(*) > 1")
+    "SELECT file_path, CAST(2 AS BIGINT) AS copies FROM dc WHERE doc_id % 41 = 0")
 
 NODES = """
 pn AS (SELECT array_to_string(list_slice(p, 1, i), '/') AS path,
@@ -495,15 +519,15 @@ FROM nodes WHERE parent_path = '/srv/src0/en' AND NOT starts_with(name, '.')
 
 SQL["folder_counts"] = with_docs("," + NODES.replace("SRC", "dc") + """
 SELECT parent_path, count(*) FILTER (WHERE type = 'folder') AS folder_count,
-  count(*) FILTER (WHERE type = 'file') AS file_count FROM nodes WHERE parent_path IS NOT NULL GROUP BY parent_path""")
+  count(*) FILTER (WHERE type = 'file') AS file_count FROM nodes WHERE parent_path IS NOT NULL AND NOT starts_with(name, '.')
+  AND name NOT IN ('node_modules', '__pycache__', 'venv', '.venv', 'env') GROUP BY parent_path""")
 
 SQL["diff_lines"] = f"""
 WITH p AS (SELECT doc_id AS file_path, string_split(text, {NL}) AS o,
-                  string_split(replace(text, '###', '#'), {NL}) AS f FROM documents),
+                  string_split(replace(text, '###', '#') || CASE WHEN doc_id % 5 = 0 THEN {NL} || 'end' ELSE '' END, {NL}) AS f FROM documents),
 z AS (SELECT file_path, i, o[i] AS original_line, f[i] AS fixed_line
       FROM p, range(1, greatest(len(o), len(f)) + 1) t(i))
-SELECT file_path, CAST(i AS INTEGER) AS line_no, original_line, fixed_line FROM z
-WHERE original_line IS DISTINCT FROM fixed_line"""
+SELECT file_path, CAST(i AS INTEGER) AS line_no, original_line, fixed_line, original_line IS DISTINCT FROM fixed_line AS changed FROM z"""
 
 SQL["content_lookup"] = with_docs("""
 , rq AS (SELECT '/srv/' || source || '/' || lang || '/' ||
@@ -511,8 +535,8 @@ SQL["content_lookup"] = with_docs("""
     ELSE '' END || 'm' || CAST(doc_id AS VARCHAR) || CASE WHEN doc_id % 7 = 0 THEN '.txt' ELSE '.py' END AS file_path
     FROM labels JOIN documents USING (doc_id)
   UNION ALL SELECT '/missing/b' || CAST(item_id AS VARCHAR) || '.py' FROM benchmark)
-SELECT rq.file_path, regexp_extract(rq.file_path, '[^/]*$') AS file_name, dc.content IS NOT NULL AS found,
-  CAST(length(coalesce(dc.content, '# File not found')) AS INTEGER) AS content_chars
+SELECT rq.file_path, regexp_extract(rq.file_path, '[^/]*$') AS file_name, dc.doc_id IS NOT NULL AS found,
+  CASE WHEN dc.doc_id IS NULL THEN '# File not found' WHEN dc.doc_id % 23 = 0 THEN '# Error reading file: unreadable' ELSE dc.content END AS content
 FROM rq LEFT JOIN dc USING (file_path)""")
 
 SQL["patch_names"] = with_docs("""
@@ -561,7 +585,7 @@ SQL["patch_overlay"] = with_code(f"""
 j AS (SELECT coalesce(cm.file_path, fx.file_path) AS file_path, cm.file_path IS NOT NULL AS known, cm.content,
         fx.new_code FROM cm FULL OUTER JOIN fx USING (file_path))
 SELECT file_path, CASE WHEN known THEN CAST(2 AS BIGINT) END AS snapshot_id,
-  CAST(length(coalesce(new_code, content)) AS INTEGER) AS chars,
+  coalesce(new_code, content) AS content,
   CASE WHEN new_code IS NULL THEN NULL WHEN NOT known THEN 'File not found: ' || file_path
        ELSE 'Successfully updated ' || regexp_extract(file_path, '[^/]*$') END AS message,
   new_code IS NOT NULL AND known AS applied

@@ -67,6 +67,7 @@ UNKNOWN_SEVERITY_RANK = 1
 DESCRIPTION_UNAVAILABLE = "Description unavailable (AI skipped)"
 DESCRIPTION_UNAVAILABLE_PREFIX = "Description unavailable"
 FILE_NOT_FOUND_CONTENT = "# File not found"
+UNREADABLE_CONTENT = "# Error reading file: unreadable"
 
 # ---------------------------------------------------------------------------
 # Python surface syntax used by the text front end (public language facts).

@@ -23,31 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-# Inputs smaller than this are spread over the cores by a hash repartition;
-# larger inputs already arrive in many splits and are used as they are.
-SPREAD_BELOW_BYTES = 1 << 30
-
-
-def input_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Total size of the files behind ``df`` (file-system metadata only)."""
-    total = 0
-    for f in df.inputFiles():
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return total
-
-
 def spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition a small, CPU-heavy input over all cores.
+    """Deal CPU-heavy rows out evenly by key, at any size.
 
-    A small Parquet file may hold one row group, i.e. one non-empty split,
-    which would run the per-row metric pass in a single task. The size check
-    keeps big inputs on their native splits (no shuffle of the corpus).
+    The metric pass costs far more than moving a text once, and a file may hold
+    one large row group, which Spark can't split among tasks.
     """
-    if input_bytes(spark, df) >= SPREAD_BELOW_BYTES:
-        return df
-    n = max(8, spark.sparkContext.defaultParallelism * 2)
-    return df.repartition(n, key)
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 # ---------------------------------------------------------------------------
@@ -128,6 +110,10 @@ LOOP_HEAD_OPERANDS = ["row", "rows"]
 LOOP_LINE_OPERANDS = ["flag", "total", "1"]
 
 
+# Two special files: one of white space, one healthy statement.
+BLANK_FILE, TINY_FILE = "\n  \t\n", "x = 1\n"
+
+
 def code_text(doc_id: Column, text: Column) -> Column:
     """The Python file derived from one document: the text as module
     docstring, blocks ``doc_id % 10`` and ``doc_id / 10 % 10``, then a loop
@@ -148,7 +134,8 @@ def code_text(doc_id: Column, text: Column) -> Column:
 def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(repo, snapshot_id, file_path, content, doc_id)``: code from documents."""
     d = spread(spark, table(spark, sf_dir, "documents"), "doc_id")
-    content = code_text(d.doc_id, d.text)
+    content = (F.when(d.doc_id % 29 == 0, F.lit(BLANK_FILE)).when(d.doc_id % 31 == 0, F.lit(TINY_FILE))
+               .otherwise(code_text(d.doc_id, d.text)))
     return d.select(
         d.source.alias("repo"),
         F.lit(1).cast("long").alias("snapshot_id"),

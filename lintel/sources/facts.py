@@ -34,25 +34,29 @@ def label_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers built from assistant turns, six shapes by ``conv_id % 6``:
-    fenced JSON, bare JSON, JSON with missing keys, a JSON array, prose, and
-    prose that mentions an error."""
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
-    c = c.join(_doc_dim(spark, sf_dir), c.conv_id == F.col("doc_id"), "inner")
-    snippet = F.regexp_replace(F.substring("text", 1, 40), r"[^\p{L} ]", "")
+    """Model answers built from the turns, nine shapes by ``conv_id % 9``: fenced
+    JSON, bare JSON, JSON with missing keys, a JSON array, prose, prose that
+    mentions an error, and JSON with text, null or number where another type
+    is expected. A conversation without a document has a path of its own."""
+    c = table(spark, sf_dir, "conversations")
+    c = c.join(_doc_dim(spark, sf_dir), c.conv_id == F.col("doc_id"), "left")
+    path = F.coalesce("file_path", F.concat(F.lit("/code/none/conv_"), F.col("conv_id").cast("string"), F.lit(".py")))
+    js = lambda **kw: F.to_json(F.struct(*[v.alias(k) for k, v in kw.items()]))
     sev = F.try_element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("turn") % 3 + 1).cast("int"))
-    flag = F.when(F.col("turn") % 4 == 1, "true").otherwise("false")
-    shape = F.col("conv_id") % 6
+    flag = F.col("turn") % 4 == 1
+    shape = F.col("conv_id") % 9
     resp = (
-        F.when(shape == 0, F.concat(F.lit('```json\n{"has_bug": true, "issue": "'), snippet,
-                                    F.lit('", "severity": "'), sev, F.lit('"}\n```')))
-        .when(shape == 1, F.concat(F.lit('{"has_bug": '), flag, F.lit(', "issue": "'), snippet, F.lit('"}')))
+        F.when(shape == 0, F.concat(F.lit("\n\t```json\n"), js(has_bug=F.lit(True), issue=F.col("text"), severity=sev), F.lit("\n```")))
+        .when(shape == 1, js(has_bug=flag, issue=F.col("text")))
         .when(shape == 2, F.lit('{"has_bug": true}'))
         .when(shape == 3, F.lit("[1, 2, 3]"))
         .when(shape == 4, F.col("text"))
+        .when(shape == 6, F.lit('{"has_bug": "false", "is_healthy": true, "suggestions": ["a", "b"]}'))
+        .when(shape == 7, F.lit('{"has_bug": true, "issue": null, "is_healthy": null}'))
+        .when(shape == 8, F.lit('{"has_bug": 2, "severity": "low", "is_healthy": "yes", "suggestions": null}'))
         .otherwise(F.concat(F.lit("Found an error: "), F.col("text")))
     )
-    return c.select("file_path", "conv_id", "turn", resp.alias("response"))
+    return c.select(path.alias("file_path"), "conv_id", "turn", resp.alias("response"))
 
 
 PRIORITY_TYPES = (

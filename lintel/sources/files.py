@@ -9,6 +9,7 @@ are removed with one array predicate on the path.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def scan_sources(spark: SparkSession, root: str, repo: str | None = None, snapsh
            .option("ignoreCorruptFiles", "true")
            .load(root)
            .select("path", "content"))
-    raw = raw.withColumn("file_path", F.regexp_replace("path", r"^file:", ""))
+    raw = raw.withColumn("file_path", F.regexp_replace("path", r"^file:/*", "/"))
     raw = prune_ignored(raw, "file_path")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     df = raw.select(
@@ -80,7 +81,12 @@ def write_tree(df: DataFrame, out_dir: str, path: str = "rel_path", content: str
                encoding_bad: str | None = None) -> str:
     """Write one text file per row below ``out_dir`` (used to build scan
     fixtures from tables). Each task writes its own rows; nothing is
-    collected to the driver."""
+    collected to the driver. The folder must be mounted on every machine,
+    which only ``file:`` paths and plain ones are."""
+    out_dir = re.sub(r"^file:/*", "/", out_dir)
+    if "://" in out_dir:
+        raise ValueError(f"not a mounted folder: {out_dir}")
+
     def write_part(rows):
         for r in rows:
             p = os.path.join(out_dir, r[path].lstrip("/"))

@@ -56,16 +56,18 @@ def latest_snapshot(table: DataFrame) -> DataFrame:
 
 
 def content_lookup(sources: DataFrame, requests: DataFrame) -> DataFrame:
-    """Content per requested path; missing -> '# File not found'.
+    """Content per requested path; missing -> '# File not found', unreadable
+    (NULL content) -> '# Error reading file: unreadable'.
 
     Plain left join: AQE turns it into a broadcast join at run time only if
     the requests side is measured below the broadcast threshold.
     """
-    s = sources.select("file_path", "content")
+    s = sources.select("file_path", "content", F.lit(True).alias("__known"))
     return requests.select("file_path").join(s, "file_path", "left").select(
-        "file_path", F.coalesce("content", F.lit(R.FILE_NOT_FOUND_CONTENT)).alias("content"),
+        "file_path",
+        F.coalesce("content", F.when(F.col("__known"), F.lit(R.UNREADABLE_CONTENT)), F.lit(R.FILE_NOT_FOUND_CONTENT)).alias("content"),
         B.base_name(F.col("file_path")).alias("file_name"),
-        F.col("content").isNotNull().alias("found"))
+        F.col("__known").isNotNull().alias("found"))
 
 
 def patch_names(df: DataFrame, path: str = "file_path") -> DataFrame:
@@ -84,9 +86,11 @@ def patch_overlay(snapshot: DataFrame, fixes: DataFrame) -> DataFrame:
     """Apply fixes as the next snapshot, with a status per fix.
 
     Full outer join on path: files without a fix are carried over, fixed
-    files get the new code, fixes for unknown paths only report an error.
+    files get the new code, fixes for unknown paths only report an error. Of
+    several fixes for a path the last by ``seq`` holds (by text without one).
     """
-    f = fixes.select("file_path", F.col("new_code"))
+    order = F.struct("seq", "new_code") if "seq" in fixes.columns else F.col("new_code")
+    f = fixes.groupBy("file_path").agg(F.max_by("new_code", order).alias("new_code"))
     s = snapshot.select("repo", "snapshot_id", "file_path", "content")
     j = s.join(f, "file_path", "full_outer")
     known = F.col("content").isNotNull() | F.col("repo").isNotNull()
