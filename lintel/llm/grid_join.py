@@ -113,24 +113,22 @@ def _blocks(vectors: DataFrame, dim: int, axes: np.ndarray, eps: float) -> DataF
             .mapInArrow(cut, "block string, vecs binary, weights binary, units binary, lo array<double>, hi array<double>"))
 
 
-def _near_blocks(blocks: DataFrame, eps: float) -> DataFrame:
+def _near_blocks(blocks: DataFrame, eps: float, dealt: int) -> DataFrame:
     """Pairs of blocks (a <= b) whose boxes are within ``eps``; each pair is met in one cell of the dealt axes."""
     box = blocks.select("block", "lo", "hi")
-    dealt = min(DEALT, AXES)
     for i in range(dealt):
         box = box.withColumn(f"l{i}", F.floor(F.col("lo")[i] / eps)).withColumn(f"h{i}", F.floor(F.col("hi")[i] / eps))
 
     def dealt_to(df: DataFrame, wide: int, name: str) -> DataFrame:
         for i in range(dealt):
-            cells = F.when(F.col(f"l{i}").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.col(f"l{i}") - wide, F.col(f"h{i}") + wide))
-            df = df.withColumn(f"c{i}", F.explode(cells))
+            df = df.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"l{i}") - wide, F.col(f"h{i}") + wide)))
         return df.select(*[f"c{i}" for i in range(dealt)], F.col("block").alias(name), F.col("lo").alias(f"lo_{name}"),
                          F.col("hi").alias(f"hi_{name}"), *[F.col(f"l{i}").alias(f"l{i}_{name}") for i in range(dealt)])
 
     a, b = dealt_to(box, 0, "a"), dealt_to(box, 1, "b")
     met = a.join(b, [f"c{i}" for i in range(dealt)]).filter(F.col("a") <= F.col("b"))
     for i in range(dealt):
-        met = met.filter(F.coalesce(F.col(f"c{i}") == F.greatest(F.col(f"l{i}_a"), F.col(f"l{i}_b") - 1), F.lit(True)))
+        met = met.filter(F.col(f"c{i}") == F.greatest(F.col(f"l{i}_a"), F.col(f"l{i}_b") - 1))
     gap = F.aggregate(F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y),
                                  F.zip_with("lo_b", "hi_a", lambda x, y: x - y),
                                  lambda x, y: F.greatest(x, y, F.lit(0.0))),
@@ -240,7 +238,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, id: str = "vec_id", emb
         own = single.filter(F.size("embedding") == dim)
         axes = _axes(own, dim)
         blocks = saved(_blocks(own, dim, axes, eps), "blocks")
-        found = _linked(_near_blocks(blocks, eps), blocks, dim, axes, eps, least)
+        found = _linked(_near_blocks(blocks, eps, min(DEALT, axes.shape[1])), blocks, dim, axes, eps, least)
         links = found if links is None else links.unionByName(found)
     lone = rows.filter("odd").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if links is None:
