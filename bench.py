@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "file_metrics", "halstead_code", "project_health", "folder_rollup", "rank_issues", "parse_bug_scan",
     "fix_outcomes", "path_nodes", "path_edges", "loc", "node_depth_markup", "debt_trend", "upsert_latest",
-    "describe",
+    "describe", "triage", "describe_missing",
 ]
 
 

@@ -2,7 +2,7 @@
 
 Priority per file: a module docstring longer than 10 trimmed characters,
 else a cached description, else (for non-blank files) a generated one, else
-the 'unavailable' placeholder. Two equi left joins on ``file_path``.
+the 'unavailable' placeholder. Two equi left joins on the file.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel import rules as R
+from lintel.operators.keys import file_key
 from lintel.operators.metrics import is_blank as blank_source
 from lintel.operators.metrics import strip_ws
 
@@ -25,14 +26,14 @@ def description_cache(previous: DataFrame) -> DataFrame:
     ok = previous.filter(
         F.col("description").isNotNull() & (F.col("description") != "")
         & ~F.col("description").startswith(R.DESCRIPTION_UNAVAILABLE_PREFIX))
-    return ok.groupBy("file_path").agg(
+    return ok.groupBy(*file_key(previous)).agg(
         F.max_by("description", "snapshot_id").alias("cached_description"))
 
 
 def files_needing_generation(metrics: DataFrame, cache: DataFrame) -> DataFrame:
     """No usable docstring and no cache entry (left anti join)."""
-    return metrics.filter(~F.coalesce(_usable_docstring(), F.lit(False))).join(
-        cache.select("file_path"), "file_path", "left_anti")
+    key = file_key(metrics, cache)
+    return metrics.filter(~F.coalesce(_usable_docstring(), F.lit(False))).join(cache.select(*key), key, "left_anti")
 
 
 def resolve_descriptions(metrics: DataFrame, cache: DataFrame, generated: DataFrame,
@@ -43,12 +44,13 @@ def resolve_descriptions(metrics: DataFrame, cache: DataFrame, generated: DataFr
     that needed one and has none gets the placeholder. Blank files (from
     ``sources`` when given, else ``lines_of_code == 0``) keep their value.
     """
-    g = generated.select("file_path", F.col("description").alias("generated_description"))
-    x = metrics.join(cache.select("file_path", "cached_description"), "file_path", "left").join(
-        g, "file_path", "left")
+    of_cache, of_answer = file_key(metrics, cache), file_key(metrics, generated)
+    g = generated.select(*of_answer, F.col("description").alias("generated_description"))
+    x = metrics.join(cache.select(*of_cache, "cached_description"), of_cache, "left").join(g, of_answer, "left")
     if sources is not None:
-        blank = sources.select("file_path", blank_source(F.col("content")).alias("__blank"))
-        x = x.join(blank, "file_path", "left")
+        of_source = file_key(metrics, sources)
+        blank = sources.select(*of_source, blank_source(F.col("content")).alias("__blank"))
+        x = x.join(blank, of_source, "left")
         is_blank = F.coalesce(F.col("__blank"), F.lit(True))
     else:
         is_blank = F.col("lines_of_code") == 0

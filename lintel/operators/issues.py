@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lintel import rules as R
 from lintel.functions import bands as B
+from lintel.operators.keys import file_key
 
 FENCE = "```"
 
@@ -118,7 +119,7 @@ def parse_bug_scan(responses: DataFrame, metrics: DataFrame) -> DataFrame:
     x = df.withColumn("__kind", kind).where(
         ((F.col("__kind") == "obj") & has_bug) | ((F.col("__kind") == "bad") & mentions))
     x = x.select(
-        "file_path",
+        *file_key(responses),
         F.when(F.col("__kind") == "obj",
                _text("__v", "issue", "Potential issue detected"))
         .otherwise(F.when(F.length("response") > 0, F.substring("response", 1, 150))
@@ -131,10 +132,11 @@ def parse_bug_scan(responses: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def attach_metrics(issues: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Inner equi-join on path; adds name, rank, cognitive and MI."""
-    m = metrics.select("file_path", "cognitive_complexity", "maintainability_index")
-    return issues.join(m, "file_path", "inner").select(
-        "file_path", B.base_name(F.col("file_path")).alias("file_name"), "issue", "severity",
+    """Inner equi-join on the file; adds name, rank, cognitive and MI."""
+    key = file_key(issues, metrics)
+    m = metrics.select(*key, "cognitive_complexity", "maintainability_index")
+    return issues.join(m, key, "inner").select(
+        *key, B.base_name(F.col("file_path")).alias("file_name"), "issue", "severity",
         severity_rank(F.col("severity")).alias("severity_rank"),
         "cognitive_complexity", "maintainability_index",
     )
@@ -170,9 +172,10 @@ def severity_counts(issues: DataFrame, by: list[str] | None = None) -> DataFrame
 
 def issues_per_file(metrics: DataFrame, issues: DataFrame) -> DataFrame:
     """Issue count per file, 0 when none (aggregate, then left join)."""
-    per = issues.groupBy("file_path").agg(F.count(F.lit(1)).alias("issues"))
-    return metrics.select("file_path").join(per, "file_path", "left").select(
-        "file_path", F.coalesce("issues", F.lit(0).cast("long")).alias("issues"))
+    key = file_key(issues, metrics)
+    per = issues.groupBy(*key).agg(F.count(F.lit(1)).alias("issues"))
+    return metrics.select(*key).join(per, key, "left").select(
+        *key, F.coalesce("issues", F.lit(0).cast("long")).alias("issues"))
 
 
 def diagnosis_summary(metrics: DataFrame, issues: DataFrame) -> DataFrame:
@@ -184,4 +187,5 @@ def diagnosis_summary(metrics: DataFrame, issues: DataFrame) -> DataFrame:
 
 def issue_navigation(issues: DataFrame, metrics: DataFrame) -> DataFrame:
     """Only issues whose file is present (left semi join)."""
-    return issues.join(metrics.select("file_path"), "file_path", "left_semi")
+    key = file_key(issues, metrics)
+    return issues.join(metrics.select(*key), key, "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.functions import bands as B
+from lintel.operators.keys import file_key
 
 
 def project_health(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -87,7 +88,8 @@ def triage(metrics: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """F1 + F2: files worth a diagnosis that still exist in ``sources``."""
     m = metrics.filter(B.needs_diagnosis(F.col("maintainability_index"), F.col("cognitive_complexity")))
     if sources is not None:
-        m = m.join(sources.select("file_path"), "file_path", "left_semi")
+        key = file_key(m, sources)
+        m = m.join(sources.select(*key), key, "left_semi")
     return m
 
 

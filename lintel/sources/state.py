@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lintel import rules as R
 from lintel.functions import bands as B
+from lintel.operators.keys import file_key
 
 
 def stamp(df: DataFrame, at: Column | None = None) -> DataFrame:
@@ -62,9 +63,10 @@ def content_lookup(sources: DataFrame, requests: DataFrame) -> DataFrame:
     Plain left join: AQE turns it into a broadcast join at run time only if
     the requests side is measured below the broadcast threshold.
     """
-    s = sources.select("file_path", "content", F.lit(True).alias("__known"))
-    return requests.select("file_path").join(s, "file_path", "left").select(
-        "file_path",
+    key = file_key(sources, requests)
+    s = sources.select(*key, "content", F.lit(True).alias("__known"))
+    return requests.select(*key).join(s, key, "left").select(
+        *key,
         F.coalesce("content", F.when(F.col("__known"), F.lit(R.UNREADABLE_CONTENT)), F.lit(R.FILE_NOT_FOUND_CONTENT)).alias("content"),
         B.base_name(F.col("file_path")).alias("file_name"),
         F.col("__known").isNotNull().alias("found"))
@@ -90,10 +92,11 @@ def patch_overlay(snapshot: DataFrame, fixes: DataFrame) -> DataFrame:
     several fixes for a path the last by ``seq`` holds (by text without one).
     """
     order = F.struct("seq", "new_code") if "seq" in fixes.columns else F.col("new_code")
-    f = fixes.groupBy("file_path").agg(F.max_by("new_code", order).alias("new_code"))
+    key = file_key(snapshot, fixes)
+    f = fixes.groupBy(*key).agg(F.max_by("new_code", order).alias("new_code"))
     s = snapshot.select("repo", "snapshot_id", "file_path", "content")
-    j = s.join(f, "file_path", "full_outer")
-    known = F.col("content").isNotNull() | F.col("repo").isNotNull()
+    j = s.join(f, key, "full_outer")
+    known = F.col("snapshot_id").isNotNull()
     return j.select(
         "repo",
         (F.col("snapshot_id") + 1).alias("snapshot_id"),

@@ -99,3 +99,21 @@ def test_scan_below_a_folder_of_any_name_or_scheme(spark, tmp_path):
     FS.write_tree(df, root, encoding_bad="bad")
     got = {r.file_path: r.content for r in FS.scan_sources(spark, root, keep_invalid=True).collect()}
     assert got == {f"{tmp_path}/srv/tree/srv/a.py": "x = 1\n", f"{tmp_path}/srv/tree/srv/b.py": None}
+
+
+def test_one_path_in_two_repos_is_two_files(spark):
+    m = spark.createDataFrame([("p", "setup.py", 1, 50.0, None), ("q", "setup.py", 2, 60.0, "A long enough docstring")],
+                              "repo string, file_path string, cognitive_complexity int, maintainability_index double, description string")
+    issues = spark.createDataFrame([("p", "setup.py", "x", "low")], "repo string, file_path string, issue string, severity string")
+    assert [(r.repo, r.cognitive_complexity) for r in I.attach_metrics(issues, m).collect()] == [("p", 1)]
+    assert {(r.repo, r.issues) for r in I.issues_per_file(m, issues).collect()} == {("p", 1), ("q", 0)}
+    assert I.issue_navigation(issues, m.filter("repo = 'q'")).count() == 0
+    src = spark.createDataFrame([("p", 1, "setup.py", "a"), ("q", 1, "setup.py", "b")], "repo string, snapshot_id long, file_path string, content string")
+    asked = spark.createDataFrame([("q", "setup.py")], "repo string, file_path string")
+    assert [r.content for r in S.content_lookup(src, asked).collect()] == ["b"]
+    fix = spark.createDataFrame([("q", "setup.py", "new")], "repo string, file_path string, new_code string")
+    assert {(r.repo, r.content) for r in S.patch_overlay(src, fix).collect()} == {("p", "a"), ("q", "new")}
+    assert [r.repo for r in RU.triage(m, asked).collect()] == ["q"]
+    from lintel.operators import describe as D
+    cache = D.description_cache(spark.createDataFrame([("q", "setup.py", 1, "cached")], "repo string, file_path string, snapshot_id long, description string"))
+    assert [r.repo for r in D.files_needing_generation(m, cache).collect()] == ["p"]
