@@ -18,11 +18,12 @@ at least ceil(0.75 n) members that other documents have too.
    the hub it meets most. A large group of near copies is joined this way by one
    comparison a document. Then ``ROUNDS`` times each document asks the component
    that is the largest in most of its lists.
-5. *The rest.* Only lists whose members are still in different components matter,
-   and there each member of the smaller component is a query to the larger
-   component as a whole (one row, however many members that has). Components are dealt
-   out in shards of bounded size with an inverted index each; a query stops at the
-   first link in a shard, as more can't change the result. Pairs inside a
+5. *The rest.* Only lists whose members are still in different components matter.
+   Components that the same large component dominates are a family. Per list a
+   document gives one row for each family there (not for each document), and asks
+   those that it meets in enough lists. Families are dealt out in shards of
+   bounded size with an inverted index each; a query takes one link with each
+   other component there, as more can't change the result. Pairs inside a
    component can't either, and are the only ones left out.
 
 Within a block or shard the query's short lists are merged by a heap, documents
@@ -332,58 +333,87 @@ def _labelled(short: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame
     return own, saved(per.join(mixed, "h"), "mixed-lists")
 
 
-def _largest(short: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, target)``: each document with the component that is the largest in most of its lists."""
+def _largest(short: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, component, family)``: each document with the component that is the largest in most of its lists, itself a family."""
     own, per = _labelled(short, labels)
-    main = per.groupBy("h").agg(F.max(F.struct("c", "component")).alias("s")).select("h", F.col("s.component").alias("target"))
-    met = own.join(main, "h").filter(F.col("component") != F.col("target")).groupBy("doc_id", "target").count()
-    return met.groupBy("doc_id").agg(F.max(F.struct("count", "target")).alias("s")).select("doc_id", "s.target")
+    main = per.groupBy("h").agg(F.max(F.struct("c", "component")).alias("s")).select("h", F.col("s.component").alias("family"))
+    met = own.join(main, "h").filter(F.col("component") != F.col("family")).groupBy("doc_id", "component", "family").count()
+    best = met.groupBy("doc_id").agg(F.max(F.struct("count", "family", "component")).alias("s"))
+    return best.select("doc_id", "s.component", "s.family"), per.select("component", F.col("component").alias("family")).distinct()
 
 
-def _queries(short: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, target)``: documents and the other components that they meet in enough short lists."""
+def _families(own: DataFrame, per: DataFrame) -> DataFrame:
+    """``(component, family, whole, main)``: each component with the one that is the largest in most of its lists.
+
+    whole: the family's number of documents; main: its largest component.
+    """
+    main = per.groupBy("h").agg(F.max(F.struct("c", "component")).alias("s")).select("h", F.col("s.component").alias("family"))
+    met = own.select("h", "component").join(main, "h").groupBy("component", "family").count()
+    best = met.groupBy("component").agg(F.max(F.struct("count", "family")).alias("s")).select("component", "s.family")
+    sized = best.join(per.select("component", "c").distinct(), "component")
+    of = sized.groupBy("family").agg(F.sum("c").alias("whole"), F.max(F.struct("c", "component")).alias("s"))
+    return saved(best.join(of.select("family", "whole", F.col("s.component").alias("main")), "family"), "families")
+
+
+def _queries(short: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, component, family)``: documents and the families that they meet in enough short lists; and the families.
+
+    Of two families the smaller one's documents ask; inside a family all that aren't in its main component.
+    """
     own, per = _labelled(short, labels)
-    asking = own.join(per.select("h", "component", "c"), ["h", "component"])
-    target = per.select("h", F.col("component").alias("target"), F.col("c").alias("tc"), "lo", "hi")
-    met = (asking.join(target, "h")
-           .filter((F.col("c") < F.col("tc")) | ((F.col("c") == F.col("tc")) & (F.col("component") > F.col("target"))))
+    families = _families(own, per)
+    known = families.select("component", "family", "whole", "main")
+    in_list = (per.join(known, "component").groupBy("h", "family").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("whole").alias("tw"))
+               .withColumnRenamed("family", "target"))
+    asking = own.join(per.select("h", "component"), ["h", "component"]).join(known, "component")
+    inside = (F.col("family") == F.col("target")) & (F.col("component") != F.col("main"))
+    across = (F.col("whole") < F.col("tw")) | ((F.col("whole") == F.col("tw")) & (F.col("family") > F.col("target")))
+    met = (asking.join(in_list, "h").filter(inside | ((F.col("family") != F.col("target")) & across))
            .filter((100 * F.col("hi") >= 75 * F.col("n")) & (75 * F.col("lo") <= 100 * F.col("n")))
-           .groupBy("doc_id", "target").agg(F.count("*").alias("met"), F.min("n").alias("n")))
-    return met.filter(F.col("met") > F.floor(F.ceil(F.col("n") * 0.75) / 16)).select("doc_id", "target")
+           .groupBy("doc_id", "component", "target").agg(F.count("*").alias("met"), F.min("n").alias("n")))
+    asked = met.filter(F.col("met") > F.floor(F.ceil(F.col("n") * 0.75) / 16))
+    return asked.select("doc_id", "component", F.col("target").alias("family")), families.select("component", "family")
 
 
-def _answered(queries: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """A link ``(a, b)`` for each query and shard of its target component that has one."""
+def _answered(queries: DataFrame, sets: DataFrame, labels: DataFrame, families: DataFrame) -> DataFrame:
+    """For each query a link ``(a, b)`` with every other component of the family that it links with."""
     queries = saved(queries, "queries")
-    asked = queries.select(F.col("target").alias("component")).distinct()
+    asked = queries.select("family").distinct()
     members = (sets.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-               .withColumn("component", F.coalesce("component", "doc_id")).select("component", "doc_id", "shingles"))
-    members = saved(members.join(asked, "component", "left_semi"), "asked-members")
-    salts = members.groupBy("component").agg(F.floor((F.count("*") - 1) / SHARD).alias("salts"))
-    held = members.join(salts, "component").select("component", F.pmod(F.xxhash64("doc_id"), F.col("salts") + 1).alias("salt"),
-                                                   F.lit(0).alias("kind"), "doc_id", "shingles")
-    asks = (queries.withColumnRenamed("target", "component").join(salts, "component")
-            .select("component", F.explode(F.sequence(F.lit(0).cast("long"), "salts")).alias("salt"), F.lit(1).alias("kind"), "doc_id")
-            .join(sets.select("doc_id", "shingles"), "doc_id").select("component", "salt", "kind", "doc_id", "shingles"))
-    dealt = held.unionByName(asks).repartition("component", "salt").sortWithinPartitions("component", "salt", "kind")
+               .withColumn("component", F.coalesce("component", "doc_id")).join(families, "component")
+               .select("family", "component", "doc_id", "shingles"))
+    members = saved(members.join(asked, "family", "left_semi"), "asked-members")
+    salts = members.groupBy("family").agg(F.floor((F.count("*") - 1) / SHARD).alias("salts"))
+    held = members.join(salts, "family").select("family", F.pmod(F.xxhash64("doc_id"), F.col("salts") + 1).alias("salt"),
+                                                F.lit(0).alias("kind"), "component", "doc_id", "shingles")
+    asks = (queries.join(salts, "family")
+            .select("family", F.explode(F.sequence(F.lit(0).cast("long"), "salts")).alias("salt"), F.lit(1).alias("kind"), "component", "doc_id")
+            .join(sets.select("doc_id", "shingles"), "doc_id").select("family", "salt", "kind", "component", "doc_id", "shingles"))
+    dealt = held.unionByName(asks).repartition("family", "salt").sortWithinPartitions("family", "salt", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for component, salt, kind, doc, s in zip(*batch.columns):
-                    yield component.as_py(), salt.as_py(), kind.as_py(), doc.as_py(), np.frombuffer(s.as_py(), dtype=np.uint64)
+                for family, salt, kind, component, doc, s in zip(*batch.columns):
+                    yield family.as_py(), salt.as_py(), kind.as_py(), component.as_py(), doc.as_py(), np.frombuffer(s.as_py(), dtype=np.uint64)
 
         links = []
         for _, some in groupby(rows(), key=lambda x: x[:2]):
-            docs, index = [], None
-            for _, _, kind, doc, s in some:
+            docs, index, of = [], None, {}
+            for _, _, kind, component, doc, s in some:
                 if kind == 0:
                     docs.append((doc, s))
+                    of[doc] = component
                     continue
-                index = index or _Index(docs)
-                hit = next(index.links(s), None)
-                if hit is not None:
-                    links.append((doc, hit))
+                if index is None:
+                    index, every = _Index(docs), set(of.values())
+                left = every - {component}
+                for hit in index.links(s) if left else ():
+                    if of[hit] in left:
+                        links.append((doc, hit))
+                        left.discard(of[hit])
+                        if not left:
+                            break
             if len(links) > 10_000:
                 yield _rows(links, "a long, b long")
                 links = []
@@ -409,12 +439,14 @@ def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     links = saved(_compared(_hub_pairs(short), sets), "hub-links")
     labels = components(links)
     for _ in range(ROUNDS):
-        more = saved(_answered(_largest(short, labels), sets, labels), "more-links")
+        queries, alone = _largest(short, labels)
+        more = saved(_answered(queries, sets, labels, alone), "more-links")
         if more.isEmpty():
             break
         links = links.unionByName(more)
         labels = components(links)
-    rest = saved(_answered(_queries(short, labels), sets, labels), "rest-links")
+    queries, families = _queries(short, labels)
+    rest = saved(_answered(queries, sets, labels, families), "rest-links")
     same = copies.filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.unionByName(rest).unionByName(same))
     return (every.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
