@@ -109,10 +109,13 @@ class Model:
         return sums - sums.max(axis=1, keepdims=True)
 
 
-def identify(pages: DataFrame, model: Model, url: str = "url", html: str = "html") -> DataFrame:
-    """``pages`` with language, confidence (its posterior) and text_language (by the text alone)."""
+def identify(pages: DataFrame, model: Model, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """``pages`` with language, confidence (its posterior) and text_language (by the text alone).
+
+    ``keep`` names the columns that stay (all by default); they are stored once on the way.
+    """
     names = model.languages
-    keep = [c for c in pages.columns if c not in ("language", "confidence", "text_language")]
+    keep = [c for c in keep or pages.columns if c not in ("language", "confidence", "text_language")]
     if not names:
         return pages.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"),
                             F.lit(None).cast("string").alias("text_language"))
@@ -127,7 +130,7 @@ def identify(pages: DataFrame, model: Model, url: str = "url", html: str = "html
     tag = {x: fresh(pages, f"lid_{x}") for x in ("ll", "post", "declared", "host", "domain", "suffix", "hd", "hh", "hs", "hc", "best")}
     c = {x: F.col(n) for x, n in tag.items()}
     host = host_of(F.col(url))
-    scored = saved(pages.select(*keep, F.arrow_udf(run, ArrayType(DoubleType()))(visible(F.col(html)).cast("binary")).alias(tag["ll"]), declared(F.col(html)).alias(tag["declared"]),
+    scored = saved(pages.select(*[F.col(c) for c in keep], F.arrow_udf(run, ArrayType(DoubleType()))(visible(F.col(html)).cast("binary")).alias(tag["ll"]), declared(F.col(html)).alias(tag["declared"]),
                                 host.alias(tag["host"]), domain_of(host).alias(tag["domain"]), suffix_of(host).alias(tag["suffix"])), "language-likelihoods")
     post = F.transform(c["ll"], lambda x: F.exp(x))
     post = F.transform(post, lambda x: x / F.aggregate(post, F.lit(0.0), lambda s, y: s + y))

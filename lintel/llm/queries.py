@@ -77,7 +77,7 @@ def op6_decontaminate(spark, sf_dir) -> DataFrame:
 def op7_langid(spark, sf_dir) -> DataFrame:
     """The language of every page; the text model is fitted on documents of known language."""
     model = langid.Model.fit(table(spark, sf_dir, "documents"))
-    return langid.identify(table(spark, sf_dir, "pages"), model).select("page_id", "url", "language", "confidence", "text_language")
+    return langid.identify(table(spark, sf_dir, "pages"), model, keep=["page_id", "url"])
 
 
 def op8_chat(spark, sf_dir) -> DataFrame:
