@@ -53,8 +53,8 @@ from lintel.llm.components import components
 from lintel.llm.shingles import set_key, shingle_sets, text_groups
 
 #: Shingles and documents that a task packs at a time.
-PACK_SHINGLES, PACK_DOCS = 3_000_000, 60_000
-TEXT_BYTES = 4_000_000
+PACK_SHINGLES, PACK_DOCS = 1_000_000, 60_000
+TEXT_BYTES = 1_000_000
 #: Candidates of a query compared at a time, and sent to one task together (about).
 BLOCK, SALT = 256, 2048
 #: Documents of a component that share an index; rounds that join documents to large components before the rest is searched.
