@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm import bpe, chat, decontaminate, grid_join, langid, license_scan, ngram_join, pii, toxicity, url_filter
-from lintel.llm.common import table
+from lintel.llm.common import sampled, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,7 +56,7 @@ def held_out(doc_id):
 def toxicity_net(spark, sf_dir) -> toxicity.Net:
     """A net from a sample of labelled documents, chosen before their texts are read: its ids are at most ``SAMPLE`` rows."""
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label")).filter("label IS NOT NULL")
-    some = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(toxicity.SAMPLE)
+    some = sampled(labels, "doc_id", toxicity.SAMPLE, "label")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return toxicity.train(docs.join(F.broadcast(some), "doc_id"))
 
