@@ -74,6 +74,30 @@ def test_without_both_labels_the_score_is_constant(spark):
     assert {r.score for r in toxicity.score(df, toxicity.train(df.withColumn("label", F.lit(1)))).collect()} == {1.0}
 
 
+def test_a_word_of_a_small_language_is_learnt(spark):
+    r = np.random.default_rng(1)
+    clean = {"en": ["sun", "tree", "rain", "stone", "bird", "cloud"], "es": ["sol", "lluvia", "piedra", "nube", "campo"]}
+    rows = []
+    for i in range(4000):
+        lang = "es" if i % 33 == 0 else "en"
+        toxic = i % 10 == 3 if lang == "en" else i % 330 == 0
+        rows.append((" ".join([*r.choice(clean[lang], 12), *(["scoundrel" if lang == "en" else "canalla"] if toxic else []), f"n{i}"]), int(toxic), lang))
+    net = toxicity.train(spark.createDataFrame(rows, "text string, label int, lang string"))
+    low, high = net.scores([b"sol lluvia piedra", b"sol canalla piedra"])
+    assert low < 0.5 <= high
+
+
+def test_recall_by_language_on_the_held_out_fold(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    held = docs.filter(queries.held_out(F.col("doc_id"))).select("text", "lang", "label")
+    rows = toxicity.score(held, queries.toxicity_net(spark, sf)).collect()
+    for lang in ("en", "fr", "de", "es"):
+        own = [(r.score >= 0.5, r.label) for r in rows if r.lang == lang]
+        assert np.mean([p for p, y in own if y]) >= 0.5, lang
+        assert np.mean([p for p, y in own if not y]) <= 0.02, lang
+
+
 # ------------------------------------------------------------ languages
 TEXT = {"en": "the house and the garden where they would think with this", "fr": "la maison et le jardin où ils sont avec une autre pensée",
         "de": "das Haus und der Garten wo sie nicht mit einer anderen denken"}
