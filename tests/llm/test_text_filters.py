@@ -23,6 +23,40 @@ def test_licenses(text, want):
     assert [hit[0] for lo, hi in license_scan.blocks(text) for hit in license_scan.judge(text[lo:hi])] == want
 
 
+MIT = """Copyright (c) 2020 Jo Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Copyright (c) 2020, Jo Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+GPL = """Copyright (C) 2020  Jo Doe
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "        "])
+@pytest.mark.parametrize("notice, name", [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (GPL, "GPL-3.0"), (APACHE.replace(", ", ",\n").replace(" may", "\nmay"), "Apache-2.0")])
+def test_wrapped_notices(notice, name, mark):
+    text = "import os\n" * 300 + "".join(mark + line + "\n" for line in notice.split("\n")) + "x = 1\n" * 300
+    assert {hit[0] for lo, hi in license_scan.blocks(text) for hit in license_scan.judge(text[lo:hi])} == {name}
+
+
 def test_license_rows(spark):
     long = "word " * 200_000 + "Released under the MIT License." + " word" * 1000
     df = spark.createDataFrame([(1, None), (2, ""), (3, long), (3, long), (4, "nothing")], "doc_id long, text string").withColumn("license", F.lit("x"))
