@@ -57,6 +57,23 @@ def test_wrapped_notices(notice, name, mark):
     assert {hit[0] for lo, hi in license_scan.blocks(text) for hit in license_scan.judge(text[lo:hi])} == {name}
 
 
+SEVEN = ["Licensed under the Apache License, Version 2.0", "Released under the MIT License", "This work is licensed under the GNU General Public License, version 3", "Licensed under CC BY-SA 4.0",
+         "Licensed under the BSD 3-Clause License", "This library is licensed under the GNU Lesser General Public License, version 3", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"]
+NAMES = ["Apache-2.0", "MIT", "GPL-3.0", "CC-BY-SA-4.0", "BSD-3-Clause", "LGPL-3.0", "MPL-2.0"]
+
+
+@pytest.mark.parametrize("between", [". ", ".\n", " some other words that stand between two notices "])
+def test_every_license_of_a_block(between):
+    for order in (range(7), range(6, -1, -1), [3, 1, 0, 1, 6, 2, 2, 5, 4, 0]):
+        text = between.join(SEVEN[i] for i in order) + between
+        hits = [(text[lo + a:lo + b], name) for lo, hi in license_scan.blocks(text) for a, b, name, *_ in license_scan.places(text[lo:hi])]
+        assert hits == [(SEVEN[i], NAMES[i]) for i in order]
+
+
+def test_many_notices_without_a_break():
+    assert len(license_scan.judge("Released under the MIT License. " * 3000)) == 3000
+
+
 def test_license_rows(spark):
     long = "word " * 200_000 + "Released under the MIT License." + " word" * 1000
     df = spark.createDataFrame([(1, None), (2, ""), (3, long), (3, long), (4, "nothing")], "doc_id long, text string").withColumn("license", F.lit("x"))
