@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast, lit, pmod, xxhash64
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.functions import broadcast, col, create_map, lit, pmod, xxhash64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +66,36 @@ def sampled(df: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
     place = pmod(xxhash64(by), lit(1_000_000))
     share = 2 * n / max(df.count(), 1)
     return df.filter(place < share * 1_000_000).orderBy(place, by, *ties).limit(n)
+
+
+def _level(counts: list[int], n: int) -> int:
+    """The largest share such that groups of these sizes give at most ``n`` in all, one of each group at least."""
+    left, share = n, 0
+    for i, size in enumerate(sorted(counts)):
+        share = left // (len(counts) - i)
+        if size > share:
+            break
+        left -= size
+    return max(share, 1)
+
+
+def shares(df: DataFrame, group: str, by: str, n: int) -> tuple[DataFrame, dict]:
+    """``(rows, sizes)``: distinct values of ``by``, at most ``n`` in all and an even share of each ``group``, chosen by hash; how many distinct ones each group has.
+
+    Copies count once, by their hash. Every group has a row, though that be more
+    than ``n``. The driver gets about 2 n hashes, to find where to cut each group.
+    """
+    hashed = df.select(col(group), col(by), xxhash64(by).alias("hash_"), pmod(xxhash64(by), lit(1 << 40)).alias("place_"))
+    once = saved(hashed.select(group, "hash_", "place_").distinct(), "hashes")
+    sizes = {r[0]: r[1] for r in once.groupBy(group).count().collect()}
+    if not sizes:
+        return df.select(group, by).limit(0), sizes
+    share, places = _level(list(sizes.values()), n), {}
+
+    def below(cuts: dict) -> Column:
+        return col("place_") <= create_map(*[lit(x) for pair in cuts.items() for x in pair])[col(group)]
+
+    near = once.filter(below({g: int((1 << 40) * min(1.0, (2 * share + 20) / size)) for g, size in sizes.items()}))
+    for g, place in near.select(group, "place_").collect():
+        places.setdefault(g, []).append(place)
+    return hashed.filter(below({g: sorted(p)[:share][-1] for g, p in places.items()})).select(group, by).distinct(), sizes

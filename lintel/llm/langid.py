@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from lintel.llm.common import fresh, sampled, saved
+from lintel.llm.common import fresh, saved, shares
 from lintel.llm.shingles import keys, mix, text_groups
 from lintel.llm.url_filter import host_of
 
@@ -88,10 +88,10 @@ class Model:
 
     @classmethod
     def fit(cls, labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-        """From at most ``sample`` labelled texts, chosen by a hash of their text."""
+        """From at most ``sample`` distinct labelled texts, an even share of each language; every language of the table is known."""
         known = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL AND t <> ''")
-        rows = sampled(known, "t", sample, "l").collect()  # bounded by ``sample``
-        languages = sorted({r.l for r in rows})
+        some, sizes = shares(known, "l", "t", sample)
+        rows, languages = some.collect(), sorted(sizes)  # bounded by ``sample`` and the number of languages
         counts = np.full((CODES, len(languages)), 0.05)
         for r in rows:
             code, _ = codes([r.t.encode()])

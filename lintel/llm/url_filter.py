@@ -7,8 +7,8 @@ address suffix gathered over all labelled URLs.
 
 All expressions are DataFrame functions; the trees are Spark's own. Scoring adds
 no shuffle but the lookup of the suffix statistics, whose few hot suffixes are
-joined as skewed partitions. Training reads at most ``train_rows`` labelled URLs,
-chosen by a hash of the URL.
+joined as skewed partitions. Training reads at most ``train_rows`` distinct labelled
+URLs, an even share of each label, weighted by how many the label has.
 
 Defined results: a null URL or one without ``://`` has an empty host and path
 and is judged by the trees; repeated rows are judged alike; without labelled
@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import fresh, saved
+from lintel.llm.common import fresh, saved, shares
 
 #: Labelled URLs used for training, at most.
 TRAIN_ROWS = 20_000
@@ -115,8 +115,12 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], u
     if overall.lo is None or overall.lo == overall.hi:
         scored = out.withColumn(made, F.lit(0.0))
     else:
-        train = saved(lab.orderBy(F.xxhash64("url"), "label", "url").limit(train_rows), "labelled")
-        model = GBTClassifier(featuresCol="f_vector", labelCol="label", maxIter=15, maxDepth=4, seed=7).fit(with_features(train, "url"))
+        some, sizes = shares(lab, "label", "url", train_rows)
+        train = saved(some.orderBy(F.xxhash64("url"), "label", "url").limit(max(train_rows, len(sizes))), "labelled")
+        taken = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+        whole = sum(taken.values()) / sum(sizes.values())
+        weight = F.create_map(*[F.lit(x) for one, n in taken.items() for x in (one, sizes[one] / n * whole)])[F.col("label")]
+        model = GBTClassifier(featuresCol="f_vector", labelCol="label", weightCol="f_weight", maxIter=15, maxDepth=4, seed=7).fit(with_features(train, "url").withColumn("f_weight", weight))
         kept = [c for c in out.columns if c != address]
         model.setPredictionCol("f_predicted").setRawPredictionCol("f_raw").setProbabilityCol("f_probability")
         scored = model.transform(with_features(out, address)).select(*kept, address, vector_to_array("f_probability")[1].alias(made))

@@ -39,6 +39,13 @@ def test_rules_and_edges(spark):
     assert url_filter.judge(new.limit(0), labelled, []).count() == 0
 
 
+def test_copies_of_a_url_leave_room_for_others(spark):
+    rows = [(f"http://tree{i}.net/{i}", 0) for i in range(300) for _ in range(20)] + [(f"http://casino-win{i}.net/{i}", 1) for i in range(8)]
+    new = spark.createDataFrame([(1, "http://casino-win9999.net/5"), (2, "http://tree1234.net/6")], "page_id int, url string")
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    assert {r.page_id: r.verdict for r in url_filter.judge(new, labelled, [], train_rows=30).collect()} == {1: "block", 2: "allow"}
+
+
 def test_pages(spark):
     rows = queries.op4_url_filter(spark, SF).collect()
     url = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lintel.llm import langid, license_scan, queries, toxicity
+from lintel.llm import common, langid, license_scan, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -172,6 +172,22 @@ def test_evidence_is_fused(spark, model):
     assert langid.identify(pages.limit(0), model).count() == 0
 
 
+def test_rare_languages_and_copies_in_the_sample(spark):
+    rows = [(f"{TEXT['en']} {i}", "en") for i in range(600)] + [(TEXT["fr"], "fr")] * 600 + [(f"{TEXT['de']} {i}", "de") for i in range(2)]
+    small = langid.Model.fit(spark.createDataFrame(rows, "text string, lang string"), sample=30)
+    assert small.languages == ["de", "en", "fr"]
+    assert [small.languages[k] for k in small.likelihoods([TEXT[l].encode() for l in ("de", "en", "fr")]).argmax(axis=1)] == ["de", "en", "fr"]
+
+
+def test_shares(spark):
+    rows = [("a", f"x{i}") for i in range(500)] + [("b", "same")] * 500 + [("c", f"y{i}") for i in range(50)] + [("d", "z")]
+    some, sizes = common.shares(spark.createDataFrame(rows, "g string, v string"), "g", "v", 62)
+    got = [tuple(r) for r in some.collect()]
+    assert sizes == {"a": 500, "b": 1, "c": 50, "d": 1} and len(got) == len(set(got)) and set(got) <= set(rows)
+    assert {g: sum(x == g for x, _ in got) for g in sizes} == {"a": 30, "b": 1, "c": 30, "d": 1}
+    assert common.shares(spark.createDataFrame(rows, "g string, v string"), "g", "v", 2)[0].count() == 4
+
+
 def test_without_labelled_texts_the_language_is_null(spark):
     pages = spark.createDataFrame([(1, "http://a.com", "<p>x</p>")], "page_id int, url string, html string")
     empty = langid.Model.fit(spark.createDataFrame([], "text string, lang string"))
