@@ -56,7 +56,25 @@ SYLLABLES = {
     "latin": ["ba", "den", "fo", "gar", "hel", "ko", "lin", "mar", "nel", "or", "pas", "rin", "sol", "tam", "vel", "wen"],
     "cyrillic": ["ба", "ден", "фо", "гар", "хел", "ко", "лин", "мар", "нел", "ор", "пас", "рин", "сол", "там", "вел", "зен"],
 }
-_ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+
+def _followed() -> dict[str, str]:
+    """``PATTERNS`` as they are searched: a phone, card or name ends before an entity that follows it, and doesn't swallow its beginning."""
+    other = "|".join(PATTERNS[k] for k in ("email", "secret", "ip"))
+    number = f"(?:{other}|{PATTERNS['ssn']})"
+    title = PATTERNS["name"].split(r"\.? ")[0]
+    group = rf"(?![ .-]?(?:{other}))[ .-]?\d{{2,4}}"
+    # A phone has two groups at least: only what comes after them may be a security or card number.
+    after = rf"(?![ .-]?(?:{number}|{PATTERNS['card']}))[ .-]?\d{{2,4}}"
+    word = rf"(?!{PATTERNS['email']}|{title}\.? \p{{Lu}})\p{{Lu}}[\p{{Ll}}'’-]+"
+    return PATTERNS | {
+        "phone": rf"(?<![\p{{N}}+])(?:\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:{group}){{2}}(?:{after}){{0,2}}|\(\d{{2,4}}\)[ .-]?\d{{3}}(?![ .-]?(?:{other}))[ .-]?\d{{3,4}})(?!\p{{N}})",
+        "card": rf"(?<!\p{{N}})\d(?:(?:(?![ -]{number})[ -])?\d){{12,18}}(?!\p{{N}})",
+        "name": rf"{title}\.? {word}(?: {word})?",
+    }
+
+
+_ALL = "|".join(f"(?:{p})" for p in _followed().values())
 _TITLE = r"^\p{L}+(?:-\p{L}+)?\.? "
 KEY = "struct<type:string,form:string>"
 
