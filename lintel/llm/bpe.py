@@ -17,6 +17,7 @@ and extra columns are passed through; a column named like the output is replaced
 from __future__ import annotations
 
 import base64
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -35,6 +36,9 @@ SLICE = 200
 SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = 1 << 60
 
+#: A space behind other white space: the pattern may match both as one.
+_SPACED = [chr(i) + " " for i in range(sys.maxunicode + 1) if chr(i).isspace()]
+
 
 class Merges:
     """The vocabulary of a rank file with its exact encoder."""
@@ -165,11 +169,11 @@ class Merges:
         """The ids of ``text`` as little-endian unsigned 32-bit integers.
 
         No match of the pattern holds a space behind anything but its first
-        place, apart from runs of white space. A text without two spaces in a
-        row may therefore be cut before every space, and each cut is looked up
-        whole among those seen before.
+        place, apart from runs of white space. A text without a space behind
+        other white space may therefore be cut before every space, and each cut
+        is looked up whole among those seen before.
         """
-        if self.cut and "  " not in text:
+        if self.cut and not any(x in text for x in _SPACED):
             first, *rest = text.split(" ")
             chunks = [first, *[" " + x for x in rest]] if rest else [first]
         else:

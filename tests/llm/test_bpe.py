@@ -45,6 +45,14 @@ def test_other_patterns_aren_t_cut_at_spaces(tok, vocabulary):
     assert list(bpe.unpack(whole.encode("one two  three"))) == own.encode_ordinary("one two  three")
 
 
+@pytest.mark.parametrize("text", ["a\n \nb", "a\n ", "a\t \nb", "a \nb c", "a\u00a0 \n b", " a b\n c"])
+def test_white_space_runs_with_a_space_inside_are_whole(vocabulary, text):
+    runs = [b"\n ", b"\t \n", b"\n \n", b" \n", "\u00a0 \n".encode(), b"\t ", "\u00a0 ".encode()]
+    ranks = vocabulary.ranks | {x: len(vocabulary.ranks) + i for i, x in enumerate(runs) if x not in vocabulary.ranks}
+    own = tiktoken.Encoding("runs", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert list(bpe.unpack(bpe.Merges(ranks, P.PATTERN).encode(text))) == own.encode_ordinary(text)
+
+
 def test_whole_documents_and_edges(spark, tok):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-2, ""), (-3, "x" * 300_000), (None, " a")], docs.schema)
