@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe, chat, decontaminate, grid_join, langid, license_scan, ngram_join, pii, toxicity, url_filter
+from lintel.llm import bpe, chat, decontaminate, grid_join, langid, license_scan, ngram_join, pii, toxicity, url_filter, vector_codes
 from lintel.llm.common import sampled, table
+from lintel.llm.oracle import SQL
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -104,7 +105,13 @@ def op10_pii(spark, sf_dir) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join, "op10_pii": op10_pii}
+def op12_vector_codes(spark, sf_dir) -> DataFrame:
+    """Codes and errors of all vectors under codebooks of 4 x 256 entries."""
+    out, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
-#: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join, "op10_pii": op10_pii,
+           "op12_vector_codes": op12_vector_codes}
+
+__all__ = ["QUERIES", "SQL"]
