@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe, chat, decontaminate, grid_join, langid, license_scan, ngram_join, pii, toxicity, url_filter, vector_codes
+from lintel.llm import bpe, chat, decontaminate, grid_join, langid, license_scan, ngram_join, packing, pii, toxicity, url_filter, vector_codes
 from lintel.llm.common import sampled, table
 from lintel.llm.oracle import SQL
 
@@ -111,7 +111,17 @@ def op12_vector_codes(spark, sf_dir) -> DataFrame:
     return out.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
 
+#: Limits of a packed sequence; every token of plain documents bears loss.
+PACKED = packing.Limits(tokens=2048, segments=64, loss=2048)
+
+
+def op13_packing(spark, sf_dir) -> DataFrame:
+    """Every token of every document in a sequence of at most 2048."""
+    pieces = packing.pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1, PACKED)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join, "op10_pii": op10_pii,
-           "op12_vector_codes": op12_vector_codes}
+           "op12_vector_codes": op12_vector_codes, "op13_packing": op13_packing}
 
 __all__ = ["QUERIES", "SQL"]
