@@ -40,4 +40,35 @@ FROM coded c JOIN kept k USING (vec_id), digest d
 """
 
 
-SQL: dict[str, str] = {"op12_vector_codes": _vector_codes()}
+#: Operator 11: phrases of every place of every piece, counted as they stand.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\f\r]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+phrases AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM places, (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM phrases WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.w, j, h.f AS l, t.f AS r,
+         ((1000000::HUGEINT * c.a::HUGEINT * c.a::HUGEINT) // (h.f::HUGEINT * t.f::HUGEINT))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
+  JOIN phrases h ON h.lang = c.lang AND h.k = j AND h.phrase = array_to_string(c.w[1:j], ' ')
+  JOIN phrases t ON t.lang = c.lang AND t.k = c.k - j AND t.phrase = array_to_string(c.w[j + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, 2 AS k, array_to_string(w[s:s + 1], ' ') AS phrase, max(a) AS top
+  FROM (SELECT *, unnest([1, 2]) AS s FROM candidates WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT o.* FROM lowest o LEFT JOIN inside i USING (lang, k, phrase) WHERE i.top IS NULL OR 100 * i.top < 50 * o.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase::BLOB) AS rank, phrase, a, l, r, n::BIGINT AS n, score
+  FROM kept JOIN total USING (lang)) WHERE rank <= 2000
+"""
+
+
+SQL: dict[str, str] = {"op11_collocations": COLLOCATIONS, "op12_vector_codes": _vector_codes()}

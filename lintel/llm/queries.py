@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm import bpe, chat, decontaminate, grid_join, langid, license_scan, ngram_join, packing, pii, toxicity, url_filter, vector_codes
+from lintel.llm import bpe, chat, collocations, decontaminate, grid_join, langid, license_scan, ngram_join, packing, pii, toxicity, url_filter, vector_codes
 from lintel.llm.common import sampled, table
 from lintel.llm.oracle import SQL
 
@@ -105,6 +105,11 @@ def op10_pii(spark, sf_dir) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op11_collocations(spark, sf_dir) -> DataFrame:
+    """The best phrases of two or three words of each language, counted over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark, sf_dir) -> DataFrame:
     """Codes and errors of all vectors under codebooks of 4 x 256 entries."""
     out, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
@@ -122,6 +127,6 @@ def op13_packing(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {"op1_bpe": op1_bpe, "op2_ngram_join": op2_ngram_join, "op3_license_scan": op3_license_scan, "op4_url_filter": op4_url_filter, "op5_toxicity": op5_toxicity, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_chat": op8_chat, "op9_grid_join": op9_grid_join, "op10_pii": op10_pii,
-           "op12_vector_codes": op12_vector_codes, "op13_packing": op13_packing}
+           "op11_collocations": op11_collocations, "op12_vector_codes": op12_vector_codes, "op13_packing": op13_packing}
 
 __all__ = ["QUERIES", "SQL"]
