@@ -77,9 +77,17 @@ def test_ids_of_random_texts(tok):
     letters = [chr(i) for i in [*range(9, 14), *range(28, 127), *range(0x80, 0x250), *range(0x2000, 0x2030), *range(0x4E00, 0x4E20)]] + [" ", "  ", "　", " ", "᠎", "​", "﻿", "'s", "\U0001f600"]
     texts = ["".join(r.choices(r.sample(letters, r.choice([1, 2, 3, 8, 30])), k=r.choice([0, 1, 3, 10, 60]))) for _ in range(6000)]
     encode = packing.Encoder(PATH)
-    assert encode.cuts
-    for t, ids in zip(texts, encode(texts)):
-        assert np.frombuffer(ids, dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+    assert encode.fast
+    texts += ["a<|endoftext|>b", " <|endoftext|>", "x  <|endoftext|>\n<|endoftext", "<|endoftext|> a b"]
+    for t in texts:
+        assert encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_a_file_of_another_kind_is_left_to_its_library():
+    other = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    encode = packing.Encoder(P.path("word_bpe_49k.json"))
+    assert not encode.fast
+    assert encode("Some words, 12 of them").tolist() == other.encode("Some words, 12 of them", add_special_tokens=False).ids
 
 
 def test_whole_documents_and_edges(spark, tok):
