@@ -66,7 +66,7 @@ inside AS (
 kept AS (
   SELECT o.* FROM lowest o LEFT JOIN inside i USING (lang, k, phrase) WHERE i.top IS NULL OR 100 * i.top < 50 * o.a)
 SELECT lang, rank, phrase, a, l, r, n, score FROM (
-  SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase::BLOB) AS rank, phrase, a, l, r, n::BIGINT AS n, score
+  SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score
   FROM kept JOIN total USING (lang)) WHERE rank <= 2000
 """
 
