@@ -20,15 +20,18 @@ from lintel.operators import fixes as FX
 from lintel.operators import issues as I
 from lintel.operators import lines as LN
 from lintel.operators import markup as MK
+from lintel.operators import nodes as N
 from lintel.operators import paths as P
 from lintel.operators import quality as Q
 from lintel.operators import rollup as RU
-from lintel.operators.metrics import analyze
+from lintel.operators.metrics import analyze, line_counts
+from lintel.rules import default_rules
 from lintel.session import scratch_path
 from lintel.sources import corpus as C
 from lintel.sources import facts as FA
 from lintel.sources import files as FS
 from lintel.sources import state as S
+from lintel.sources import syntax as SX
 from lintel.streaming import upsert as STR
 
 METRIC_COLS = ["repo", "file_path", "complexity_score", "node_count", "cognitive_complexity", "halstead_volume",
@@ -332,21 +335,36 @@ def q_debt_trend(spark, sf):
                                    "running_value")
 
 
+def q_markup_nodes(spark, sf):
+    return MK.markup_nodes(C.table(spark, sf, "pages")).select("page_id", "seq", "node_type", "parent_type", "text")
+
+
 def q_node_depth_markup(spark, sf):
-    pages = C.table(spark, sf, "pages")
-    return MK.node_depth(MK.markup_tags(pages))
+    found = MK.elements(MK.markup_nodes(C.table(spark, sf, "pages")))
+    return N.node_depth(found, ["page_id"]).select("page_id", F.col("seq").alias("pos"), F.col("node_type").alias("tag"), "depth")
 
 
 def q_nesting_cost_markup(spark, sf):
-    pages = C.table(spark, sf, "pages")
-    rules = MK.markup_rules(spark)
-    return MK.nesting_cost(MK.node_depth(MK.markup_tags(pages), rules=rules), rules)
+    return MK.nesting_cost(MK.markup_nodes(C.table(spark, sf, "pages")), MK.markup_rules(spark))
 
 
 def q_markup_stats(spark, sf):
     return MK.nesting_stats(C.table(spark, sf, "pages"))
 
 
+def q_node_metrics_markup(spark, sf):
+    """M2-M6, M8 over the nodes of every page, by a user's rules."""
+    return N.analyze_nodes(MK.markup_nodes(C.table(spark, sf, "pages")), MK.markup_rules(spark, MK.WEIGHTED_RULES), ["page_id"])
+
+
+def q_node_metrics_code(spark, sf):
+    """M2, M3, M5-M8 of the code corpus from its syntax nodes."""
+    files = C.code_corpus(spark, sf)
+    key = ["repo", "file_path"]
+    found = N.analyze_nodes(SX.python_nodes(files, key), default_rules(spark), key, lines=line_counts(files, key))
+    return found.drop("node_count")
+
+
 def q_replace_snapshot(spark, sf):
     m = code_metrics(spark, sf).select(*METRIC_COLS, "snapshot_id")
     out = scratch_path(spark, f"snapshots-{uuid.uuid4().hex[:8]}")

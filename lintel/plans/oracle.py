@@ -225,12 +225,52 @@ ev AS (SELECT '/events/user_' || CAST(user_id AS VARCHAR) || '.py' AS file_path,
          event_id AS seq, CAST(value AS DECIMAL(12,2)) AS sqale_debt_hours, event_type FROM events)
 """
 
-TAG_RE = r"<(/?)(nav|ul|li|a|div|article|head|title|footer|h1)[ >]"
-TAGS = f"""
-tg AS (SELECT page_id, generate_subscripts(regexp_extract_all(html, '{TAG_RE}'), 1) AS pos,
-              unnest(regexp_extract_all(html, '{TAG_RE}')) AS raw FROM pages),
-tk AS (SELECT page_id, pos, regexp_extract(raw, '{TAG_RE}', 2) AS tag, regexp_extract(raw, '{TAG_RE}', 1) = '/' AS is_close
-       FROM tg)
+# The markup tree, token by token: texts cut at every "<", a recursive table of open elements, rules as lists.
+VOID = "['area','base','br','col','embed','hr','img','input','link','meta','source','track','wbr']"
+P_ENDERS = ("['address','article','aside','blockquote','details','div','dl','fieldset','figcaption','figure','footer','form','h1','h2','h3',"
+            "'h4','h5','h6','header','hr','main','menu','nav','ol','p','pre','section','table','ul']")
+TREE = rf"""
+tokens AS (
+  SELECT page_id, unnest(t) AS raw, generate_subscripts(t, 1) AS i FROM (
+    SELECT page_id, regexp_extract_all(html, '(?is)<!--.*?-->|<[!?][^>]*>|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|'
+      || '<textarea[^>]*>.*?</textarea\s*>|<title[^>]*>.*?</title\s*>|</?[a-z][^>]*>|[^<]+|<') AS t FROM pages)),
+named AS (
+  SELECT page_id, i, raw,
+    CASE WHEN raw LIKE '<!%' OR raw LIKE '<?%' THEN 'skip' WHEN raw LIKE '</%' THEN 'close' WHEN raw LIKE '<%' THEN 'open' ELSE 'text' END AS op,
+    lower(regexp_extract(raw, '^</?([A-Za-z][A-Za-z0-9:_-]*)', 1)) AS name FROM tokens),
+ruled AS (
+  SELECT *,
+    CASE WHEN op <> 'open' THEN [] WHEN name = 'li' THEN ['li'] WHEN name IN ('dt', 'dd') THEN ['dt', 'dd'] WHEN name IN ('td', 'th') THEN ['td', 'th']
+         WHEN name = 'tr' THEN ['tr', 'td', 'th'] WHEN name IN ('thead', 'tbody', 'tfoot') THEN ['tr', 'td', 'th', 'thead', 'tbody', 'tfoot']
+         WHEN name = 'option' THEN ['option'] WHEN name = 'optgroup' THEN ['option', 'optgroup']
+         WHEN list_contains({P_ENDERS}, name) THEN ['p'] ELSE [] END AS ends,
+    CASE WHEN op = 'close' AND name IN ('table', 'caption', 'tr', 'td', 'th', 'thead', 'tbody', 'tfoot') THEN ['table']
+         WHEN op = 'close' THEN ['caption', 'table', 'td', 'th'] WHEN name = 'li' THEN ['menu', 'ol', 'ul'] WHEN name IN ('dt', 'dd') THEN ['dl']
+         WHEN name IN ('td', 'th') THEN ['table', 'tr'] WHEN name IN ('tr', 'thead', 'tbody', 'tfoot') THEN ['table']
+         WHEN name = 'option' THEN ['datalist', 'optgroup', 'select'] WHEN name = 'optgroup' THEN ['select']
+         ELSE ['button', 'caption', 'table', 'td', 'th'] END AS walls,
+    op = 'open' AND name NOT IN ('script', 'style', 'textarea', 'title') AND NOT list_contains({VOID}, name) AND raw NOT LIKE '%/>' AS holds
+  FROM named),
+run AS (
+  SELECT page_id, 0::BIGINT AS i, []::VARCHAR[] AS around, []::VARCHAR[] AS open FROM pages
+  UNION ALL
+  SELECT page_id, i, around, CASE WHEN holds THEN list_append(around, name) ELSE around END FROM (
+    SELECT e.page_id, e.i, e.name, e.holds,
+      CASE WHEN e.op = 'open' THEN open[:coalesce(list_min(list_filter(range(1, len(open) + 1), lambda k: list_contains(e.ends, open[k])
+                  AND k > coalesce(list_max(list_filter(range(1, len(open) + 1), lambda m: list_contains(e.walls, open[m]))), 0))), len(open) + 1) - 1]
+           WHEN e.op = 'close' AND open[list_max(list_filter(range(1, len(open) + 1), lambda k: open[k] = e.name OR list_contains(e.walls, open[k])))] = e.name
+           THEN open[:list_max(list_filter(range(1, len(open) + 1), lambda k: open[k] = e.name)) - 1]
+           ELSE open END AS around
+    FROM run r JOIN ruled e ON e.page_id = r.page_id AND e.i = r.i + 1)),
+nodes AS (
+  SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i, sub))::INTEGER AS seq, node_type, around, text FROM (
+    SELECT r.page_id, r.i, 0 AS sub, CASE WHEN op = 'open' THEN name ELSE '#text' END AS node_type, r.around,
+      CASE WHEN op = 'text' THEN trim(raw, ' ' || chr(9) || chr(10) || chr(13)) END AS text
+    FROM run r JOIN ruled USING (page_id, i) WHERE op = 'open' OR (op = 'text' AND regexp_matches(raw, '\S'))
+    UNION ALL
+    SELECT r.page_id, r.i, 1, '#text', list_append(r.around, name), trim(regexp_extract(raw, '(?is)^<[^>]*>(.*)<[^<]*$', 1), ' ' || chr(9) || chr(10) || chr(13))
+    FROM run r JOIN ruled USING (page_id, i)
+    WHERE op = 'open' AND name IN ('script', 'style', 'textarea', 'title') AND regexp_matches(regexp_extract(raw, '(?is)^<[^>]*>(.*)<[^<]*$', 1), '\S')))
 """
 
 SQL: dict[str, str] = {}
@@ -557,25 +597,42 @@ SELECT file_path, seq, sqale_debt_hours,
   sum(sqale_debt_hours) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_value
 FROM ev WINDOW w AS (PARTITION BY file_path ORDER BY last_analyzed, seq)"""
 
-SQL["node_depth_markup"] = f"""WITH {TAGS.strip()}
-SELECT page_id, CAST(pos AS INTEGER) AS pos, tag, CAST(coalesce(sum(CASE WHEN is_close THEN -1 ELSE 1 END) OVER (
-  PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS depth
-FROM tk QUALIFY NOT is_close"""
-
-SQL["nesting_cost_markup"] = f"""WITH {TAGS.strip()},
-d AS (SELECT page_id, tag, is_close, coalesce(sum(CASE WHEN tag IN ('div', 'ul', 'nav', 'article', 'li')
-        THEN CASE WHEN is_close THEN -1 ELSE 1 END ELSE 0 END) OVER (
-        PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM tk)
-SELECT page_id, count(*) AS control_nodes, CAST(sum(1 + depth) AS BIGINT) AS nesting_cost FROM d
-WHERE NOT is_close AND tag IN ('div', 'ul', 'nav', 'article') GROUP BY page_id"""
-
-SQL["markup_stats"] = f"""WITH {TAGS.strip()},
-d AS (SELECT page_id, is_close, coalesce(sum(CASE WHEN is_close THEN -1 ELSE 1 END) OVER (
-        PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM tk)
-SELECT p.page_id, CAST(count(d.page_id) FILTER (WHERE NOT d.is_close) AS INTEGER) AS node_count,
-  CAST(coalesce(max(d.depth) FILTER (WHERE NOT d.is_close), 0) AS INTEGER) AS max_depth,
-  CAST(coalesce(sum(d.depth) FILTER (WHERE NOT d.is_close), 0) AS BIGINT) AS total_depth
-FROM pages p LEFT JOIN d USING (page_id) GROUP BY p.page_id"""
+SQL["markup_nodes"] = f"""WITH RECURSIVE {TREE.strip()}
+SELECT page_id, seq, node_type, around[-1] AS parent_type, text FROM nodes"""
+
+SQL["node_depth_markup"] = f"""WITH RECURSIVE {TREE.strip()}
+SELECT page_id, seq AS pos, node_type AS tag, len(around) AS depth FROM nodes WHERE node_type <> '#text'"""
+
+SQL["nesting_cost_markup"] = f"""WITH RECURSIVE {TREE.strip()}
+SELECT page_id, count(*) AS control_nodes,
+  CAST(sum(1 + len(list_filter(around, lambda t: t IN ('div', 'ul', 'nav', 'article', 'li')))) AS BIGINT) AS nesting_cost
+FROM nodes WHERE node_type IN ('div', 'ul', 'nav', 'article') GROUP BY page_id"""
+
+SQL["markup_stats"] = f"""WITH RECURSIVE {TREE.strip()}
+SELECT page_id, CAST(count(node_type) AS INTEGER) AS node_count, CAST(coalesce(max(len(around)), 0) AS INTEGER) AS max_depth,
+  CAST(coalesce(sum(len(around)), 0) AS BIGINT) AS total_depth
+FROM pages LEFT JOIN (SELECT * FROM nodes WHERE node_type <> '#text') USING (page_id) GROUP BY page_id"""
+
+SQL["node_metrics_markup"] = f"""WITH RECURSIVE {TREE.strip()},
+w AS (
+  SELECT page_id, node_type, text, CASE node_type WHEN 'p' THEN 3 WHEN 'li' THEN 1 WHEN 'div' THEN 2 END AS control,
+    len(list_filter(range(1, len(around) + 1), lambda k: around[k] IN ('ul', 'li', 'article', 'p', 'body') AND coalesce(around[k - 1], '') <> 'html')) AS depth
+  FROM nodes),
+m AS (
+  SELECT page_id, count(*) AS node_count, CAST(count(control) AS INTEGER) AS complexity_score,
+    CAST(coalesce(sum(control * (1 + depth)), 0) AS BIGINT) AS cognitive_complexity,
+    count(*) FILTER (WHERE node_type IN ('a', 'b', 'br')) AS operators_total,
+    count(DISTINCT node_type) FILTER (WHERE node_type IN ('a', 'b', 'br')) AS operators_unique,
+    count(*) FILTER (WHERE node_type = '#text') AS operands_total, count(DISTINCT text) FILTER (WHERE node_type = '#text') AS operands_unique
+  FROM w GROUP BY page_id)
+SELECT *, CASE WHEN operators_unique + operands_unique = 0 THEN 0.0
+    ELSE round((operators_total + operands_total) * log2(operators_unique + operands_unique), 2) END AS halstead_volume,
+  CAST(round(cognitive_complexity * 0.15, 2) AS DECIMAL(12,2)) AS sqale_debt_hours FROM m"""
+
+SQL["node_metrics_code"] = with_code("""
+SELECT repo, file_path, complexity_score, CAST(cognitive_complexity AS BIGINT) AS cognitive_complexity, CAST(n1_total AS BIGINT) AS operators_total,
+  CAST(n1_unique AS BIGINT) AS operators_unique, CAST(n2_total AS BIGINT) AS operands_total, CAST(n2_unique AS BIGINT) AS operands_unique,
+  halstead_volume, sqale_debt_hours, lines_of_code, maintainability_index FROM cm""")
 
 SQL["replace_snapshot"] = SQL["file_metrics"]
 

@@ -100,25 +100,15 @@ HEAD_NODE = (
 )
 
 BINARY_OPS = ("+", "-", "*", "/", "//", "%", "**", "@", "|", "&", "^", "<<", ">>")
-UNARY_OPS = ("+", "-", "~")
 COMPARISON_OPS = ("==", "!=", "<", ">", "<=", ">=", "<>")
 AUGMENTED_OPS = ("+=", "-=", "*=", "/=", "//=", "%=", "**=", "@=", "&=", "|=", "^=", ">>=", "<<=")
 
 
-def head_node(keyword: str) -> str | None:
-    return dict(HEAD_NODE).get(keyword)
-
-
 def control_heads() -> list[str]:
     """Statement heads whose node is a control-flow node."""
     return [k for k, n in HEAD_NODE if n in CONTROL_FLOW_NODES]
 
 
-def nesting_heads() -> list[str]:
-    """Statement heads whose block deepens nesting."""
-    return [k for k, n in HEAD_NODE if n not in ENCAPSULATION_NODES]
-
-
 RULE_SCHEMA = T.StructType([
     T.StructField("node_type", T.StringType(), False),
     T.StructField("role", T.StringType(), False),
@@ -129,12 +119,12 @@ RULE_SCHEMA = T.StructType([
 def default_rules(spark: SparkSession) -> DataFrame:
     """The fixed sets as a small rule table ``(node_type, role, weight)``.
 
-    Roles: ``control`` (adds weight + depth), ``operator``, ``operand``,
-    ``nesting`` (a block that deepens nesting). The table has 30 rows and is
-    always safe to broadcast.
+    Roles as ``operators.nodes`` reads them: a ``block`` deepens nesting unless
+    it is the body of an encapsulation node. The table has 20 rows.
     """
     rows = [(n, "control", 1) for n in CONTROL_FLOW_NODES]
     rows += [(n, "operator", 1) for n in OPERATOR_NODES]
     rows += [(n, "operand", 1) for n in OPERAND_NODES]
-    rows += [(n, "nesting", 1) for _, n in HEAD_NODE if n not in ENCAPSULATION_NODES]
+    rows += [("block", "nesting", 1)]
+    rows += [(n, "encapsulation", 1) for n in ENCAPSULATION_NODES]
     return spark.createDataFrame(rows, RULE_SCHEMA)
