@@ -80,31 +80,36 @@ def sqale_hours(cognitive: Column) -> Column:
 def structure(df: DataFrame, content: str = "content", count_keywords: bool = False) -> DataFrame:
     """Add the raw structure columns of the text front end.
 
-    Adds ``loc``, ``s`` (fold state: control/cognitive/operator counters,
-    docstring) and operand arrays. Map-only.
+    Adds ``__s`` (fold state: control/cognitive/operator counters, docstring),
+    ``__f`` (the same for what stands in the braces of f-strings) and operand
+    arrays. Map-only.
     """
     df = TK.with_tokens(df, content, "__tok")
+    df = TK.with_fstring_tokens(df, "__tok", "__ftok")
     df = TK.materialize(df, F.expr(ST.fold_sql("__tok")), "__s")  # filters above must not copy the fold
+    df = TK.materialize(df, F.expr(ST.fold_sql("__ftok")), "__f")
+    df = df.withColumn("__all", F.concat("__tok", "__ftok"))
     # soft keywords that open a statement are keywords, not operands
-    opd = F.filter("__tok", lambda x: x["k"].isin(*TK.OPERAND_KINDS) & x["h"].isNull())
+    opd = F.filter("__all", lambda x: x["k"].isin(*TK.OPERAND_KINDS) & x["h"].isNull())
     df = df.withColumn("__opd", F.transform(opd, lambda x: x["t"]))
     if count_keywords:
-        kw = F.filter("__tok", lambda x: (x["k"] == TK.K_KW) & x["t"].isin(*R.OPERATOR_KEYWORDS))
+        kw = F.filter("__all", lambda x: (x["k"] == TK.K_KW) & x["t"].isin(*R.OPERATOR_KEYWORDS))
         df = df.withColumn("__kw", F.transform(kw, lambda x: x["t"]))
     else:
         df = df.withColumn("__kw", F.array().cast("array<string>"))
     df = df.withColumn(
         "__ntok", F.size(F.filter("__tok", lambda x: x["k"] != TK.K_NL))
     )
-    return df.drop("__tok")
+    return df.drop("__tok", "__ftok", "__all")
 
 
 OP_FIELDS = ("nasg", "naug", "nbin", "nun", "ncmp", "nbool", "nnot")
 
 
-def halstead_columns(s: str = "__s", opd: str = "__opd", kw: str = "__kw") -> dict[str, Column]:
-    n1_total = sum((F.col(f"{s}.{f}") for f in OP_FIELDS), F.lit(0)) + F.size(kw)
-    n1_unique = sum((F.when(F.col(f"{s}.{f}") > 0, 1).otherwise(0) for f in OP_FIELDS), F.lit(0)) + F.size(
+def halstead_columns(s: str = "__s", inner: str = "__f", opd: str = "__opd", kw: str = "__kw") -> dict[str, Column]:
+    counts = [F.col(f"{s}.{f}") + F.col(f"{inner}.{f}") for f in OP_FIELDS]
+    n1_total = sum(counts, F.lit(0)) + F.size(kw)
+    n1_unique = sum((F.when(n > 0, 1).otherwise(0) for n in counts), F.lit(0)) + F.size(
         F.array_distinct(kw)
     )
     n2_total = F.size(opd)

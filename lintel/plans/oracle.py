@@ -34,9 +34,14 @@ OPS = ("assignment", "augmented_assignment", "binary_operator", "unary_operator"
 
 
 def token_count(code: str) -> int:
-    """Tokens of a block by Python's own tokenizer, without layout and comments."""
+    """Tokens of a block by Python's own tokenizer, without layout and comments; an f-string is one token."""
     layout = (tokenize.NEWLINE, tokenize.NL, tokenize.INDENT, tokenize.DEDENT, tokenize.COMMENT, tokenize.ENDMARKER)
-    return sum(t.type not in layout for t in tokenize.generate_tokens(io.StringIO(code).readline))
+    count = inside = 0
+    for t in tokenize.generate_tokens(io.StringIO(code).readline):
+        inside -= t.type == getattr(tokenize, "FSTRING_END", -1)
+        count += t.type not in layout and not inside and t.type != getattr(tokenize, "FSTRING_END", -1)
+        inside += t.type == getattr(tokenize, "FSTRING_START", -1)
+    return count
 
 
 def _blocks_values() -> str:

@@ -91,9 +91,11 @@ BLOCKS = [
      "            case other:\n                return 0\n",
      7, 1, 1, 7, {},
      ["Router", "route", "self", "cmd", "cmd", '"go"', "1", "other", "0"]),
-    ("squares = [n * n for n in range(10) if n % 2]\nkey = lambda item: item[0]\n",
-     2, 0, 0, 2, {"assignment": 2, "binary_operator": 2},
-     ["squares", "n", "n", "n", "range", "10", "n", "2", "key", "item", "item", "0"]),
+    ("squares = [n * n for n in range(10) if n % 2]\nkey = lambda item: item[0]\n"
+     'label = f"{squares} {key.name:>{width}} {{x}} {n * 2!r}"\n',
+     3, 0, 0, 3, {"assignment": 3, "binary_operator": 3},
+     ["squares", "n", "n", "n", "range", "10", "n", "2", "key", "item", "item", "0",
+      "label", 'f"{squares} {key.name:>{width}} {{x}} {n * 2!r}"', "squares", "key", "name", "width", "n", "2"]),
     ("if debug:\n    def trace(msg):\n        for part in msg:\n            if part:\n                log(part)\n",
      5, 3, 6, 5, {},
      ["debug", "trace", "msg", "part", "msg", "part", "log", "part"]),

@@ -5,7 +5,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from lintel.operators.metrics import analyze
+from lintel import rules as R
+from lintel.functions.tokens import FSTRING_LEVELS
+from lintel.operators.metrics import analyze, structure
+from lintel.sources.syntax import source_nodes
 
 GOLDEN = '''"""Own sample."""
 
@@ -142,12 +145,12 @@ def test_metric_plan_is_map_only_and_jvm_side(spark):
     plan = analyze(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert plan.count("regexp_extract_all") == 1
+    assert plan.count("regexp_extract_all(content") == 1
 
 
-@pytest.mark.parametrize("quote", ['"', "'"])
+@pytest.mark.parametrize("quote", ['"', "'", 'f"', "f'"])
 def test_a_literal_of_many_escapes_gives_a_row(spark, quote):
-    r = run(spark, [("big", f"x = {quote}" + "\\n" * 100_000 + f"{quote}\nif x:\n    y = 1\n")])["big"]
+    r = run(spark, [("big", f"x = {quote}" + "\\n" * 100_000 + f"{quote[-1]}\nif x:\n    y = 1\n")])["big"]
     assert r.complexity_score == 1 and r.operands_total == 5
 
 
@@ -161,4 +164,27 @@ def test_a_filter_above_the_metrics_copies_no_fold(spark):
     from lintel.operators.rollup import triage
     df = spark.createDataFrame([("a", "if x:\n    pass\n")], "file_path string, content string")
     plan = triage(analyze(df))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("aggregate(") == 1 and plan.count("regexp_extract_all") == 1
+    # the file and what stands in its f-strings are folded once each, and each level of f-strings is cut once
+    assert plan.count("regexp_extract_all(content") == 1 and plan.count("aggregate(") == 2 + FSTRING_LEVELS
+
+
+FSTRINGS = [
+    ('f"{a} {b.c:>{w}}"\n', ["a", "b", "c", "w"]),
+    ('f\'{d["k"]} it\\\'s {{q}} {e!r:{f}.{g}} {h != i}\'\n', ["d", '"k"', "e", "f", "g", "h", "i"]),
+    ('f"{x["a"]}" + f"{f\'{y}\'}"\n', ["x", '"a"', "f'{y}'", "y", 'f"{f\'{y}\'}"']),
+    ('rf"""{z\n + 1}""" + F\'\'\'{ {1: 2}[1] }\'\'\'\n', ["z", "1", "1", "2", "1", "F\'\'\'{ {1: 2}[1] }\'\'\'"]),
+    ('f"" + f"{q=}" + "{n}" + f"{(lambda u: u)(3)} {[k for k in v if not k]}"\n',
+     ['f"{q=}"', "q", '"{n}"', "u", "u", "3", "k", "k", "v", "k", 'f"{(lambda u: u)(3)} {[k for k in v if not k]}"']),
+    ('print(f"{n:,} of {total:.2f}", f"")\n', ["print", "n", "total", 'f""']),
+]
+
+
+@pytest.mark.parametrize("source, inner", FSTRINGS, ids=range(len(FSTRINGS)))
+def test_operands_and_operators_inside_fstrings(spark, source, inner):
+    r = structure(spark.createDataFrame([(source,)], "content string")).first()
+    names = [x[4] for x in source_nodes(source) if x[2] in R.OPERAND_NODES]
+    assert sorted(r["__opd"]) == sorted(names) and set(inner) <= set(names)
+    kinds = [x[2] for x in source_nodes(source)]
+    of = {"nasg": "assignment", "naug": "augmented_assignment", "nbin": "binary_operator", "nun": "unary_operator", "ncmp": "comparison_operator",
+          "nbool": "boolean_operator", "nnot": "not_operator"}
+    assert {f: r["__s"][f] + r["__f"][f] for f in of} == {f: kinds.count(k) for f, k in of.items()}
