@@ -17,27 +17,23 @@ and extra columns are passed through; a column named like the output is replaced
 from __future__ import annotations
 
 import base64
-import sys
-from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-#: Encoded strings a worker remembers; a speed bound only, the memory starts anew beyond it.
-REMEMBERED = 200_000
-#: Rows of a batch whose results are held as Python objects.
-SLICE = 200
-#: The split pattern whose matches may be found between single spaces (see ``Merges.encode``).
-SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_NEVER = 1 << 60
+from lintel.llm.cuts import SPACE_PATTERN, Memory, cuts
 
-#: A space behind other white space: the pattern may match both as one.
-_SPACED = [chr(i) + " " for i in range(sys.maxunicode + 1) if chr(i).isspace()]
+#: Cuts and pieces of text and pairs of neighbours a worker remembers, and the longest such string; speed bounds only.
+REMEMBERED, NEIGHBOURS, LONGEST = 200_000, 400_000, 48
+#: Bytes of text or ids worked on at once, ids of one text decoded at once.
+AT_ONCE, IDS_AT_ONCE = 1_000_000, 250_000
+_NEVER = 1 << 60
 
 
 class Merges:
@@ -49,20 +45,26 @@ class Merges:
             raise ValueError(f"the rank file has no entry for {len(missing)} single bytes")
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self.lengths = {r: len(b) for b, r in ranks.items()}
-        self.packed = {r: r.to_bytes(4, "little") for r in ranks.values()}
         self.find = regex.compile(pattern).findall
+        self.cuts = cuts if pattern == SPACE_PATTERN else self.find
+        self._ready = False
+        self._placed: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def _prepare(self) -> None:
+        """What encoding needs, built when the first text comes."""
+        self.lengths = {r: len(b) for b, r in self.ranks.items()}
+        self.packed = {r: r.to_bytes(4, "little") for r in self.ranks.values()}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._shorter: dict[int, int | None] = {}
         self._fits: dict[int, bool] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
-        self.cut = pattern == SPACE_PATTERN
+        self._pieces = Memory(lambda p: b"".join([self.packed[t] for t in self.encode_piece(p.encode("utf-8"))]), REMEMBERED, LONGEST)
+        self._cuts = Memory(lambda c: b"".join([self._pieces[p] for p in self.find(c)]), REMEMBERED, LONGEST)
         self.matcher = ahocorasick.Automaton()
-        for b, r in ranks.items():
+        for b, r in self.ranks.items():
             if self._merge(b, r) is not None:  # entries that merging can never produce don't take part
                 self.matcher.add_word(b.decode("latin-1"), r)
         self.matcher.make_automaton()
+        self._ready = True
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Merges:
@@ -119,6 +121,8 @@ class Merges:
                 right = halves[right][0]
             else:
                 break
+        if len(self._fits) > NEIGHBOURS:
+            self._fits.clear()
         self._fits[a << 32 | b] = fits
         return fits
 
@@ -153,54 +157,43 @@ class Merges:
                 last = out[-1] if out else None
                 token = self._prefix(token)
 
-    def _chunk(self, chunk: str) -> bytes:
-        known = self._pieces
-        if len(known) > REMEMBERED:
-            known.clear()
-        out = []
-        for p in self.find(chunk):
-            ids = known.get(p)
-            if ids is None:
-                ids = known[p] = b"".join([self.packed[t] for t in self.encode_piece(p.encode("utf-8"))])
-            out.append(ids)
-        return b"".join(out)
-
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers.
 
-        No match of the pattern holds a space behind anything but its first
-        place, apart from runs of white space. A text without a space behind
-        other white space may therefore be cut before every space, and each cut
-        is looked up whole among those seen before.
+        No match of the pattern runs from other characters into white space, so
+        a text may be cut wherever white space begins behind another character.
+        Short cuts are looked up whole among those seen before.
         """
-        if self.cut and not any(x in text for x in _SPACED):
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + x for x in rest]] if rest else [first]
-        else:
-            chunks = self.find(text)
-        known = self._chunks
-        if len(known) > REMEMBERED:
-            known.clear()
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        for c in chunks:
-            if c not in known:
-                known[c] = self._chunk(c)
-        return b"".join([known[c] for c in chunks])
+        if not self._ready:
+            self._prepare()
+        return b"".join([self._cuts[c] for c in self.cuts(text)])
+
+    def _places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All entries in a row, and by id where each begins and how long it is (-1: no such id)."""
+        if self._placed is None:
+            ids = np.fromiter(self.bytes_of, dtype=np.int64, count=len(self.bytes_of))
+            sizes = np.array([len(b) for b in self.bytes_of.values()], dtype=np.int64)
+            begin, length = np.zeros(ids.max() + 1, dtype=np.int64), np.full(ids.max() + 1, -1, dtype=np.int64)
+            begin[ids], length[ids] = np.cumsum(sizes) - sizes, sizes
+            self._placed = np.frombuffer(b"".join(self.bytes_of.values()), dtype=np.uint8), begin, length
+        return self._placed
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, unpack(ids)))
+        entries, begin, length = self._places()
+        of, out = unpack(ids), []
+        for at in range(0, len(of), IDS_AT_ONCE):
+            some = of[at:at + IDS_AT_ONCE]
+            sizes = length[some]
+            if sizes.min() < 0:
+                raise KeyError(int(some[sizes.argmin()]))
+            places = np.repeat(begin[some] - (np.cumsum(sizes) - sizes), sizes)
+            out.append(entries[places + np.arange(len(places))].tobytes())
+        return b"".join(out)
 
 
-def unpack(ids: bytes) -> array:
+def unpack(ids: bytes) -> np.ndarray:
     """Ids from little-endian unsigned 32-bit integers."""
-    out = array("I")
-    out.frombytes(ids)
-    if array("I", [1]).tobytes()[0] != 1:
-        out.byteswap()
-    return out
+    return np.frombuffer(ids, dtype="<u4")
 
 
 _LOADED: dict[tuple[str, str], Merges] = {}
@@ -215,12 +208,16 @@ def merges(path: str, pattern: str) -> Merges:
 
 def _batched(one, path: str, pattern: str, kind: pa.DataType):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = merges(path, pattern)
-        call = getattr(vocabulary, one)
+        call = getattr(merges(path, pattern), one)
         for batch in batches:
-            parts = [pa.array([call(x.as_py()) if x.is_valid else None for x in batch[i:i + SLICE]], type=kind)
-                     for i in range(0, len(batch), SLICE)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+            done, some, held = [], [], 0
+            for x in batch:
+                some.append(call(x.as_py()) if x.is_valid else None)
+                held += len(some[-1] or b"")
+                if held > AT_ONCE:  # results leave Python objects for Arrow in slices
+                    done.append(pa.array(some, type=kind))
+                    some, held = [], 0
+            yield pa.concat_arrays([*done, pa.array(some, type=kind)])
     return run
 
 
