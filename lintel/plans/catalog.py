@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,7 @@ from lintel.sources import corpus as C
 from lintel.sources import facts as FA
 from lintel.sources import files as FS
 from lintel.sources import state as S
+from lintel.sources import stored as ST
 from lintel.sources import syntax as SX
 from lintel.streaming import upsert as STR
 
@@ -43,6 +45,12 @@ def code_metrics(spark: SparkSession, sf: str, **kw) -> DataFrame:
     return analyze(C.code_corpus(spark, sf), keep=["repo", "snapshot_id", "file_path", "doc_id"], **kw)
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics of the code corpus as dashboards read them: analysed when the documents change, then only read."""
+    root = scratch_path(spark, f"metrics-{zlib.crc32(sf.encode()):08x}")
+    return ST.stored_metrics(C.code_corpus(spark, sf), root, os.path.join(sf, "documents.parquet"), keep=["snapshot_id", "doc_id"])
+
+
 def scanned_docs(spark: SparkSession, sf: str) -> DataFrame:
     """S1/S2 over the document corpus: ``*.py`` only, ignored folders pruned."""
     d = C.docs_corpus(spark, sf)
@@ -80,7 +88,7 @@ def q_docstring(spark, sf):
 
 
 def q_mi_bands(spark, sf):
-    m = code_metrics(spark, sf)
+    m = stored(spark, sf)
     mi, cc = F.col("maintainability_index"), F.col("cognitive_complexity")
     return m.select(
         "file_path",
@@ -96,38 +104,38 @@ def q_mi_bands(spark, sf):
 
 
 def q_project_health(spark, sf):
-    return RU.health_dashboard(code_metrics(spark, sf), ["repo"])
+    return RU.health_dashboard(stored(spark, sf), ["repo"])
 
 
 def q_scan_summary(spark, sf):
-    return RU.scan_summary(code_metrics(spark, sf), ["repo"])
+    return RU.scan_summary(stored(spark, sf), ["repo"])
 
 
 def q_insight(spark, sf):
-    return RU.insight(code_metrics(spark, sf), ["repo"])
+    return RU.insight(stored(spark, sf), ["repo"])
 
 
 def q_top_complex(spark, sf):
-    return RU.top_complex(code_metrics(spark, sf), 10).select(
+    return RU.top_complex(stored(spark, sf), 10).select(
         "file_path", "complexity_score", "cognitive_complexity", "maintainability_index")
 
 
 def q_list_metrics(spark, sf):
-    return RU.list_metrics(code_metrics(spark, sf)).select("file_path", "complexity_score", "node_count")
+    return RU.list_metrics(stored(spark, sf)).select("file_path", "complexity_score", "node_count")
 
 
 def q_triage(spark, sf):
-    m = code_metrics(spark, sf)
+    m = stored(spark, sf)
     return RU.triage(m, existing_files(spark, sf)).select("file_path", "maintainability_index",
                                                           "cognitive_complexity")
 
 
 def q_folder_rollup(spark, sf):
-    return RU.folder_rollup(code_metrics(spark, sf))
+    return RU.folder_rollup(stored(spark, sf))
 
 
 def _issues(spark, sf):
-    return I.attach_metrics(FA.label_issues(spark, sf), code_metrics(spark, sf))
+    return I.attach_metrics(FA.label_issues(spark, sf), stored(spark, sf))
 
 
 def q_rank_issues(spark, sf):
@@ -141,11 +149,11 @@ def q_severity_counts(spark, sf):
 
 
 def q_issues_per_file(spark, sf):
-    return I.issues_per_file(C.code_corpus(spark, sf), FA.label_issues(spark, sf))
+    return I.issues_per_file(stored(spark, sf), FA.label_issues(spark, sf))
 
 
 def q_diagnosis_summary(spark, sf):
-    files = C.code_corpus(spark, sf)
+    files = stored(spark, sf)
     return I.diagnosis_summary(files, I.issue_navigation(FA.label_issues(spark, sf), files))
 
 
@@ -154,7 +162,7 @@ def q_issue_navigation(spark, sf):
 
 
 def q_parse_bug_scan(spark, sf):
-    return I.parse_bug_scan(FA.responses(spark, sf), code_metrics(spark, sf))
+    return I.parse_bug_scan(FA.responses(spark, sf), stored(spark, sf))
 
 
 def q_parse_diagnosis(spark, sf):
@@ -227,14 +235,14 @@ def q_description_cache(spark, sf):
 
 
 def q_describe(spark, sf):
-    m = code_metrics(spark, sf)
+    m = stored(spark, sf)
     cache = D.description_cache(_previous(spark, sf))
     r = D.resolve_descriptions(m, cache, _generated(spark, sf))  # blank files are those with no lines of code
     return r.select("file_path", "description", "description_source")
 
 
 def q_describe_missing(spark, sf):
-    m = code_metrics(spark, sf)
+    m = stored(spark, sf)
     return D.files_needing_generation(m, D.description_cache(_previous(spark, sf))).select("file_path")
 
 
@@ -255,7 +263,7 @@ def _expectations(spark, sf):
 
 
 def q_calibration(spark, sf):
-    checks = Q.calibration(code_metrics(spark, sf), _expectations(spark, sf))
+    checks = Q.calibration(stored(spark, sf), _expectations(spark, sf))
     return Q.calibration_summary(checks)
 
 
@@ -403,11 +411,15 @@ def q_stream_upsert(spark, sf):
 
 
 def q_stream_debt_window(spark, sf):
-    ev = C.table(spark, sf, "events")
-    src = scratch_path(spark, f"events-win-{uuid.uuid4().hex[:8]}")
-    ev.write.parquet(src)
-    out = STR.stream_window_counts(spark, src, ev.schema, "ts", ["event_type"], "value",
-                                   window="1 hour", watermark="1 hour")
+    """ST2 over arrivals: five days of events at a time, every tenth event five days late."""
+    work = scratch_path(spark, f"events-win-{uuid.uuid4().hex[:8]}")
+    ev = FA.arrivals(C.table(spark, sf, "events"))
+    ev.write.partitionBy("arrival").parquet(f"{work}/events")
+    delivered, out = spark.read.parquet(f"{work}/events"), None
+    for r in delivered.select("arrival").distinct().orderBy("arrival").collect():  # one row for five days of events
+        rows = delivered.filter(F.col("arrival") == r.arrival).drop("arrival")
+        rows.write.mode("append").parquet(f"{work}/arrived")
+        out = STR.stream_window_counts(spark, f"{work}/arrived", rows.schema, "ts", ["event_type"], "value", window="1 hour", watermark="1 hour", work=work)
     return out.withColumn("value_sum", F.round("value_sum", 6))
 
 

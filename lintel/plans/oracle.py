@@ -659,6 +659,12 @@ SQL["stream_upsert"] = f"""WITH {EVENTS.strip()}
 SELECT file_path, last_analyzed, seq, sqale_debt_hours FROM ev
 QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY last_analyzed DESC, seq DESC) = 1"""
 
-SQL["stream_debt_window"] = """
-SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type,
-  count(*) AS events, round(sum(value), 6) AS value_sum FROM events GROUP BY ALL"""
+# Every tenth event comes one delivery of five days late; it counts while its hour ended less than an hour
+# before the newest event of the deliveries before.
+SQL["stream_debt_window"] = """WITH e AS (
+  SELECT *, CAST(floor(epoch(ts) / 432000) AS BIGINT) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS arrival,
+    date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end FROM events),
+newest AS (SELECT arrival, max(max(ts)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM e GROUP BY arrival)
+SELECT window_start, window_end, event_type, count(*) AS events, round(sum(value), 6) AS value_sum
+FROM e JOIN newest USING (arrival) WHERE seen IS NULL OR window_end > seen - INTERVAL 1 HOUR
+GROUP BY ALL"""

@@ -1,77 +1,45 @@
 """Structured Streaming forms of the keyed state (ST1, ST2).
 
-ST1: a file stream of metric updates is merged into a versioned state
-table with ``foreachBatch``; each micro-batch unions the newest state
-version with its rows and keeps the latest row per key (``max_by`` on
-``(ts, seq)``), so a replayed batch gives the same table. The query's
-checkpoint and the state versions live in the shared folder named by
-``spark.checkpoint.dir``.
+ST1: a file stream of metric updates is merged into a keyed store
+(``sources.store``) with ``foreachBatch``. A micro-batch writes its own rows
+as a generation; generations are merged as they grow, so the bytes written
+follow the batches and not the table. The batch number is part of the
+commit: a batch that is replayed after a crash, before or after its commit,
+gives the same table. Checkpoint and store live in the shared folder named
+by ``spark.checkpoint.dir``.
 
 ST2: tumbling-window debt/issue counts with an event-time watermark; rows
-later than the watermark are dropped by Spark.
+whose window the watermark has passed are dropped by Spark.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.session import scratch_path
-from lintel.sources import state as S
-
-
-def _fs(spark: SparkSession, path: str):
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jp, jp.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    jp, fs = _fs(spark, root)
-    if not fs.exists(jp):
-        return []
-    out = []
-    for st in fs.listStatus(jp):
-        name = st.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(
-                spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[1:]))
-    return sorted(out)
+from lintel.sources.store import KeyedStore
 
 
 def stream_upsert(spark: SparkSession, source_dir: str, schema, key: list[str], order: list[str],
                   work: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """ST1: run the stream to completion (availableNow) and return the state."""
+    """ST1: run the stream over what is there (availableNow) and return the state."""
     work = work or scratch_path(spark, f"stream-upsert-{uuid.uuid4().hex[:8]}")
-    state_root = f"{work}/state"
+    store = KeyedStore(spark, f"{work}/state", schema, key, order)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.parquet(source_dir)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        versions = _versions(spark, state_root)
-        target = f"{state_root}/v{batch_id + 1}"
-        if versions and versions[-1] >= batch_id + 1:
-            return  # replayed batch already committed
-        rows = batch.select(*[c for c in batch.columns])
-        if versions:
-            cur = spark.read.parquet(f"{state_root}/v{versions[-1]}")
-            merged = S.upsert(cur, rows, key=key, order=order)
-        else:
-            merged = S.upsert(rows.limit(0), rows, key=key, order=order)
-        merged.write.mode("overwrite").parquet(target)
-
-    q = (src.writeStream.foreachBatch(merge)
+        store.merge(batch, batch=batch_id)
+
+    q = (reader.parquet(source_dir).writeStream.foreachBatch(merge)
          .option("checkpointLocation", f"{work}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    versions = _versions(spark, state_root)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{state_root}/v{versions[-1]}")
+    return store.current()
 
 
 def stream_window_counts(spark: SparkSession, source_dir: str, schema, ts: str, group: list[str],
@@ -79,6 +47,11 @@ def stream_window_counts(spark: SparkSession, source_dir: str, schema, ts: str,
                          work: str | None = None) -> DataFrame:
     """ST2: per tumbling window and group: rows and value sum, with watermark.
 
+    Runs over the files that are there (availableNow) and may be called again
+    with the same ``work`` when more have come: counts and watermark go on
+    from the checkpoint, and rows of windows that the watermark has passed
+    are dropped.
+
     ``timestamp_ntz`` columns are cast to ``timestamp`` first (watermarks
     need a zoned timestamp). Update mode: each micro-batch appends the
     windows it changed, tagged with its batch id, to a Parquet table in the
