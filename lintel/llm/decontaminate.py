@@ -5,7 +5,8 @@ a window is still found if words at the other places were replaced. Windows of
 the benchmark and of the training texts are joined on (mask, hash). Around every
 hit the two texts are laid side by side, and a document is contaminated if some
 run of ``WINDOW`` words (the whole item if that is shorter) agrees in at least
-``SHARE`` of its places.
+``SHARE`` of its places; items of up to ``EXACT`` words must be there whole. No such
+overlap is missed: the masks leave no blind spot at any length (see ``MASKS``).
 
 Most windows of the corpus needn't be hashed: a window can only match if it has
 the rarest selected word of the matching one (rarest within the benchmark) at
@@ -15,9 +16,9 @@ only windows around them are hashed, in one pass without a shuffle. With more
 windows than that, all windows are hashed and joined by a shuffle. The result is
 the same.
 
-DataFrame functions only. Defined results: null and empty texts have no words and
-match nothing; items with fewer words than the shortest mask match nothing;
-repeated rows of an item or document count once; null ids are left out; other
+DataFrame functions only. Every item has at least one window, so that the bound on
+windows bounds the items too. Defined results: null and empty texts, and items
+without words, match nothing; repeated rows of an item or document count once; null ids are left out; other
 columns are ignored.
 """
 
@@ -30,10 +31,12 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import saved
 
-#: Places of the masks that count (1). With up to a quarter of the places replaced, every run of 10 to 13 words
-#: has a window that one of the masks sees whole; of shorter items most.
-MASKS = ("11101", "100111")
-WINDOW, SHARE = 13, 0.75
+#: Places of the masks that count (1), and which of them items of fewer words than ``LONG`` use. With up to a quarter of
+#: the places replaced, every run of 10 to 13 words has a window that one of the first two sees whole, and every
+#: shorter item one that its own mask sees. Items under five words count only if all their words are there.
+MASKS = ("11101", "100111", "1", "11", "111", "1111")
+LONG, OF_SHORT = 10, {1: "1", 2: "11", 3: "111", 4: "1111", 5: "11", 6: "111", 7: "111", 8: "11", 9: "111"}
+WINDOW, SHARE, EXACT = 13, 0.75, 4
 #: Windows of the benchmark that are sent to every task, at most.
 BROADCAST_WINDOWS = 2_000_000
 
@@ -60,7 +63,9 @@ def _windows(items: DataFrame) -> DataFrame:
     """All windows of the items: item_id, mask, start, hash."""
     parts = []
     for m, mask in enumerate(MASKS):
-        at = items.select("item_id", "words", F.explode(_starts(F.col("words"), mask)).alias("start"))
+        sizes = [n for n, own in OF_SHORT.items() if own == mask]
+        some = items.filter(F.size("words").isin(sizes) if sizes else F.size("words") >= LONG)
+        at = some.select("item_id", "words", F.explode(_starts(F.col("words"), mask)).alias("start"))
         parts.append(at.select("item_id", F.lit(m).alias("mask"), "start", _hash(F.col("words"), F.col("start"), m).alias("hash")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -114,7 +119,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
         sided = hits.join(F.broadcast(items.withColumnRenamed("words", "item")), "item_id")
     else:
         parts = []
-        for m, mask in enumerate(MASKS):
+        for m in sorted(r.mask for r in windows.select("mask").distinct().collect()):  # at most len(MASKS)
+            mask = MASKS[m]
             at = own.select("doc_id", F.explode(F.transform(_starts(F.col("words"), mask), lambda i: F.struct(  # noqa: B023
                 i.alias("begin"), _hash(F.col("words"), i, m).alias("hash")))).alias("w"))  # noqa: B023
             parts.append(at.select("doc_id", F.lit(m).alias("mask"), "w.begin", "w.hash"))
@@ -123,6 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text
         sided = hits.join(own, "doc_id").join(items.withColumnRenamed("words", "item"), "item_id")
     judged = sided.select("doc_id", "item_id", F.size("item").alias("item_words"), _agreement(F.col("words"), F.col("item"), F.col("shift")).alias("agree"))
     judged = judged.select("doc_id", "item_id", "item_words", F.aggregate("agree", F.lit(0), lambda s, x: s + x).alias("matched"), _best_run(F.col("agree")).alias("run"))
-    found = judged.filter(F.col("run") >= F.ceil(SHARE * F.least("item_words", F.lit(WINDOW))))
+    least = F.when(F.col("item_words") <= EXACT, F.col("item_words")).otherwise(F.ceil(SHARE * F.least("item_words", F.lit(WINDOW))))
+    found = judged.filter(F.col("run") >= least)
     return found.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched_words"), F.max("run").cast("long").alias("run_words"),
                                                   F.max("item_words").cast("long").alias("item_words"))

@@ -68,7 +68,8 @@ def brute(docs, items):
             for s in range(-len(it), len(w) + 1):
                 eq = [0 <= i + s < len(w) and w[i + s] == it[i] for i in range(len(it))]
                 size = min(13, len(it))
-                if len(it) >= 6 and any(sum(eq[i:i + size]) >= -(-3 * size // 4) for i in range(len(it) - size + 1)):
+                need = len(it) if len(it) < 5 else -(-3 * size // 4)
+                if it and any(sum(eq[i:i + size]) >= need for i in range(len(it) - size + 1)):
                     out.add((d, k))
     return out
 
@@ -87,6 +88,16 @@ def test_overlaps_with_replaced_words(spark, monkeypatch):
             copy = copy[r.choice([0, 0, 3]):]
             text[10:10] = copy
         docs.append((i, " ".join(text).capitalize()))
+    for k, n in enumerate((1, 2, 3, 4, 4, 5, 6, 7, 8, 9), 20):  # short items: whole, with a word and with two words replaced
+        items.append((k, " ".join(word() + "q" for _ in range(n))))
+        for gone in range(3):
+            copy = items[-1][1].split()
+            for at in r.sample(range(n), min(gone, n)):
+                copy[at] = word()
+            docs.append((200 + 3 * k + gone, " ".join([word(), word(), *copy, word()])))
+    items.append((40, "paris is the capital"))
+    docs.append((300, "So paris is the capital!"))
+    docs.append((301, "So rome is the capital!"))
     docs += [(100, None), (101, ""), (102, items[0][1]), (102, items[0][1]), (103, "z " * 100_000 + items[1][1]), (None, items[2][1])]
     items += [(50, None), (51, ""), (52, "two words"), (0, items[0][1])]
     d = spark.createDataFrame(docs, "doc_id int, text string").withColumn("words", F.lit(1)).withColumn("hash", F.lit(2))
@@ -100,9 +111,10 @@ def test_overlaps_with_replaced_words(spark, monkeypatch):
 
 
 def test_masks_see_every_run_with_a_quarter_replaced():
-    for n in range(10, decontaminate.WINDOW + 1):
-        for gone in itertools.combinations(range(n), n - -(-3 * n // 4)):
-            assert any(all(s + i not in gone for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for s in range(n - len(m) + 1))
+    for n in range(1, decontaminate.WINDOW + 1):
+        masks = decontaminate.MASKS[:2] if n >= decontaminate.LONG else [decontaminate.OF_SHORT[n]]
+        for gone in itertools.combinations(range(n), n - -(-3 * n // 4) if n > decontaminate.EXACT else 0):
+            assert any(all(s + i not in gone for i, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1))
 
 
 def test_the_plan_is_native_and_moves_no_text(spark):
