@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql.functions import broadcast, col, create_map, lit, pmod, xxhash64
+from pyspark.sql.functions import broadcast, col, count, create_map, lit, monotonically_increasing_id, pmod, xxhash64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Bytes of a row group that a task writing a table holds in memory.
+ROW_GROUP = 32 << 20
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -38,7 +42,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lintel-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,10 +59,32 @@ def fresh(df: DataFrame, stem: str) -> str:
 BROADCAST_IDS = 2_000_000
 
 
-def without(df: DataFrame, ids: DataFrame, id: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose id isn't among ``ids`` (one column); null ids stay."""
-    ids = saved(ids.distinct().toDF(id), "dropped")
-    return df.join(broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id, "left_anti")
+def without(df: DataFrame, ids: DataFrame, *id: str) -> DataFrame:
+    """The rows of ``df`` whose columns ``id`` (doc_id) aren't among the rows of ``ids``; null ids stay."""
+    names = list(id) or ["doc_id"]
+    ids = saved(ids.distinct().toDF(*names), "dropped")
+    return df.join(broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, names, "left_anti")
+
+
+def numbered(df: DataFrame, id: str = "doc_id", own: str = "own_id") -> DataFrame:
+    """``df`` with a number of its own for each row: the id where no other row has it, else one above all ids.
+
+    Only rows with a null or repeated id are written down to give them
+    numbers that stay. Among rows that are alike the smallest number is
+    that of a row with an id of its own.
+    """
+    ids = df.groupBy(id).agg(count("*").alias("rows"))
+    odd = saved(ids.filter("rows > 1").select(id).filter(col(id).isNotNull()), "repeated")
+    nulls = df.filter(col(id).isNull())
+    some = odd.count()
+    if not some and nulls.isEmpty():
+        return df.withColumn(own, col(id).cast("long"))
+    odd = broadcast(odd) if some <= BROADCAST_IDS else odd
+    above = (df.agg({id: "max"}).first()[0] or 0) + 1
+    others = nulls.unionByName(df.join(odd, id, "left_semi").select(*df.columns))
+    others = saved(others.withColumn(own, lit(above).cast("long") + monotonically_increasing_id()), "numbered")
+    clean = df.filter(col(id).isNotNull()).join(odd, id, "left_anti").select(*df.columns)
+    return clean.withColumn(own, col(id).cast("long")).unionByName(others)
 
 
 def sampled(df: DataFrame, by: str, n: int, *ties: str) -> DataFrame:
