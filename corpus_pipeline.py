@@ -12,10 +12,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lintel.llm import bpe, decontaminate, ngram_join, pii, toxicity
-from lintel.llm.common import saved, table, without
+from lintel.llm.common import numbered, saved, table, without
 from lintel.llm.queries import PII_KEY, RANKS, toxicity_net
 from lintel.session import ship_package
 
@@ -23,28 +22,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity net doesn't reject at the threshold of their language."""
-    scored = toxicity.score(docs.select(*COLUMNS), toxicity_net(spark, sf_dir))
-    return scored.filter(~F.col("toxic")).select(*COLUMNS)
+    """Documents that the toxicity net doesn't reject at the threshold of their language.
+
+    The scoring pass gives keys of rejected texts alone; a second one drops their rows, so
+    that no task holds texts for Python and for a writer at once.
+    """
+    docs = docs.select(*COLUMNS)
+    rejected = toxicity.rejected(docs, toxicity_net(spark, sf_dir))
+    return without(docs.select("*", *toxicity.content_key()), rejected, "content_a", "content_b").select(*COLUMNS)
 
 
 def near_unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; one row of each id."""
-    docs = docs.select(*COLUMNS)
-    groups = ngram_join.jaccard_join(docs)
-    kept = without(docs, groups.filter("component_id <> doc_id").select("doc_id"))
-    repeated = saved(kept.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text", "lang", "source", "n_chars"))
-    again = kept.join(repeated, "doc_id").withColumn("nth", first).filter("nth = 1").select(*COLUMNS)
-    return without(kept, repeated).select(*COLUMNS).unionByName(again)
+    """One document of each group of near duplicates, that with the smallest id.
+
+    Rows with a null or repeated id are compared like all others, and go before rows with an id of their own.
+    """
+    docs = numbered(docs.select(*COLUMNS))
+    groups = ngram_join.jaccard_join(docs, id="own_id")
+    return without(docs, groups.filter("component_id <> doc_id").select("doc_id"), "own_id").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    docs = docs.select(*COLUMNS)
-    return without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Documents that hold no benchmark item, whatever their ids."""
+    docs = numbered(docs.select(*COLUMNS))
+    held = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), id="own_id")
+    return without(docs, held.select("doc_id"), "own_id").select(*COLUMNS)
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
