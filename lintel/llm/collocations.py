@@ -42,14 +42,13 @@ from lintel.llm.shingles import keys, mix, text_groups, word_hashes
 #: One pair of words in so many is a trigger.
 SPARSE = 16
 #: Bytes of text parsed at once, bytes of chunks held for adding up, bytes of chunks counted at once.
-TEXT_BYTES, HELD_BYTES, COUNT_BYTES = 2_000_000, 24_000_000, 6_000_000
+TEXT_BYTES, HELD_BYTES, COUNT_BYTES = 1_000_000, 16_000_000, 3_000_000
 #: Bits of the filter of frequent phrases (a multiple of its parts), places set by each phrase, parts it is made in.
 FILTER_BITS, PLACES, FILTER_PARTS = 1 << 26, 2, 64
 _U = np.uint64
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _PIECE_END = np.isin(np.arange(256), list(_SEPARATORS))
 _BETWEEN = _PIECE_END | np.isin(np.arange(256), [32, 9])
-_TO_SPACE = bytes.maketrans(_SEPARATORS + b"\t", b" " * (len(_SEPARATORS) + 1))
 
 
 def _edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,45 +196,75 @@ def _whole_hashes(langs: list[str], phrases: list[bytes]) -> np.ndarray:
     return _phrase_hash(lang, [_hashes([s[k] for s in split]) for k in range(len(split[0]))])
 
 
-def _dense(groups: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Numbers 0.. for the distinct pairs of a group and an id."""
-    return np.unique(groups * (int(ids.max()) + 1) + ids, return_inverse=True)[1]
+def _words(view: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """For each word of the bytes its number in the list of distinct words, that list, and where each word starts."""
+    starts, behind = _edges(view)
+    ends = np.r_[0, np.cumsum(behind - starts)].astype(np.int32)
+    letters = view[~_BETWEEN[view]]
+    every = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(letters)]).dictionary_encode()
+    return every.indices.to_numpy().astype(np.int64), every.dictionary, starts
 
 
-def counted(langs: list[str], texts: list[bytes], numbers: np.ndarray, n: int, words: int, may: Filter | None) -> tuple[list[str], pa.Array, np.ndarray]:
-    """Of distinct chunks with their numbers: language, phrase and count of the ``n``-word phrases they own."""
-    data = b"\n".join(texts) + b"\n"
+def _distinct(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows given as columns of numbers (each below its size): the place of the first of each kind, and each row's kind."""
+    group, size = np.zeros(len(parts[0][0]), dtype=np.int64), 1
+    for column, n in parts:
+        if size * n >= 1 << 62:  # too many kinds for one number: count those there are
+            group = np.unique(group, return_inverse=True)[1]
+            size = len(group)
+        group, size = group * n + column, size * n
+    return np.unique(group, return_index=True, return_inverse=True)[1:]
+
+
+def counted(chunks: pa.Array, langs: pa.Array, numbers: np.ndarray, n: int, words: int, may: Filter | None) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Of distinct chunks with their languages and numbers: language, phrase and count of the ``n``-word phrases they own."""
+    data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), b"\n")[0].as_py() + b"\n"
     view = np.frombuffer(data, dtype=np.uint8)
-    starts, _ = _edges(view)
-    ids_of: dict[bytes, int] = {}
-    ids = np.array([ids_of.setdefault(w, len(ids_of)) for w in data.translate(_TO_SPACE).split(b" ") if w], dtype=np.int64)
-    names = list(ids_of)
-    piece = np.cumsum(_PIECE_END[view], dtype=np.int64)[starts]
-    lengths = np.array([len(t) + 1 for t in texts])
-    chunk = np.searchsorted(np.cumsum(lengths), starts, side="right")
-    behind = np.searchsorted(chunk, np.arange(len(texts)), side="right")  # the place behind each chunk's last word
-    owned = behind - np.array([0 if t.endswith(b"\n") else words - 1 for t in texts])
+    ids, names, starts = _words(view)
+    piece = np.cumsum(_PIECE_END[view], dtype=np.int32)[starts]
+    ends = np.cumsum(pc.binary_length(chunks).to_numpy().astype(np.int64) + 1)
+    chunk = np.searchsorted(ends, starts, side="right")
+    behind = np.searchsorted(chunk, np.arange(len(chunks)), side="right")  # the place behind each chunk's last word
+    last = view[ends - 2] == 10
+    owned = behind - np.where(last, 0, words - 1)
     at = np.arange(len(ids) - n + 1)
     at = at[(at < owned[chunk[at]]) & (piece[at] == piece[at + n - 1])]
-    known = {s: i for i, s in enumerate(dict.fromkeys(langs))}
-    lang = np.array([known[s] for s in langs], dtype=np.int64)[chunk]
+    coded = langs.dictionary_encode()
+    lang = coded.indices.to_numpy().astype(np.int64)[chunk]
     if may is not None and len(at):
-        h, hl = _hashes(names), _lang_hashes(list(known))
+        h, hl = _hashes(names.to_pylist()), _lang_hashes(coded.dictionary.to_pylist())
         for side in (0, 1):
             at = at[may.may_hold(_phrase_hash(hl[lang[at]], [h[ids[at + side + k]] for k in range(n - 1)]))]
     if not len(at):
-        return [], pa.array([], pa.binary()), np.zeros(0, dtype=np.int64)
-    group = lang[at]
-    for k in range(n):
-        group = _dense(group, ids[at + k])
-    _, first = np.unique(group, return_index=True)
+        return langs.slice(0, 0), pa.array([], pa.binary()), np.zeros(0, dtype=np.int64)
+    first, kind = _distinct([(lang[at], len(coded.dictionary)), *((ids[at + k], len(names)) for k in range(n))])
     sums = np.zeros(len(first), dtype=np.int64)
-    np.add.at(sums, group, numbers[chunk[at]])
-    strings = pa.array(names, pa.binary())
-    phrase = [strings.take(pa.array(ids[at[first] + k])) for k in range(n)]
+    np.add.at(sums, kind, numbers[chunk[at]])
+    phrase = [names.take(pa.array(ids[at[first] + k])) for k in range(n)]
     joined = phrase[0] if n == 1 else pc.binary_join_element_wise(*phrase, pa.scalar(b" ", pa.binary()))
-    languages = list(known)
-    return [languages[i] for i in lang[at[first]].tolist()], joined, sums
+    return coded.dictionary.take(pa.array(lang[at[first]])), joined, sums
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """The columns of batches in groups of about ``COUNT_BYTES`` of chunks, a longer chunk alone."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = int(np.searchsorted(ends, before + COUNT_BYTES - size, side="right"))
+            if end == at and not held:
+                end += 1
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                size += int(ends[end - 1]) - before
+            if end < batch.num_rows or size >= COUNT_BYTES:
+                yield [pa.concat_arrays([b.column(k) for b in held]) for k in range(3)]
+                held, size = [], 0
+            at = end
+    if held:
+        yield [pa.concat_arrays([b.column(k) for b in held]) for k in range(3)]
 
 
 _PHRASES = StructType([StructField("lang_", StringType()), StructField("phrase_", BinaryType()), StructField("f_", LongType())])
@@ -249,27 +278,14 @@ def level(parsed: DataFrame, n: int, words: int, may: Filter | None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Filter(bits.value) if bits is not None else None
 
-        def one(langs, texts, numbers) -> pa.RecordBatch:
-            lang, phrase, f = counted(langs, texts, np.array(numbers, dtype=np.int64), n, words, seen)
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), phrase, pa.array(f)], names=_PHRASES.names)
-
-        langs, texts, numbers, held = [], [], [], 0
-        for batch in batches:
-            for lang, chunk, number in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                langs.append(lang)
-                texts.append(chunk.as_py())
-                numbers.append(number)
-                held += len(texts[-1])
-                if held > COUNT_BYTES:
-                    yield one(langs, texts, numbers)
-                    langs, texts, numbers, held = [], [], [], 0
-        if texts:
-            yield one(langs, texts, numbers)
+        for langs, chunks_, numbers in _grouped(batches):
+            lang, phrase, f = counted(chunks_, langs, numbers.to_numpy(), n, words, seen)
+            yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(f)], names=_PHRASES.names)
 
     return parsed.mapInArrow(run, _PHRASES).groupBy("lang_", "phrase_").agg(F.sum("f_").alias("f_"))
 
 
-def _words(phrase: str, first: int, n: int):
+def _part(phrase: str, first: int, n: int):
     """``n`` words of a phrase column from word ``first`` on (0 is the first)."""
     return F.array_join(F.slice(F.split(F.col(phrase), " "), first + 1, n), " ")
 
@@ -284,7 +300,7 @@ def _scored(found: dict[int, DataFrame], least_share: int) -> DataFrame:
     out = None
     for size in range(2, n + 1):
         cut = found[size].select("lang_", "phrase_", F.col("f_").alias("a"),
-                                 F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _words("phrase_", 0, k).alias("head"), _words("phrase_", k, size - k).alias("tail")) for k in range(1, size)])).alias("c"))
+                                 F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _part("phrase_", 0, k).alias("head"), _part("phrase_", k, size - k).alias("tail")) for k in range(1, size)])).alias("c"))
         cut = cut.select("lang_", "phrase_", "a", "c.*")
         heads = parts.select(F.col("lang_").alias("hl"), F.col("phrase_").alias("hp"), F.col("f_").alias("l"))
         tails = parts.select(F.col("lang_").alias("tl"), F.col("phrase_").alias("tp"), F.col("f_").alias("r"))
@@ -294,7 +310,7 @@ def _scored(found: dict[int, DataFrame], least_share: int) -> DataFrame:
         lowest = cut.withColumn("score", score).groupBy("lang_", "phrase_", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("low"))
         longer = none.select("lang_", "phrase_", F.col("f_").alias("top"))
         for more in range(size + 1, n + 1):
-            inner = found[more].select("lang_", F.col("f_"), F.explode(F.array(*[_words("phrase_", k, size) for k in range(more - size + 1)])).alias("phrase_"))
+            inner = found[more].select("lang_", F.col("f_"), F.explode(F.array(*[_part("phrase_", k, size) for k in range(more - size + 1)])).alias("phrase_"))
             longer = longer.unionByName(inner.select("lang_", "phrase_", F.col("f_").alias("top")))
         longer = longer.groupBy("lang_", "phrase_").agg(F.max("top").alias("top"))
         kept = lowest.join(longer, ["lang_", "phrase_"], "left").filter(F.col("top").isNull() | (F.col("top") * 100 < F.col("a") * least_share))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,7 @@ def corpus(seed, n):
 @pytest.mark.parametrize("seed, sparse, words, least", [(1, 16, 3, 10), (2, 1, 3, 3), (3, 2, 4, 4), (4, 3, 2, 5), (5, 1000, 3, 5)])
 def test_plain(spark, monkeypatch, seed, sparse, words, least):
     monkeypatch.setattr(collocations, "SPARSE", sparse)
+    monkeypatch.setattr(collocations, "COUNT_BYTES", 3_000_000 if seed % 2 else 300)  # one group of chunks, or many
     rows = corpus(seed, 60)
     assert run(spark, rows, words=words, least=least) == plain(rows, words, least)
 
@@ -66,7 +68,7 @@ def test_every_phrase_is_owned_by_one_chunk(monkeypatch):
     texts = [(t or "").encode() for t, _ in corpus(7, 50)]
     found = [c for cs in collocations.chunks(texts, 3) for c in cs]
     for n in (1, 2, 3):
-        lang, phrase, f = collocations.counted(["en"] * len(found), found, np.ones(len(found), dtype=np.int64), n, 3, None)
+        lang, phrase, f = collocations.counted(pa.array(found), pa.array(["en"] * len(found)), np.ones(len(found), dtype=np.int64), n, 3, None)
         want = Counter()
         for t in texts:
             for piece in re.split(rb"[.,;:!?\n-\r]", t.lower()):
@@ -75,6 +77,14 @@ def test_every_phrase_is_owned_by_one_chunk(monkeypatch):
         assert dict(zip(phrase.to_pylist(), f.tolist())) == want
 
 
+def test_kinds_beyond_one_number():
+    r = np.random.default_rng(1)
+    a, b, c = r.integers(0, 5, 200), r.integers(0, 4, 200), r.integers(0, 3, 200)
+    first, kind = collocations._distinct([(a, 1 << 30), (b, 1 << 30), (c, 1 << 30)])
+    rows = list(zip(a, b, c))
+    assert len(first) == len(set(rows)) and all(rows[first[k]] == row for k, row in zip(kind, rows))
+
+
 def test_a_full_filter_costs_work_only(spark, monkeypatch):
     rows = corpus(8, 40)
     want = plain(rows, least=4)
