@@ -90,6 +90,18 @@ def padded_id(idv: Column, width: int = 4) -> Column:
     return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))
 
 
+def report_columns(metrics) -> list[Column]:
+    """C12 and the figures of a file's report: base name, padded id, day of the scan, rounded metrics with their words."""
+    mi, cog = F.col("maintainability_index"), F.col("cognitive_complexity")
+    return [
+        F.col("file_path"), base_name(F.col("file_path")).alias("file_name"), padded_id(F.col("doc_id")).alias("report_id"),
+        F.to_date("last_analyzed").alias("scan_date"), component_status(mi).alias("status"), complexity_rating(cog).alias("complexity_rating"),
+        F.format_number(F.round(mi, 0), 0).alias("maintainability"), cog, F.format_number("lines_of_code", 0).alias("lines_of_code"),
+        F.round("halstead_volume", 0).cast("long").cast("string").alias("volume"), F.round("sqale_debt_hours", 1).cast("decimal(12,1)").cast("string").alias("debt_hours"),
+        F.coalesce("description", F.lit("")).alias("description"),
+    ]
+
+
 def needs_diagnosis(mi: Column, cognitive: Column) -> Column:
     """F1 predicate: NOT (MI >= 85 AND cognitive < 5)."""
     return ~((mi >= 85) & (cognitive < 5))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel import rules as R
+from lintel.operators.keys import file_key
 
 
 def clean_code(resp: Column) -> Column:
@@ -66,6 +67,9 @@ def fold_attempts(attempts: DataFrame) -> DataFrame:
         F.max(F.when(fix, F.col("attempt"))).alias("last_attempt"),
         F.max_by(F.col("output"), F.when(fix, F.col("attempt"))).alias("last_output"),
         F.count_if(fix).alias("fix_attempts"),
+        F.min_by(F.col("fixed_code"), F.when(F.col("attempt") == 0, F.lit(0))).alias("repro_script"),
+        F.min_by(F.col("output"), F.when(F.col("attempt") == 0, F.lit(0))).alias("test_output"),
+        F.max_by(F.col("fixed_code"), F.when(fix, F.col("attempt"))).alias("last_code"),
     )
 
 
@@ -74,6 +78,8 @@ def fix_outcomes(requests: DataFrame, attempts: DataFrame, sources: DataFrame) -
 
     not found -> unreadable -> simple (success with the first code, verification skipped) ->
     verification unavailable -> not reproduced -> fixed -> exhausted.
+    ``repro_script`` stands wherever the reproduction ran, ``test_output`` where
+    it didn't fail, ``last_attempt`` (code) and ``last_error`` where all fixes failed.
     """
     folded = fold_attempts(attempts)
     src = sources.select("file_path", F.col("content").isNotNull().alias("readable"),
@@ -99,6 +105,7 @@ def fix_outcomes(requests: DataFrame, attempts: DataFrame, sources: DataFrame) -
         .when(won, F.lit(None))
         .otherwise(F.lit(f"Could not fix after {R.MAX_FIX_ATTEMPTS} attempts"))
     )
+    tried = exists & F.col("readable") & ~simple & F.col("verifier_available")
     ran = exists & F.col("readable") & ~simple & F.col("verifier_available") & reproduced
     return x.select(
         "request_id", "file_path", "issue_type",
@@ -109,14 +116,32 @@ def fix_outcomes(requests: DataFrame, attempts: DataFrame, sources: DataFrame) -
         .when(ran, F.lit("verified")).alias("verification"),
         F.when(ran & ~won, F.col("last_output")).alias("last_error"),
         F.when(exists & F.col("readable") & simple, F.col("first_code")).when(ran & won, F.col("winning_code")).alias("fixed_code"),
+        F.when(tried, F.col("repro_script")).alias("repro_script"),
+        F.when(tried & ~reproduced, F.col("test_output")).alias("test_output"),
+        F.when(ran & ~won, F.col("last_code")).alias("last_attempt"),
     )
 
 
-def request_table(files: DataFrame, task: str = "describe") -> DataFrame:
-    """Prompt columns per file: base name and the first 2000 characters."""
+#: Kinds of requests, and what an answer to each is made of.
+TASKS = {"describe": ("text",), "diagnose": ("is_healthy", "issue", "severity", "suggestions"), "bug_scan": ("has_bug", "issue", "severity")}
+HEAD_CHARS = 2000
+
+
+def request_table(files: DataFrame, task: str = "describe", wanted: DataFrame | None = None) -> DataFrame:
+    """What a model is asked about each file, of the files ``wanted`` if given.
+
+    A description sees the base name and the first 2000 characters, a diagnosis
+    and a bug scan the whole code. Texts are joined with ``wanted`` keys alone.
+    """
+    if task not in TASKS:
+        raise ValueError(f"unknown task {task!r}")
+    if wanted is not None:
+        key = file_key(files, wanted)
+        files = files.join(wanted.select(*key), key, "left_semi")
     name = F.substring_index(F.col("file_path"), "/", -1)
+    head = F.substring(F.col("content"), 1, HEAD_CHARS) if task == "describe" else F.lit(None).cast("string")
+    code = F.lit(None).cast("string") if task == "describe" else F.col("content")
     return files.select(
-        "file_path", name.alias("file_name"), F.lit(task).alias("task"),
-        F.substring(F.col("content"), 1, 2000).alias("content_head"),
-        F.length("content").alias("content_chars"),
+        "file_path", name.alias("file_name"), F.lit(task).alias("task"), head.alias("content_head"), code.alias("code"),
+        F.length("content").alias("content_chars"), F.lit(",".join(TASKS[task])).alias("answer_keys"),
     )

@@ -8,11 +8,12 @@ as scalar subqueries, so they are computed once and never joined row by row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel import rules as R
 from lintel.functions.tokens import materialize
+from lintel.operators.scan import ranked
 
 
 def _lcp_len(a: Column, b: Column) -> Column:
@@ -80,32 +81,26 @@ def path_nodes(files: DataFrame, path: str = "file_path") -> DataFrame:
     """
     parts = F.split(F.col(path), "/")
     n = F.size(parts)
-    nodes = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(
-            F.array_join(F.slice(parts, 1, i), "/").alias("path"),
-            F.when(i > 1, F.array_join(F.slice(parts, 1, i - 1), "/")).alias("parent_path"),
-            F.try_element_at(parts, i).alias("name"),
-            (i - 1).alias("depth"),
-            F.when(i == n, "file").otherwise("folder").alias("type"),
-        ),
-    )
-    x = files.select(F.explode(nodes).alias("n")).select("n.*")
-    return x.groupBy("path").agg(
-        F.first("parent_path").alias("parent_path"), F.first("name").alias("name"),
-        F.first("depth").alias("depth"), F.min("type").alias("type"),
-    )
+    prefixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
+        F.array_join(F.slice(parts, 1, i), "/").alias("path"), F.when(i == n, 1).otherwise(0).alias("file")))
+    x = files.select(F.explode(prefixes).alias("n")).select("n.*")
+    x = x.groupBy("path").agg(F.max("file").alias("file"))  # a number: hashed, not sorted
+    own = F.split("path", "/")
+    depth = F.size(own) - 1
+    return x.select(
+        "path", F.when(depth > 0, F.array_join(F.slice(own, F.lit(1), depth), "/")).alias("parent_path"),
+        F.element_at(own, -1).alias("name"), depth.alias("depth"), F.when(F.col("file") == 1, "file").otherwise("folder").alias("type"))
 
 
 def sibling_order(nodes: DataFrame) -> DataFrame:
     """O3: folders first, then names in locale order, per parent.
 
-    The rank is a window per ``parent_path``; a folder with very many
-    children is one window partition, which Spark sorts with spill.
+    Ranks come from ranges of rows with offsets: a folder with a third of all
+    children is sorted and numbered by many tasks.
     """
-    w = Window.partitionBy("parent_path").orderBy(
-        F.when(F.col("type") == "folder", 0).otherwise(1), F.collate("name", "UNICODE"), F.col("name"))
-    return nodes.withColumn("sibling_rank", F.row_number().over(w))
+    x = nodes.withColumn("__file", F.when(F.col("type") == "folder", 0).otherwise(1)).withColumn("__name", F.collate("name", "UNICODE"))
+    x = ranked(x, ["parent_path"], ["__file", "__name", "name"], "sibling_rank")
+    return x.withColumn("sibling_rank", F.col("sibling_rank").cast("int")).drop("__file", "__name")
 
 
 def path_edges(files: DataFrame, path: str = "file_path") -> DataFrame:
@@ -121,18 +116,13 @@ def path_edges(files: DataFrame, path: str = "file_path") -> DataFrame:
     files = materialize(files.select(path), F.substring(F.col(path), F.length(pre) + 1, 1 << 30), "__relpath")
     rel = F.filter(F.split(F.col("__relpath"), "/"), lambda s: s != "")
     n = F.size(rel)
-    links = F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.struct(
-            F.array_join(F.slice(rel, 1, i - 1), "/").alias("parent_path"),
-            F.array_join(F.slice(rel, 1, i), "/").alias("child_path"),
-            F.try_element_at(rel, i).alias("child_name"),
-            F.when(i == n, "file").otherwise("folder").alias("child_type"),
-        ),
-    )
+    links = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(
+        F.array_join(F.slice(rel, 1, i), "/").alias("child_path"), F.when(i == n, 1).otherwise(0).alias("file")))
     x = files.where(n > 0).select(F.explode(links).alias("l")).select("l.*")
-    x = x.groupBy("parent_path", "child_path").agg(
-        F.first("child_name").alias("child_name"), F.min("child_type").alias("child_type"))
+    x = x.groupBy("child_path").agg(F.max("file").alias("file"))
+    own = F.split("child_path", "/")
+    x = x.select(F.array_join(F.slice(own, F.lit(1), F.size(own) - 1), "/").alias("parent_path"), "child_path",
+                 F.element_at(own, -1).alias("child_name"), F.when(F.col("file") == 1, "file").otherwise("folder").alias("child_type"))
     top = names.select(
         F.lit("..").alias("parent_path"), F.lit("").alias("child_path"),
         F.col("scanned_name").alias("child_name"), F.lit("folder").alias("child_type"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.operators.scan import segmented_running
+from lintel.operators.scan import cut_by_rows, segmented_running
 
 
 def calibration(metrics: DataFrame, expectations: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -37,10 +37,10 @@ def duplicate_keys(df: DataFrame, key: str = "file_path") -> DataFrame:
 
 
 def debt_trend(history: DataFrame, key: str = "file_path", ts: str = "last_analyzed",
-               seq: str = "seq", value: str = "sqale_debt_hours",
-               segment_seconds: int = 86400) -> DataFrame:
+               seq: str = "seq", value: str = "sqale_debt_hours") -> DataFrame:
     """Per file, the change against the previous snapshot and the
-    running total, in (ts, seq) order; skew-safe per time segment."""
-    seg = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / segment_seconds)
-    x = segmented_running(history, [key], [ts, seq], value, seg, out="running_value", prev_out="previous_value")
+    running total, in (ts, seq) order. The history is cut by rows, so a
+    file or a day with most of them is spread like the rest."""
+    cut = cut_by_rows(history, [key], [ts, seq])
+    x = segmented_running(cut, [key], [ts, seq], value, F.col("__cut"), out="running_value", prev_out="previous_value").drop("__cut")
     return x.withColumn("delta", F.col(value) - F.col("previous_value"))

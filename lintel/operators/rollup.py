@@ -14,21 +14,33 @@ from lintel.functions import bands as B
 from lintel.operators.keys import file_key
 
 
+#: Sums that health columns are made of; sums of sums give those of wider groups.
+HEALTH_SUMS = {
+    "files": lambda: F.count(F.lit(1)),
+    # mean MI from exact hundredths: the same IEEE division in every engine,
+    # so no summation-order drift between runs or engines
+    "mi_cents": lambda: F.sum(F.round(F.col("maintainability_index") * 100).cast("long")),
+    "debt": lambda: F.sum("sqale_debt_hours"),
+    "cognitive": lambda: F.sum("cognitive_complexity"),
+    "loc": lambda: F.sum("lines_of_code"),
+}
+
+
+def _health(sums: DataFrame, by: list[str]) -> DataFrame:
+    files = F.col("files")
+    return sums.select(
+        *by, "files",
+        F.coalesce(F.col("mi_cents") / files / 100.0, F.lit(100.0)).alias("avg_mi"),
+        F.coalesce("debt", F.lit(0)).cast("decimal(22,2)").alias("total_debt_hours"),
+        F.coalesce(F.col("cognitive") / files, F.lit(0.0)).alias("avg_cognitive"),
+        F.coalesce("loc", F.lit(0).cast("long")).alias("total_loc"))
+
+
 def project_health(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A1: files, avg MI (100 if none), total debt, avg cognitive (0 if none), total LOC."""
     by = by or []
-    # mean MI from exact hundredths: the same IEEE division in every engine,
-    # so no summation-order drift between runs or engines
-    mi_cents = F.sum(F.round(F.col("maintainability_index") * 100).cast("long"))
-    aggs = [
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(mi_cents / F.count(F.lit(1)) / 100.0, F.lit(100.0)).alias("avg_mi"),
-        F.coalesce(F.sum("sqale_debt_hours"), F.lit(0).cast("decimal(22,2)")).alias("total_debt_hours"),
-        F.coalesce(F.sum("cognitive_complexity") / F.count(F.lit(1)), F.lit(0.0)).alias("avg_cognitive"),
-        F.coalesce(F.sum("lines_of_code"), F.lit(0).cast("long")).alias("total_loc"),
-    ]
-    g = metrics.groupBy(*by).agg(*aggs) if by else metrics.agg(*aggs)
-    return g
+    aggs = [a().alias(n) for n, a in HEALTH_SUMS.items()]
+    return _health(metrics.groupBy(*by).agg(*aggs) if by else metrics.agg(*aggs), by)
 
 
 def health_dashboard(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -98,20 +110,15 @@ def folder_rollup(metrics: DataFrame, root: str = "/") -> DataFrame:
 
     A bare file name has no folder above it and counts in none.
 
-    Each file emits one row per ancestor folder (depth of the path, bounded
-    by path length), then a partial+final hash aggregate per folder. A hot
-    folder (the root holds every file) is pre-aggregated map-side, so each
+    Files are added up by their own folder first; the sums of each folder, not
+    the files, are then given to the folders above it and added up again. A
+    hot folder (the root holds every file) is pre-aggregated map-side, so each
     task sends one row per folder.
     """
     parts = F.split(F.col("file_path"), "/")
-    n = F.size(parts)
-    folders = F.when(n > 1, F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.array_join(F.slice(parts, 1, i), "/"),
-    ))
-    x = metrics.select(
-        "repo", F.explode(folders).alias("folder"),
-        "maintainability_index", "sqale_debt_hours", "cognitive_complexity", "lines_of_code",
-    ).withColumn("folder", F.when(F.col("folder") == "", F.lit(root)).otherwise(F.col("folder")))
-    return project_health(x, ["repo", "folder"]).select(
-        "repo", "folder", "files", "avg_mi", "total_debt_hours", "avg_cognitive", "total_loc")
+    own = metrics.withColumn("own", F.slice(parts, F.lit(1), F.size(parts) - 1)).filter(F.size("own") > 0)
+    sums = own.groupBy("repo", "own").agg(*[a().alias(n) for n, a in HEALTH_SUMS.items()])
+    above = F.transform(F.sequence(F.lit(1), F.size("own")), lambda i: F.array_join(F.slice(F.col("own"), F.lit(1), i), "/"))
+    x = sums.select("repo", F.explode(above).alias("folder"), *HEALTH_SUMS)
+    x = x.withColumn("folder", F.when(F.col("folder") == "", F.lit(root)).otherwise(F.col("folder")))
+    return _health(x.groupBy("repo", "folder").agg(*[F.sum(n).alias(n) for n in HEALTH_SUMS]), ["repo", "folder"])

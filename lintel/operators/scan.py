@@ -10,9 +10,37 @@ the data by the segment length.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lintel.session import scratch_path
+
+#: Segments of ``cut_by_rows`` for each task of a shuffle, so that tasks get even shares of them.
+SEGMENTS_PER_TASK = 8
+
+
+def cut_by_rows(df: DataFrame, key: list[str], order: list[str], out: str = "__cut") -> DataFrame:
+    """``df`` with a segment number: even shares of all rows, ascending in (key, order).
+
+    A key with most of the rows is cut into most of the segments. Where the
+    ranges end is sampled, hence the rows are written to the shared folder
+    once and read from there, with the numbers that they got.
+    """
+    spark = df.sparkSession
+    n = SEGMENTS_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(n, *key, *order).withColumn(out, F.spark_partition_id())
+    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    cut.write.parquet(path)
+    return spark.read.schema(cut.schema).parquet(path)
+
+
+def ranked(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with each row's place (from 1) among those of its key, without a task that holds a key; equal rows share their order at will."""
+    x = segmented_running(cut_by_rows(df, key, order), key, order, F.lit(1).cast("long"), F.col("__cut"), out=out)
+    return x.drop("__cut")
+
 
 def segmented_running(df: DataFrame, key: list[str], order: list[str], value: Column | str,
                       segment: Column, out: str = "running", inclusive: bool = True,

@@ -186,7 +186,27 @@ def q_issue_type(spark, sf):
 
 
 def q_requests(spark, sf):
-    return FX.request_table(C.code_corpus(spark, sf))
+    """Descriptions and diagnoses of all files, bug scans of those that triage keeps."""
+    files = C.code_corpus(spark, sf)
+    risky = RU.triage(stored(spark, sf), existing_files(spark, sf))
+    return (FX.request_table(files).unionByName(FX.request_table(files, "diagnose"))
+            .unionByName(FX.request_table(files, "bug_scan", wanted=risky)))
+
+
+def q_report(spark, sf):
+    """A report line for every file, scanned at an hour that follows from its id."""
+    at = F.to_timestamp(F.lit("2024-01-01")) + F.make_interval(hours=F.col("doc_id").cast("int"))
+    m = S.stamp(stored(spark, sf), at)
+    return m.select(*B.report_columns(m))
+
+
+def q_export_patched(spark, sf):
+    """Patched files written under their new names and read back."""
+    root = scratch_path(spark, f"patched-{uuid.uuid4().hex[:8]}")
+    asked = S.export_patched(q_patch_overlay(spark, sf).filter("applied"), root)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*_fixed*").load(root)
+    below = F.regexp_extract("path", r"(/code/.*)$", 1)
+    return asked.join(read.select(below.alias("written_as"), F.sha2("content", 256).alias("content_sha256"), "length"), "written_as", "left")
 
 
 def q_instruction(spark, sf):
@@ -212,12 +232,13 @@ def q_fix_outcomes(spark, sf):
 
 
 def _generated(spark, sf):
+    """One answer a conversation: its first assistant turn. A conversation without a document has a path of its own."""
     c = C.table(spark, sf, "conversations").where(F.col("role") == "assistant")
     g = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
     d = C.table(spark, sf, "documents")
-    g = g.join(d.select("doc_id", FA.code_path(d.doc_id, d.source, d.lang).alias("file_path")),
-               g.conv_id == d.doc_id, "inner")
-    return g.select("file_path", F.concat(F.lit("Handles "), "t").alias("description"))
+    g = g.join(d.select("doc_id", FA.code_path(d.doc_id, d.source, d.lang).alias("file_path")), g.conv_id == d.doc_id, "left")
+    path = F.coalesce("file_path", F.concat(F.lit("/code/none/conv_"), F.col("conv_id").cast("string"), F.lit(".py")))
+    return g.select(path.alias("file_path"), F.concat(F.lit("Handles "), "t").alias("description"))
 
 
 def _previous(spark, sf):

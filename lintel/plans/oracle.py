@@ -215,7 +215,9 @@ ff AS (SELECT request_id,
          arg_min(fixed_code, attempt) FILTER (WHERE fix) AS first_code,
          max(CASE WHEN fix THEN attempt END) AS last_attempt,
          arg_max(output, attempt) FILTER (WHERE fix) AS last_output,
-         count(*) FILTER (WHERE fix) AS fix_attempts
+         count(*) FILTER (WHERE fix) AS fix_attempts,
+         arg_min(fixed_code, attempt) FILTER (WHERE attempt = 0) AS repro_script, arg_min(output, attempt) FILTER (WHERE attempt = 0) AS test_output,
+         arg_max(fixed_code, attempt) FILTER (WHERE fix) AS last_code
        FROM fp GROUP BY request_id),
 fs AS (SELECT '/fix/c' || CAST(c_custkey AS VARCHAR) || '.py' AS file_path, c_acctbal >= 0 AS readable FROM customer)
 """
@@ -426,9 +428,24 @@ SELECT conv_id, turn, regexp_replace(t2, '^{WS}+|{WS}+$', '', 'g') AS code FROM
 SQL["issue_type"] = f"""WITH {FIX.strip()[:FIX.strip().index('fa AS')].rstrip().rstrip(',')}
 SELECT request_id, {ISSUE_TYPE} AS issue_type, {ISSUE_TYPE} IN ('typo', 'docs', 'style') AS simple FROM fr"""
 
-SQL["requests"] = with_code(
-    "SELECT file_path, regexp_extract(file_path, '[^/]*$') AS file_name, 'describe' AS task, "
-    "substr(content, 1, 2000) AS content_head, CAST(length(content) AS INTEGER) AS content_chars FROM cm")
+SQL["requests"] = with_code("""
+SELECT file_path, regexp_extract(file_path, '[^/]*$') AS file_name, 'describe' AS task, substr(content, 1, 2000) AS content_head, NULL AS code,
+  CAST(length(content) AS INTEGER) AS content_chars, 'text' AS answer_keys FROM cm
+UNION ALL SELECT file_path, regexp_extract(file_path, '[^/]*$'), 'diagnose', NULL, content, CAST(length(content) AS INTEGER),
+  'is_healthy,issue,severity,suggestions' FROM cm
+UNION ALL SELECT file_path, regexp_extract(file_path, '[^/]*$'), 'bug_scan', NULL, content, CAST(length(content) AS INTEGER),
+  'has_bug,issue,severity' FROM cm WHERE NOT (maintainability_index >= 85 AND cognitive_complexity < 5) AND doc_id % 37 <> 0""")
+
+SQL["report"] = with_code(f"""
+SELECT file_path, regexp_extract(file_path, '[^/]*$') AS file_name,
+  CASE WHEN len(CAST(doc_id AS VARCHAR)) >= 4 THEN CAST(doc_id AS VARCHAR) ELSE lpad(CAST(doc_id AS VARCHAR), 4, '0') END AS report_id,
+  CAST(TIMESTAMP '2024-01-01' + to_hours(doc_id) AS DATE) AS scan_date,
+  {_band('maintainability_index', [(65, 'NOMINAL'), (40, 'DEGRADED')], 'CRITICAL')} AS status,
+  CASE WHEN cognitive_complexity < 5 THEN 'LOW' WHEN cognitive_complexity <= 15 THEN 'MODERATE'
+       WHEN cognitive_complexity <= 30 THEN 'HIGH' ELSE 'VERY HIGH' END AS complexity_rating,
+  CAST(CAST(round(maintainability_index) AS INTEGER) AS VARCHAR) AS maintainability, cognitive_complexity,
+  format('{{:,}}', lines_of_code) AS lines_of_code, CAST(CAST(round(halstead_volume) AS BIGINT) AS VARCHAR) AS volume,
+  CAST(CAST(round(sqale_debt_hours, 1) AS DECIMAL(12,1)) AS VARCHAR) AS debt_hours, coalesce(description, '') AS description FROM cm""")
 
 SQL["instruction"] = f"""
 SELECT conv_id, turn, coalesce(nullif(CASE WHEN role = 'user' THEN regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') ELSE '' END, ''),
@@ -443,7 +460,8 @@ SELECT request_id, reproduced, CAST(winning_attempt AS INTEGER) AS winning_attem
 
 SQL["fix_outcomes"] = f"""WITH {FIX.strip()},
 x AS (SELECT fr.request_id, fr.file_path, fr.verifier_available, {ISSUE_TYPE} AS issue_type, fs.readable,
-        fs.file_path IS NOT NULL AS ex, ff.reproduced, ff.winning_attempt, ff.winning_code, ff.first_code, ff.last_output
+        fs.file_path IS NOT NULL AS ex, ff.reproduced, ff.winning_attempt, ff.winning_code, ff.first_code, ff.last_output,
+        ff.repro_script, ff.test_output, ff.last_code
       FROM fr LEFT JOIN fs USING (file_path) LEFT JOIN ff USING (request_id)),
 y AS (SELECT *, issue_type IN ('typo', 'docs', 'style') AS simple, coalesce(reproduced, false) AS rep,
         winning_attempt IS NOT NULL AS won FROM x),
@@ -460,7 +478,10 @@ SELECT request_id, file_path, issue_type,
   CAST(CASE WHEN ex AND readable AND simple THEN 1 WHEN ran AND won THEN winning_attempt END AS INTEGER) AS attempts,
   CASE WHEN ex AND readable AND simple THEN 'skipped (simple issue)' WHEN ran THEN 'verified' END AS verification,
   CASE WHEN ran AND NOT won THEN last_output END AS last_error,
-  CASE WHEN ex AND readable AND simple THEN first_code WHEN ran AND won THEN winning_code END AS fixed_code
+  CASE WHEN ex AND readable AND simple THEN first_code WHEN ran AND won THEN winning_code END AS fixed_code,
+  CASE WHEN ex AND readable AND NOT simple AND verifier_available THEN repro_script END AS repro_script,
+  CASE WHEN ex AND readable AND NOT simple AND verifier_available AND NOT rep THEN test_output END AS test_output,
+  CASE WHEN ran AND NOT won THEN last_code END AS last_attempt
 FROM z"""
 
 PREVIOUS = f"""
@@ -555,7 +576,7 @@ UNION ALL SELECT '..', '', scanned_name, 'folder' FROM rn""")
 
 SQL["sibling_order"] = with_docs("," + NODES.replace("SRC", "sd") + """
 SELECT path, parent_path, CAST(row_number() OVER (PARTITION BY parent_path ORDER BY CASE WHEN type = 'folder' THEN 0
-  ELSE 1 END, lower(name), name) AS INTEGER) AS sibling_rank FROM nodes""")
+  ELSE 1 END, name COLLATE en, name) AS INTEGER) AS sibling_rank FROM nodes""")
 
 SQL["list_children"] = with_docs("," + NODES.replace("SRC", "dc") + """
 SELECT name, path, type = 'folder' AS is_dir, '/srv/src0/en' AS current_path, '/srv/src0' AS parent_path
@@ -653,6 +674,12 @@ SELECT file_path, CASE WHEN known THEN CAST(2 AS BIGINT) END AS snapshot_id,
   new_code IS NOT NULL AND known AS applied
 FROM j""")
 
+SQL["export_patched"] = SQL["patch_overlay"].replace("""
+SELECT file_path, CASE WHEN known THEN CAST(2 AS BIGINT) END AS snapshot_id,""", """,
+o AS (SELECT file_path, CASE WHEN known THEN CAST(2 AS BIGINT) END AS snapshot_id,""") + """)
+SELECT file_path, regexp_replace(file_path, '[.]py$', '_fixed.py') AS written_as, sha256(content) AS content_sha256,
+  strlen(content) AS length FROM o WHERE applied"""
+
 SQL["scan_files"] = with_docs("SELECT file_path, doc_id % 11 <> 0 AS readable FROM sd")
 
 SQL["stream_upsert"] = f"""WITH {EVENTS.strip()}

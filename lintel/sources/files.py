@@ -8,13 +8,11 @@ are removed with one array predicate on the path.
 
 from __future__ import annotations
 
-import os
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel import rules as R
+from lintel.sources.named_files import write_named
 
 
 def path_parts(path: Column) -> Column:
@@ -79,22 +77,9 @@ def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def write_tree(df: DataFrame, out_dir: str, path: str = "rel_path", content: str = "content",
                encoding_bad: str | None = None) -> str:
-    """Write one text file per row below ``out_dir`` (used to build scan
-    fixtures from tables). Each task writes its own rows; nothing is
-    collected to the driver. The folder must be mounted on every machine,
-    which only ``file:`` paths and plain ones are."""
-    out_dir = re.sub(r"^file:/*", "/", out_dir)
-    if "://" in out_dir:
-        raise ValueError(f"not a mounted folder: {out_dir}")
-
-    def write_part(rows):
-        for r in rows:
-            p = os.path.join(out_dir, r[path].lstrip("/"))
-            os.makedirs(os.path.dirname(p), exist_ok=True)
-            data = r[content].encode("utf-8") if r[content] is not None else b""
-            if encoding_bad is not None and r[encoding_bad]:
-                data = b"\xff\xfe" + data
-            with open(p, "wb") as fh:
-                fh.write(data)
-    df.foreachPartition(write_part)
-    return out_dir
+    """Write one text file per row below ``out_dir`` (to build scan fixtures from tables);
+    files marked ``encoding_bad`` begin with bytes that no UTF-8 text has."""
+    data = F.coalesce(F.col(content).cast("binary"), F.lit(b""))
+    if encoding_bad is not None:
+        data = F.when(F.col(encoding_bad), F.concat(F.lit(b"\xff\xfe"), data)).otherwise(data)
+    return write_named(df.select(F.col(path).alias("path"), data.alias("content")), out_dir)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lintel import rules as R
 from lintel.functions import bands as B
 from lintel.operators.keys import file_key
+from lintel.sources.named_files import write_named
 
 
 def stamp(df: DataFrame, at: Column | None = None) -> DataFrame:
@@ -49,13 +50,6 @@ def replace_snapshot(df: DataFrame, table_path: str) -> DataFrame:
     return df.sparkSession.read.parquet(table_path)
 
 
-def latest_snapshot(table: DataFrame) -> DataFrame:
-    """Rows of the newest snapshot per repo (partition-pruned by Spark when
-    the snapshot id is known; here one small aggregate finds it)."""
-    newest = table.groupBy("repo").agg(F.max("snapshot_id").alias("snapshot_id"))
-    return table.join(newest, ["repo", "snapshot_id"], "left_semi")
-
-
 def content_lookup(sources: DataFrame, requests: DataFrame) -> DataFrame:
     """Content per requested path; missing -> '# File not found', unreadable
     (NULL content) -> '# Error reading file: unreadable'.
@@ -84,6 +78,15 @@ def patch_names(df: DataFrame, path: str = "file_path") -> DataFrame:
     ).drop("__n", "__s")
 
 
+def export_patched(patched: DataFrame, root: str, path: str = "file_path", content: str = "content") -> DataFrame:
+    """Write patched texts beside the names of their files (``patch_names``) below ``root`` and return what was asked for: path, written_as."""
+    named = patch_names(patched, path)
+    folder = F.regexp_extract(F.col(path), r"^(.*/)?[^/]*$", 1)
+    named = named.withColumn("written_as", F.concat(folder, F.col("fixed_name")))
+    write_named(named, root, "written_as", content)
+    return named.select(path, "written_as")
+
+
 def patch_overlay(snapshot: DataFrame, fixes: DataFrame) -> DataFrame:
     """Apply fixes as the next snapshot, with a status per fix.
 
