@@ -25,12 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from lintel.llm.common import fresh
 from lintel.llm.cuts import SPACE_PATTERN, Memory, cuts
 
 #: Cuts and pieces of text and pairs of neighbours a worker remembers, and the longest such string; speed bounds only.
-REMEMBERED, NEIGHBOURS, LONGEST = 200_000, 400_000, 48
+REMEMBERED, NEIGHBOURS, LONGEST = 100_000, 200_000, 48
 #: Bytes of text or ids worked on at once, ids of one text decoded at once.
 AT_ONCE, IDS_AT_ONCE = 1_000_000, 250_000
 _NEVER = 1 << 60
@@ -245,8 +246,29 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out:
     return df.withColumn(out, decoded(F.col(ids), path, pattern))
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: a task needs one Python worker, and ids cross to it once."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = merges(path, pattern)
+        for batch in batches:
+            done, coded, plain, held = [], [], [], 0
+            for x in [*batch, None]:
+                if x is not None:
+                    coded.append(vocabulary.encode(x.as_py()))
+                    plain.append(vocabulary.decode(coded[-1]))
+                    held += len(coded[-1]) + len(plain[-1])
+                if x is None or held > AT_ONCE:
+                    done.append(pa.StructArray.from_arrays([pa.array(coded, pa.binary()), pa.array(plain, pa.binary())], names=["ids", "plain"]))
+                    coded, plain, held = [], [], 0
+            yield pa.concat_arrays(done)
+
+    both = F.arrow_udf(run, StructType([StructField("ids", BinaryType()), StructField("plain", BinaryType())]))(F.coalesce(F.col(text), F.lit("")))
+    name = fresh(df, "both")
+    return df.withColumn(name, both).withColumn(ids, F.col(name)["ids"]).withColumn(out, F.col(name)["plain"]).drop(name)
+
+
 def count(ids: str = "token_ids") -> Column:
     return (F.octet_length(F.col(ids)) / 4).cast("long")
 
 
-__all__ = ["Merges", "encode", "decode", "encoded", "decoded", "count", "unpack"]
+__all__ = ["Merges", "encode", "decode", "round_trip", "encoded", "decoded", "count", "unpack"]

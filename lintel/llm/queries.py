@@ -20,7 +20,7 @@ def op1_bpe(spark, sf_dir) -> DataFrame:
     """Encode every document, decode the ids again; digests of both."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    out = bpe.round_trip(docs, path, pattern)
     return out.select("doc_id", bpe.count().alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -62,4 +62,6 @@ def test_whole_documents_and_edges(spark, tok):
     for r in rows:
         ids = list(bpe.unpack(bytes(r.token_ids)))
         assert ids == tok.encode_ordinary(r.text or "") and r.n == len(ids) and bytes(r.decoded) == (r.text or "").encode()
-    assert bpe.encode(docs.limit(0), PATH, P.PATTERN).count() == 0
+    both = bpe.round_trip(docs.unionByName(extra).withColumn("both", F.lit(1)), PATH, P.PATTERN)
+    assert sorted((str(r.doc_id), bytes(r.token_ids), bytes(r.decoded), r.both) for r in both.collect()) == sorted((str(r.doc_id), bytes(r.token_ids), bytes(r.decoded), 1) for r in rows)
+    assert bpe.encode(docs.limit(0), PATH, P.PATTERN).count() == 0 == bpe.round_trip(docs.limit(0), PATH, P.PATTERN).count()
