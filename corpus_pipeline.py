@@ -59,7 +59,7 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (little-endian unsigned 32-bit) of all documents, and the digest of what they decode to."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(docs.select(*COLUMNS), path, pattern), path, pattern)
+    out = bpe.round_trip(docs.select(*COLUMNS), path, pattern)
     return out.select("doc_id", "lang", "source", bpe.count().alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
