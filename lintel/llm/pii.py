@@ -6,7 +6,8 @@ title. What is replaced is a *canonical* form (digits alone, lower-cased address
 single name), so different ways of writing one thing get surrogates that agree,
 and each is written back in the way of its place: separators, letter case and
 length stay; a card number (only those with a valid check digit count) keeps one; a name keeps gender (from
-the title) and script.
+the title), script and the small words inside. A name that a text gives with a title is replaced
+wherever it stands in that text.
 
 A surrogate is made from a keyed hash of the canonical form. All distinct forms
 of the corpus are gathered once (pre-aggregated, so a form that a third of the
@@ -31,16 +32,21 @@ from pyspark.sql import functions as F
 
 from lintel.llm.common import fresh, saved
 
+# A name, hyphens inside, and the small words that may stand before a surname.
+WORD = r"\p{Lu}[\p{Ll}'’]+(?:-\p{Lu}?[\p{Ll}'’]+)*"
+PARTICLES = r"(?: (?:van|von|vom|de|del|della|den|der|des|di|da|dos|du|la|le|ten|ter|zu|zum|zur))*"
 # Patterns of personal data, in the order of precedence.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "secret": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
-    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\p{N}|\.\p{N})",
-    "phone": r"(?<![\p{N}+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4})(?!\p{N})",
+    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: \d{4}){2,6}(?: [A-Z0-9]{1,4})?)(?![\p{L}\p{N}])",
+    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\p{N}|\.\p{N})"
+          r"|(?<![\p{L}\p{N}:])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){1,6}[0-9A-Fa-f]{1,4})(?![\p{L}\p{N}:])",
+    # with a country's code, with an area code in brackets, in groups of 3, 3 and 4, with an area code before a slash
+    "phone": r"(?<![\p{N}+])(?:(?:\+|00(?=[1-9]))\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0\d{1,4}/\d{5,8})(?!\p{N})",
     "ssn": r"(?<![\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{N}-])",
     "card": r"(?<!\p{N})\d(?:[ -]?\d){12,18}(?!\p{N})",
-    "name": r"(?<!\p{L})(?:Mrs|Mr|Miss|Ms|Dr|Prof|Herr|Frau|Señora|Señor|Monsieur|Madame|г-жа|г-н)\.? \p{Lu}[\p{Ll}'’-]+(?: \p{Lu}[\p{Ll}'’-]+)?",
+    "name": r"(?<!\p{L})(?:Mrs|Mr|Miss|Ms|Dr|Prof|Herr|Frau|Señora|Señor|Monsieur|Madame|г-жа|г-н)\.? " + WORD + "(?:" + PARTICLES + " " + WORD + ")?",
 }
 #: A text without a match of this has no match of any pattern.
 HINT = r"[0-9@]|(?:Mrs?|Miss|Ms|Dr|Prof|Herr|Frau|Señora?|Monsieur|Madame|г-жа|г-н)\.? \p{Lu}"
@@ -66,11 +72,12 @@ def _followed() -> dict[str, str]:
     group = rf"(?![ .-]?(?:{other}))[ .-]?\d{{2,4}}"
     # A phone has two groups at least: only what comes after them may be a security or card number.
     after = rf"(?![ .-]?(?:{number}|{PATTERNS['card']}))[ .-]?\d{{2,4}}"
-    word = rf"(?!{PATTERNS['email']}|{title}\.? \p{{Lu}})\p{{Lu}}[\p{{Ll}}'’-]+"
+    word = rf"(?!{PATTERNS['email']}|{title}\.? \p{{Lu}}){WORD}"
     return PATTERNS | {
-        "phone": rf"(?<![\p{{N}}+])(?:\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:{group}){{2}}(?:{after}){{0,2}}|\(\d{{2,4}}\)[ .-]?\d{{3}}(?![ .-]?(?:{other}))[ .-]?\d{{3,4}})(?!\p{{N}})",
+        "phone": rf"(?<![\p{{N}}+])(?:(?:\+|00(?=[1-9]))\d{{1,3}}[ .-]?\(?\d{{1,4}}\)?(?:{group}){{2}}(?:{after}){{0,2}}|\(\d{{2,4}}\)[ .-]?\d{{3}}(?![ .-]?(?:{other}))[ .-]?\d{{3,4}}"
+                 rf"|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}|0\d{{1,4}}/\d{{5,8}})(?!\p{{N}})",
         "card": rf"(?<!\p{{N}})\d(?:(?:(?![ -]{number})[ -])?\d){{12,18}}(?!\p{{N}})",
-        "name": rf"{title}\.? {word}(?: {word})?",
+        "name": rf"{title}\.? {word}(?:{PARTICLES} {word})?",
     }
 
 
@@ -112,7 +119,8 @@ def forms(entity: Column) -> Column:
     names = F.split(F.regexp_replace(entity, _TITLE, ""), " ")
     surname = one(F.lit("surname"), F.lower(F.element_at(names, -1)))
     given = one(F.concat(F.lit("given_"), gender), F.lower(names[0]))
-    canonical = F.when(kind.isin("phone", "ssn", "card"), _digits(entity)).when(kind == "email", F.lower(entity)).otherwise(entity)
+    canonical = (F.when(kind == "phone", F.regexp_replace(_digits(entity), "^00", "")).when(kind.isin("ssn", "card"), _digits(entity))
+                 .when((kind == "email") | ((kind == "ip") & entity.contains(":")), F.lower(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity))
     named = F.when(F.size(names) > 1, F.array(given, surname)).otherwise(F.array(surname))
     return F.when(kind == "none", F.slice(named, 1, 0)).when(kind == "name", named).otherwise(F.array(one(kind, canonical)))
 
@@ -143,7 +151,8 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     hexes = F.array_join(F.transform(F.split(form, ""), lambda c, i: pick("0123456789abcdef", i)), "")
     secret = F.when(form.rlike("^[0-9a-f]+$"), hexes).when(form.rlike("^[0-9A-F]+$"), F.upper(hexes)).when(form.startswith("sk-"), letters(form, 3)).otherwise(letters(form, 4))
     octet = lambda i: (number(at(i)) % 254 + 1).cast("string")
-    ip = F.concat_ws(".", F.when(attempt < 8, F.lit("10")).otherwise(octet(3)), octet(0), octet(1), octet(2))
+    groups = F.array_join(F.transform(F.split(form, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), pick("0123456789abcdef", i)).otherwise(c)), "")
+    ip = F.when(form.contains(":"), F.concat(F.when(F.length(F.substring_index(form, ":", 1)) == 4, F.lit("fd")).otherwise(F.lit("")), F.substr(groups, F.when(F.length(F.substring_index(form, ":", 1)) == 4, 3).otherwise(1)))).otherwise(F.concat_ws(".", F.when(attempt < 8, F.lit("10")).otherwise(octet(3)), octet(0), octet(1), octet(2)))
     body = F.substr(letters(form, 1), F.lit(1), F.length(form) - 1)
     check = ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
     script = lambda latin, cyrillic: F.when(form.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)
@@ -187,16 +196,37 @@ def _written(entity: Column, table: Column) -> Column:
     """An entity's replacement in the way it was written; ``table`` maps ``type|form`` to surrogates."""
     kind, own = type_of(entity), forms(entity)
     new = lambda i: F.element_at(table, F.concat_ws("|", F.get(own, F.lit(i))["type"], F.get(own, F.lit(i))["form"]))
-    between, digits = F.split(entity, "[0-9]"), F.split(new(0), "")
-    in_place = F.array_join(F.zip_with(between, digits, lambda b, d: F.concat(F.coalesce(b, F.lit("")), F.coalesce(d, F.lit("")))), "")
-    name = F.concat(F.regexp_extract(entity, _TITLE, 0), F.concat_ws(" ", new(0), F.when(F.size(own) > 1, new(1))))
-    plain = F.when((kind == "email") & (entity == F.upper(entity)), F.upper(new(0))).otherwise(new(0))
-    return F.when(kind == "none", entity).when(kind.isin("phone", "ssn", "card"), in_place).when(kind == "name", name).otherwise(plain)
+    def in_place(place: str, text: Column) -> Column:
+        between, marks = F.split(text, place), F.split(new(0), "")
+        return F.array_join(F.zip_with(between, marks, lambda b, d: F.concat(F.coalesce(b, F.lit("")), F.coalesce(d, F.lit("")))), "")
+
+    abroad = entity.startswith("00")
+    phone = F.concat(F.when(abroad, "00").otherwise(""), in_place("[0-9]", F.when(abroad, F.substring(entity, 3, 1 << 30)).otherwise(entity)))
+    between = F.regexp_extract(entity, _TITLE + r"[^ ]+( .*)? [^ ]+$", 1)  # the particles before a surname
+    name = F.concat(F.regexp_extract(entity, _TITLE, 0), new(0), F.when(F.size(own) > 1, F.concat(between, F.lit(" "), new(1))).otherwise(""))
+    upper = ((kind == "email") | ((kind == "ip") & entity.contains(":"))) & (entity == F.upper(entity)) & (entity != F.lower(entity))
+    plain = F.when(upper, F.upper(new(0))).otherwise(new(0))
+    return (F.when(kind == "none", entity).when(kind == "phone", phone).when(kind.isin("ssn", "card"), in_place("[0-9]", entity))
+            .when(kind == "iban", in_place("[A-Z0-9]", entity)).when(kind == "name", name).otherwise(plain))
+
+
+def _people(found: Column) -> Column:
+    """The names among entities, word by word as written, each with its canonical form."""
+    named = F.filter(found, lambda e: e.rlike(f"^(?:{PATTERNS['name']})$"))
+    words = F.transform(named, lambda e: F.filter(F.split(F.regexp_replace(e, _TITLE, ""), " "), lambda w: w.rlike(r"^\p{Lu}")))
+    pairs = F.zip_with(named, words, lambda e, w: F.zip_with(w, forms(e), lambda x, f: F.struct(x.alias("word"), F.concat_ws("|", f["type"], f["form"]).alias("form"))))
+    return F.array_distinct(F.flatten(pairs))
+
+
+def _mentions(piece: Column, people: Column, table: Column) -> Column:
+    """A text between entities with the names of the text's own people replaced where they stand without a title."""
+    return F.aggregate(people, piece, lambda text, n: F.regexp_replace(
+        text, F.concat(F.lit(r"(?<![\p{L}\p{N}-])"), n["word"], F.lit(r"(?![\p{L}\p{N}]|-\p{L})")), F.element_at(table, n["form"])))
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", out: str = "text") -> DataFrame:
     """``docs`` with personal data in ``out`` replaced, n_entities and entity_types (sorted, distinct)."""
-    found, mark, table = fresh(docs, "pii_found"), fresh(docs, "pii_text"), fresh(docs, "pii_table")
+    found, mark, table, people = fresh(docs, "pii_found"), fresh(docs, "pii_text"), fresh(docs, "pii_table"), fresh(docs, "pii_people")
     held = docs.withColumn(found, entities(F.col(text)))
     kinds = F.filter(F.transform(found, type_of), lambda k: k != "none")
     has = F.coalesce(F.size(found) > 0, F.lit(False)) & (F.size(kinds) > 0)
@@ -206,9 +236,10 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text", out: str = "tex
     known = surrogates(of_text.select("type", "form"), key)
     tables = (of_text.join(known, ["type", "form"])
               .groupBy("mark").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "type", "form"), "surrogate"))).alias(table)))
-    dirty = dirty.join(tables.withColumnRenamed("mark", mark), mark)
+    # names are split before the join, so that they aren't split again for each piece of a text
+    dirty = dirty.withColumn(people, _people(F.col(found))).join(tables.withColumnRenamed("mark", mark), mark)
     pieces = F.zip_with(F.split(F.col(text), _ALL), F.col(found), lambda p, e: F.concat(
-        p, F.coalesce(_written(e, F.col(table)), F.lit(""))))
+        _mentions(p, F.col(people), F.col(table)), F.coalesce(_written(e, F.col(table)), F.lit(""))))
     keep = [c for c in docs.columns if c not in (out, "n_entities", "entity_types")]
     done = dirty.select(*keep, F.array_join(pieces, "").alias(out), F.size(kinds).cast("long").alias("n_entities"), F.array_sort(F.array_distinct(kinds)).alias("entity_types"))
     clean = held.filter(~has).select(*keep, F.col(text).alias(out), F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("entity_types"))
