@@ -1,21 +1,22 @@
 """Operator 3: license scan by conditional compression.
 
-Passages around license words are candidate blocks. In a block each template is
-confirmed or dropped by its exact wording differences: the share of the template's
-words that a passage has in order, and the words that tell this license from its
-relatives (names, versions), which must all be there. A passage compresses better
-with a text like it at hand: the template is given to zstandard as a raw
-dictionary and must save some of the passage's compressed size; templates that fit
-the same words are ranked by their differences, then by what they save. The words
-left over are searched again until no template is confirmed.
+Passages around license words are candidate blocks. A block compresses better with
+a text like it at hand: each template whose names it holds is given to zstandard
+as a raw dictionary, and templates are ranked by the bytes they save on the block. In that
+order they are confirmed or dropped by their exact wording differences: the
+share of the template's words that a passage has in order, the words that must be
+there (names, versions), and words that tell a license from its relatives
+(``TELLING``: Lesser, Affero, ShareAlike, ...), none of which may stand in the passage
+unless the template has it. What a confirmed template covers is used; the words left
+over are compressed and ranked again until none is confirmed.
 
 Texts without a license word are left out by a pattern before Python sees them.
 Rows are independent: no shuffle; a task holds one slice of texts and remembers a
 bounded number of blocks already judged.
 
-Defined results: null, empty and other texts without license words give no rows;
-each confirmed notice of a text is a row, so repeated rows of a document give
-repeated rows; other columns are left out.
+Defined results: null, empty and other texts without license words give no rows, and
+neither do licenses that no template is for; each confirmed notice of a text is a
+row, so repeated rows of a document give repeated rows; other columns are left out.
 """
 
 from __future__ import annotations
@@ -31,30 +32,60 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# License, words that must be there, wording of the notice or grant.
+_GPL = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version"
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution")
+_BSD_3 = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_CC = "Licensed under a Creative Commons Attribution{} 4.0 International License"
+# License, words that must be there, wording of the notice or grant (public license texts).
 TEMPLATES = [
     ("Apache-2.0", "apache 2 0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "apache 2 0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("MIT", "mit", "Released under the MIT License"),
     ("MIT", "mit", "This software is licensed under the MIT License"),
     ("MIT", "permission without restriction merge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("ISC", "permission use copy fee", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISC", "isc", "Licensed under the ISC License"),
+    ("Unlicense", "unencumbered public domain", "This is free and unencumbered software released into the public domain"),
+    ("BSL-1.0", "boost 1 0", "Distributed under the Boost Software License, Version 1.0"),
+    ("EPL-2.0", "eclipse public 2 0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("MPL-2.0", "mozilla 2 0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("GPL-3.0", "general public 3", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-2.0", "general public 2", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "general public 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-2.0", "general public 2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("LGPL-3.0", "lesser general public 3", "This library is licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-2.1", "lesser general public 2 1", "This library is licensed under the GNU Lesser General Public License, version 2.1"),
     ("AGPL-3.0", "affero general public 3", "This program is licensed under the GNU Affero General Public License, version 3"),
+    ("GPL-3.0", "general public 3", _GPL.format(":", "General Public License", ",", "3")),
+    ("GPL-2.0", "general public 2", _GPL.format(";", "General Public License", ";", "2")),
+    ("LGPL-3.0", "lesser general public 3", _GPL.format(":", "Lesser General Public License", ",", "3")),
+    ("LGPL-2.1", "lesser general public 2 1", _GPL.format(";", "Lesser General Public License", ";", "2.1")),
+    ("AGPL-3.0", "affero general public 3", _GPL.format(":", "Affero General Public License", ",", "3")),
+    ("GPL-3.0", "gpl v3", "License: GPL v3"), ("GPL-2.0", "gpl v2", "License: GPL v2"), ("GPL-3.0", "gplv3", "Licensed under GPLv3"), ("GPL-2.0", "gplv2", "Licensed under GPLv2"),
     ("CC-BY-4.0", "cc by 4 0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "cc by sa 4 0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "cc by nc 4 0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-ND-4.0", "cc by nd 4 0", "Licensed under CC BY-ND 4.0"),
-    ("CC-BY-4.0", "creative commons attribution 4 0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "cc by nc sa 4 0", "Licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "cc by nc nd 4 0", "Licensed under CC BY-NC-ND 4.0"),
+    ("CC-BY-4.0", "creative commons attribution 4 0", _CC.format("")),
+    ("CC-BY-SA-4.0", "creative commons attribution sharealike 4 0", _CC.format("-ShareAlike")),
+    ("CC-BY-NC-4.0", "creative commons attribution noncommercial 4 0", _CC.format("-NonCommercial")),
+    ("CC-BY-ND-4.0", "creative commons attribution noderivatives 4 0", _CC.format("-NoDerivatives")),
+    ("CC-BY-NC-SA-4.0", "creative commons attribution noncommercial sharealike 4 0", _CC.format("-NonCommercial-ShareAlike")),
+    ("CC-BY-NC-ND-4.0", "creative commons attribution noncommercial noderivatives 4 0", _CC.format("-NonCommercial-NoDerivatives")),
     ("BSD-3-Clause", "bsd 3", "Licensed under the BSD 3-Clause License"),
     ("BSD-2-Clause", "bsd 2", "Licensed under the BSD 2-Clause License"),
-    ("BSD-2-Clause", "redistribution source binary", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "mozilla 2 0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("BSD", "bsd license", "BSD License"),
+    ("BSD-3-Clause", "redistribution source binary neither endorse promote", _BSD + _BSD_3),
+    ("BSD-2-Clause", "redistribution source binary reproduce", _BSD),
+    ("BSD", "redistribution source binary", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 ]
-CUE = r"(?i)licen[sc]|copyright|public domain|permission is hereby granted|redistribut"
+_SPDX = ("Apache-2.0", "MIT", "ISC", "Unlicense", "BSL-1.0", "EPL-2.0", "MPL-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "CC-BY-4.0", "CC-BY-SA-4.0", "BSD-3-Clause", "BSD-2-Clause")
+TEMPLATES += [(name, "spdx identifier " + name.lower().replace("-", " ").replace(".", " "), f"SPDX-License-Identifier: {name}") for name in _SPDX]
+#: Words that tell a license from its relatives: a template doesn't fit words that hold one it hasn't.
+TELLING = frozenset("lesser affero library sharealike noncommercial noderivatives noderivs sa nc nd endorse".split())
+CUE = r"(?i)licen[sc]|copyright|public domain|permission (?:is hereby granted|to use)|redistribut|\bGPL"
 #: Words kept on either side of a license word; least share of a template's words; blocks remembered, and characters up to which one is.
 AROUND, LEAST, REMEMBERED, LONG = 60, 0.8, 20_000, 4_000
 _CUE, _WORD = re.compile(CUE), re.compile(r"[^\W_]+")
@@ -94,11 +125,12 @@ def _plain() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, write_content_size=False)
 
 
-def _saving(passage: list[str], i: int) -> float:
-    """The share of a passage's compressed size that a template saves."""
+def _saving(passage: list[str], i: int) -> tuple[int, float]:
+    """Bytes of a passage's compressed size that a template saves, and their share."""
     data = " ".join(passage).encode()
     alone = len(_plain().compress(data))
-    return (alone - len(_templates()[i][3].compress(data))) / alone
+    saved = alone - len(_templates()[i][3].compress(data))
+    return saved, saved / alone
 
 
 def _wording(i: int, own: list[str]) -> tuple[int, int, int] | None:
@@ -116,7 +148,17 @@ def _wording(i: int, own: list[str]) -> tuple[int, int, int] | None:
     if matched < least or not needed <= held(runs):
         return None
     lo, hi = runs[0].b, runs[-1].b + runs[-1].size
-    return (lo, hi, len(wording) - matched) if hi - lo - matched <= len(wording) else None
+    if hi - lo - matched > len(wording) or TELLING.intersection(own[lo:hi]) - set(wording) - _shared(i):
+        return None
+    return lo, hi, len(wording) - matched
+
+
+@cache
+def _shared(i: int) -> frozenset[str]:
+    """Telling words that mean nothing to a template: those of families it isn't of."""
+    name = TEMPLATES[i][0]
+    own = {"GPL": "lesser affero library", "LGP": "affero", "AGP": "lesser library", "CC-": "sharealike noncommercial noderivatives noderivs sa nc nd", "BSD": "endorse"}.get(name[:3], "")
+    return TELLING - set(own.split())
 
 
 def _notices(i: int, own: list[str], begin: int, end: int) -> Iterator[tuple[int, int, int]]:
@@ -166,20 +208,17 @@ def _judged(block: str) -> list[tuple[int, int, str, float, int, int]]:
     candidates = [i for i, t in enumerate(_templates()) if t[1] <= present]
     while left:  # until the words left over confirm no template
         begin, end = left.pop()
-        found = []
-        for i in candidates:
-            for lo, hi, missing in _notices(i, own, begin, end):
-                gain = _saving(own[lo:hi], i)
-                if gain > 0:
-                    found.append((hi - lo - len(_templates()[i][2]) + 2 * missing, -gain, _templates()[i][0], lo, hi, missing))
+        ranked = sorted((-_saving(own[begin:end], i)[0], i) for i in candidates)
         used: list[tuple[int, int]] = []
-        for off, gain, name, lo, hi, missing in sorted(found):  # of licenses for the same words the closest wording holds
-            at = bisect_left(used, (lo, hi))
-            if (at == 0 or used[at - 1][1] <= lo) and (at == len(used) or hi <= used[at][0]):
-                used.insert(at, (lo, hi))
-                out.append((spans[lo][0], spans[hi - 1][1], name, round(-gain, 4), missing, off - missing))
+        for _, i in ranked:  # the template that saves most first
+            for lo, hi, missing in _notices(i, own, begin, end):
+                at = bisect_left(used, (lo, hi))
+                if (at == 0 or used[at - 1][1] <= lo) and (at == len(used) or hi <= used[at][0]):
+                    used.insert(at, (lo, hi))
+                    off = hi - lo - len(_templates()[i][2]) + 2 * missing
+                    out.append((spans[lo][0], spans[hi - 1][1], _templates()[i][0], round(_saving(own[lo:hi], i)[1], 4), missing, off - missing))
         if used:
-            left += list(zip([begin, *[hi for _, hi in used]], [*[lo for lo, _ in used], end]))
+            left += [(a, b) for a, b in zip([begin, *[hi for _, hi in used]], [*[lo for lo, _ in used], end]) if b > a]
     return sorted(out)
 
 

@@ -17,6 +17,13 @@ APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you
     ("foo bar\n" + APACHE + "\nmore", ["Apache-2.0"]), ("RELEASED UNDER THE MIT LICENSE!!", ["MIT"]),
     ("# Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), ("Licensed under CC BY 4.0", ["CC-BY-4.0"]),
     ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["CC-BY-SA-4.0"]),
+    ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["CC-BY-NC-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", ["CC-BY-4.0"]), ("Licensed under CC BY-NC-SA 4.0", ["CC-BY-NC-SA-4.0"]),
+    ("GNU Lesser General Public License, version 3 and the GNU Affero General Public License, version 3: this program is licensed under the", []),
+    ("// SPDX-License-Identifier: MIT\n", ["MIT"]), ("# SPDX-License-Identifier: LGPL-2.1-or-later", ["LGPL-2.1"]), ("License: GPL v3", ["GPL-3.0"]), ("Licensed under GPLv2.", ["GPL-2.0"]),
+    ("License :: OSI Approved :: BSD License", ["BSD"]), ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+    ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ["EPL-2.0"]),
     ("a license to kill and a driving license", []), ("Licensed under the Apache License, Version 1.1", []),
 ])
 def test_licenses(text, want):
@@ -41,7 +48,27 @@ Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
 
 1. Redistributions of source code must retain the above copyright notice, this
-   list of conditions and the following disclaimer."""
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD_3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+AGPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
 GPL = """Copyright (C) 2020  Jo Doe
 
 This program is free software: you can redistribute it and/or modify
@@ -51,12 +78,35 @@ the Free Software Foundation, either version 3 of the License, or
 
 
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "        "])
-@pytest.mark.parametrize("notice, name", [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (GPL, "GPL-3.0"), (APACHE.replace(", ", ",\n").replace(" may", "\nmay"), "Apache-2.0")])
+@pytest.mark.parametrize("notice, name", [(MIT, "MIT"), (BSD, "BSD-2-Clause"), (BSD_3, "BSD-3-Clause"), (GPL, "GPL-3.0"), (LGPL, "LGPL-2.1"), (AGPL, "AGPL-3.0"), (ISC, "ISC"), (APACHE.replace(", ", ",\n").replace(" may", "\nmay"), "Apache-2.0")])
 def test_wrapped_notices(notice, name, mark):
     text = "import os\n" * 300 + "".join(mark + line + "\n" for line in notice.split("\n")) + "x = 1\n" * 300
     assert {hit[0] for lo, hi in license_scan.blocks(text) for hit in license_scan.judge(text[lo:hi])} == {name}
 
 
+def plain_judge(text):
+    """All templates at all places: the licenses whose whole wording stands there, word by word, longest first, each word used once."""
+    own, used, out = license_scan.words(text), set(), []
+    spots = sorted(((len(w), i, at) for i, (_, _, t) in enumerate(license_scan.TEMPLATES) for w in [license_scan.words(t)]
+                    for at in range(len(own) - len(w) + 1) if own[at:at + len(w)] == w), key=lambda x: (-x[0], x[2]))
+    for size, i, at in spots:
+        if not used.intersection(range(at, at + size)):
+            used.update(range(at, at + size))
+            out.append((at, license_scan.TEMPLATES[i][0]))
+    return [name for _, name in sorted(out)]
+
+
+def test_every_template_is_found_as_by_a_pass_over_all_templates():
+    r = np.random.default_rng(3)
+    filler = ["the code is ours", "see the license file", "all rights reserved", "copyright 2020", "and other words"]
+    for name, _, text in license_scan.TEMPLATES:
+        assert [hit[0] for hit in license_scan.judge(text)] == [name], text
+    for _ in range(60):
+        some = [license_scan.TEMPLATES[i][2] for i in r.integers(len(license_scan.TEMPLATES), size=3)]
+        text = ". ".join(x for t in some for x in (t, " ".join(r.choice(filler, 4)))) + "."
+        assert [hit[0] for hit in license_scan.judge(text)] == plain_judge(text), text
+
+
 SEVEN = ["Licensed under the Apache License, Version 2.0", "Released under the MIT License", "This work is licensed under the GNU General Public License, version 3", "Licensed under CC BY-SA 4.0",
          "Licensed under the BSD 3-Clause License", "This library is licensed under the GNU Lesser General Public License, version 3", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"]
 NAMES = ["Apache-2.0", "MIT", "GPL-3.0", "CC-BY-SA-4.0", "BSD-3-Clause", "LGPL-3.0", "MPL-2.0"]
