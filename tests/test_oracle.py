@@ -13,7 +13,9 @@ SF = "/root/testdata/sf0.001"
 FAST = ["file_metrics", "halstead_code", "mi_bands", "project_health", "folder_rollup", "rank_issues",
         "severity_counts", "parse_bug_scan", "parse_diagnosis", "fix_outcomes", "attempt_fold", "describe",
         "path_nodes", "path_edges", "common_prefix", "common_dir", "loc", "scan_prune", "diff_lines",
-        "node_depth_markup", "nesting_cost_markup", "debt_trend", "upsert_latest", "calibration", "patch_overlay"]
+        "node_depth_markup", "nesting_cost_markup", "debt_trend", "upsert_latest", "calibration", "patch_overlay",
+        "markup_nodes", "markup_stats", "node_metrics_markup", "node_metrics_code", "report", "requests", "export_patched",
+        "sibling_order", "stream_upsert", "stream_debt_window"]
 
 
 @pytest.fixture(scope="module")
