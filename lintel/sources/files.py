@@ -60,7 +60,7 @@ def scan_sources(spark: SparkSession, root: str, repo: str | None = None, snapsh
     raw = prune_ignored(raw, "file_path")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     df = raw.select(
-        F.lit(repo or os.path.basename(root.rstrip("/"))).alias("repo"),
+        F.lit(repo or root.rstrip("/").rsplit("/", 1)[-1]).alias("repo"),
         F.lit(snapshot_id).cast("long").alias("snapshot_id"),
         "file_path", text.alias("content"),
     )
