@@ -175,13 +175,27 @@ def _digest(state: list) -> tuple:
 
 
 def log_of(conversations: DataFrame, chunk: int = 256) -> DataFrame:
-    """A table of finished messages as an event log: assistant texts arrive in streamed pieces of ``chunk`` code points."""
+    """A table of finished messages as an event log that ends in them.
+
+    Assistant texts arrive in streamed pieces of ``chunk`` code points. By a hash of
+    the message some answers are begun and regenerated, some end in noise that an
+    edit takes away, some messages of others are drafts first, and some turns
+    hold a message that is withdrawn again. The log's rows have no order of their own.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = conversations.select("conv_id", "turn", "role", text.alias("text"),
-                                F.monotonically_increasing_id().alias("nth"))
+    rows = conversations.select("conv_id", "turn", "role", text.alias("text"), F.monotonically_increasing_id().alias("nth"))
+    kind = F.pmod(F.xxhash64("text", "turn"), F.lit(4))
+    event = lambda k, t, m="": F.struct(F.lit(m).alias("part"), F.lit(k).alias("kind"), t.cast("string").alias("text"))
+    none = F.slice(F.array(event("delta", F.lit(""))), 1, 0)
+    begun = F.when(kind == 0, F.array(event("delta", F.substring("text", 1, chunk)), event("delta", F.lit(" never mind")), event("regenerate", F.lit(None)))).otherwise(none)
     streamed = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / chunk).cast("int")),
-                           lambda i: F.substring(F.col("text"), i * chunk + 1, F.lit(chunk)))
-    pieces = F.when(F.col("role") == "assistant", F.concat(F.array(F.lit("")), streamed)).otherwise(F.array("text"))
+                           lambda i: event("delta", F.substring(F.col("text"), i * chunk + 1, F.lit(chunk))))
+    noise = F.when(kind == 1, F.array(event("delta", F.lit(" ...")), event("edit", F.col("text")))).otherwise(none)
+    answer = F.concat(F.array(event("message", F.lit(""))), begun, streamed, noise)
+    draft = F.when(kind == 2, F.array(event("message", F.concat(F.lit("draft: "), F.substring("text", 1, 40))), event("edit", F.col("text")))) \
+        .otherwise(F.array(event("message", F.col("text"))))
+    withdrawn = F.when(kind == 3, F.array(event("message", F.lit("sent too early"), "-withdrawn"), event("delete", F.lit(None), "-withdrawn"))).otherwise(none)
+    events = F.concat(F.when(F.col("role") == "assistant", answer).otherwise(draft), withdrawn)
     message = F.concat_ws("-", F.coalesce("role", F.lit("")), F.xxhash64("text").cast("string"), F.col("nth").cast("string"))
-    return (rows.select("conv_id", "turn", "role", message.alias("message"), F.posexplode(pieces).alias("seq", "text"))
-            .withColumn("kind", F.when(F.col("seq") == 0, "message").otherwise("delta")))
+    return (rows.select("conv_id", "turn", "role", message.alias("message"), F.posexplode(events).alias("seq", "e"))
+            .select("conv_id", "turn", "role", F.concat("message", "e.part").alias("message"), "seq", "e.kind", "e.text"))
