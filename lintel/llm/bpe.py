@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lintel.llm.common import fresh
+from lintel.llm.common import fresh, small_batches
 from lintel.llm.cuts import SPACE_PATTERN, Memory, cuts
 
 #: Cuts and pieces of text and pairs of neighbours a worker remembers, and the longest such string; speed bounds only.
@@ -211,14 +211,15 @@ def _batched(one, path: str, pattern: str, kind: pa.DataType):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         call = getattr(merges(path, pattern), one)
         for batch in batches:
-            done, some, held = [], [], 0
+            some, held = [], 0
             for x in batch:
                 some.append(call(x.as_py()) if x.is_valid else None)
                 held += len(some[-1] or b"")
-                if held > AT_ONCE:  # results leave Python objects for Arrow in slices
-                    done.append(pa.array(some, type=kind))
+                if held > AT_ONCE:
+                    yield pa.array(some, type=kind)
                     some, held = [], 0
-            yield pa.concat_arrays([*done, pa.array(some, type=kind)])
+            if some:
+                yield pa.array(some, type=kind)
     return run
 
 
@@ -238,7 +239,7 @@ def decoded(ids: Column, path: str, pattern: str) -> Column:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """``df`` with the token ids of its column ``text``."""
-    return df.withColumn(ids, encoded(F.col(text), path, pattern))
+    return small_batches(df).withColumn(ids, encoded(F.col(text), path, pattern))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -251,20 +252,18 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = merges(path, pattern)
         for batch in batches:
-            done, coded, plain, held = [], [], [], 0
-            for x in [*batch, None]:
-                if x is not None:
-                    coded.append(vocabulary.encode(x.as_py()))
-                    plain.append(vocabulary.decode(coded[-1]))
-                    held += len(coded[-1]) + len(plain[-1])
-                if x is None or held > AT_ONCE:
-                    done.append(pa.StructArray.from_arrays([pa.array(coded, pa.binary()), pa.array(plain, pa.binary())], names=["ids", "plain"]))
+            coded, plain, held = [], [], 0
+            for n, x in enumerate(batch, 1):
+                coded.append(vocabulary.encode(x.as_py()))
+                plain.append(vocabulary.decode(coded[-1]))
+                held += len(coded[-1]) + len(plain[-1])
+                if n == len(batch) or held > AT_ONCE:
+                    yield pa.StructArray.from_arrays([pa.array(coded, pa.binary()), pa.array(plain, pa.binary())], names=["ids", "plain"])
                     coded, plain, held = [], [], 0
-            yield pa.concat_arrays(done)
 
     both = F.arrow_udf(run, StructType([StructField("ids", BinaryType()), StructField("plain", BinaryType())]))(F.coalesce(F.col(text), F.lit("")))
     name = fresh(df, "both")
-    return df.withColumn(name, both).withColumn(ids, F.col(name)["ids"]).withColumn(out, F.col(name)["plain"]).drop(name)
+    return small_batches(df).withColumn(name, both).withColumn(ids, F.col(name)["ids"]).withColumn(out, F.col(name)["plain"]).drop(name)
 
 
 def count(ids: str = "token_ids") -> Column:

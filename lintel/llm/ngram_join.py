@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import BROADCAST_IDS, saved
+from lintel.llm.common import BROADCAST_IDS, saved, small_batches
 from lintel.llm.components import components
 from lintel.llm.shingles import set_key, shingle_sets, text_groups
 
@@ -107,7 +107,7 @@ def _packed(docs: DataFrame, ranges: int) -> DataFrame:
         if ids:
             yield _rows(pack(f"{part}-{nth}", part, ids, sets), schema)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64()}
