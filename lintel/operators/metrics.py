@@ -128,6 +128,10 @@ METRIC_COLUMNS = (
 )
 
 
+#: Types of ``METRIC_COLUMNS`` as ``analyze`` gives them.
+METRIC_TYPES = ("int", "bigint", "int", "double", "double", "decimal(12,2)", "int", "string")
+
+
 def analyze(df: DataFrame, content: str = "content", keep: list[str] | None = None,
             count_keywords: bool = False, with_halstead_counts: bool = False) -> DataFrame:
     """All per-file metrics, one output row per input row.

@@ -14,9 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import DataType, DecimalType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
-from lintel.operators.metrics import METRIC_COLUMNS, analyze
+from lintel.operators.metrics import METRIC_COLUMNS, METRIC_TYPES, analyze
 from lintel.sources import state as S
 from lintel.sources.store import KeyedStore
 
@@ -29,10 +29,14 @@ def _content_hash() -> Column:
     return F.coalesce(F.sha2(F.col("content"), 256), F.lit("null"))
 
 
+def _parsed(kind: str) -> DataType:
+    return DecimalType(12, 2) if kind.startswith("decimal") else {"int": IntegerType(), "bigint": LongType(), "double": DoubleType(), "string": StringType()}[kind]
+
+
 def metric_store(files: DataFrame, root: str, keep: list[str]) -> KeyedStore:
     """The store for the metrics of ``files`` with their columns ``keep``."""
-    metrics = analyze(files.limit(0), keep=[]).schema
-    schema = StructType([*(files.schema[c] for c in [*KEY, *keep]), *(metrics[c] for c in METRIC_COLUMNS),
+    metrics = [StructField(c, _parsed(t)) for c, t in zip(METRIC_COLUMNS, METRIC_TYPES)]
+    schema = StructType([*(files.schema[c] for c in [*KEY, *keep]), *metrics,
                          StructField("content_hash", StringType()), StructField("last_analyzed", TimestampType()), StructField("version", LongType())])
     return KeyedStore(files.sparkSession, root, schema, KEY, ["version"])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lintel.operators import rollup as RU
-from lintel.operators.metrics import analyze
+from lintel.operators.metrics import METRIC_COLUMNS, METRIC_TYPES, analyze
 from lintel.sources import stored as ST
 from lintel.sources.store import KeyedStore
 from lintel.streaming import upsert as STR
@@ -104,6 +104,11 @@ def test_bytes_written_follow_the_batch(spark, tmp_path):
 FILES = "repo string, snapshot_id long, file_path string, content string"
 
 
+def test_stored_types_are_those_of_the_analysis(spark):
+    got = dict(analyze(spark.createDataFrame([], FILES), keep=[]).dtypes)
+    assert tuple(got[c] for c in METRIC_COLUMNS) == METRIC_TYPES
+
+
 def test_only_changed_files_are_analysed_again(spark, tmp_path):
     files = spark.createDataFrame([("r", 1, f"{i}.py", f"if x{i}:\n    pass\n") for i in range(6)] + [("q", 1, "0.py", None)], FILES)
     s = ST.metric_store(files, f"file://{tmp_path}/m", ["snapshot_id"])
