@@ -248,3 +248,24 @@ def test_pages_agree_with_their_documents_language(spark):
     rows = queries.op7_langid(spark, SF).collect()
     html = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     assert np.mean([f'lang="{r.language}"' in html[r.page_id] for r in rows]) > 0.97
+
+
+def test_every_label_counts(spark, monkeypatch):
+    """A word that one text in 130 holds, in more texts than a task holds at a time: its weight comes from all of them."""
+    monkeypatch.setattr(toxicity, "HELD", 640)
+    words = F.array(*[F.lit(w) for w in "sun rain tree stone river cloud".split()])
+    plain = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.element_at(words, (F.pmod(F.xxhash64("id", i), F.lit(6)) + 1).cast("int"))), " ")
+    docs = spark.range(7800).select("id", F.concat(plain, F.when(F.col("id") % 130 == 7, " scoundrel").otherwise(""), F.lit(" n"), "id").alias("text"),
+                                    (F.col("id") % 130 == 7).cast("int").alias("label"), F.lit("en").alias("lang"))
+    counts = {r.bucket: r for r in toxicity.word_counts(docs.select(F.col("text").cast("binary").alias("text"), "label", "lang")).collect()}
+    word = int(toxicity.buckets([b"scoundrel"])[0][0])
+    assert (counts[0].texts, counts[0].positive, counts[word].texts, counts[word].positive) == (7800, 60, 60, 60)
+    low, high = toxicity.train(docs).scores([b"sun stone tree", b"sun scoundrel tree"])
+    assert low < 0.5 <= high
+
+
+def test_best_cut_counts_every_row():
+    bins, labels, rows = np.array([1000, 3000, 6000, 9000]), np.array([0, 1, 0, 1]), np.array([500, 40, 10, 30])
+    cut = toxicity.best_cut(bins, labels, rows)
+    assert 1000 < cut * toxicity.BINS <= 3000
+    assert toxicity.best_cut(bins[:1], labels[:1], rows[:1]) == 0.5
