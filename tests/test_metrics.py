@@ -188,3 +188,14 @@ def test_operands_and_operators_inside_fstrings(spark, source, inner):
     of = {"nasg": "assignment", "naug": "augmented_assignment", "nbin": "binary_operator", "nun": "unary_operator", "ncmp": "comparison_operator",
           "nbool": "boolean_operator", "nnot": "not_operator"}
     assert {f: r["__s"][f] + r["__f"][f] for f in of} == {f: kinds.count(k) for f, k in of.items()}
+
+
+def test_a_long_docstring_ends_at_its_quotes_and_no_lazy_loop_reads_it(spark):
+    from lintel.functions import tokens as TK
+
+    assert "*?" not in TK.TOKEN_RE
+    body = 'a "quoted" and ""doubled"" word\n' * 20_000
+    rows = [(0, f'"""{body}"""\nx = 1\n'), (1, f"'''{body}'''; y = 2\n"), (2, f'"""{body}""" + z\n'), (3, '"""open'), (4, '"""a""""')]
+    out = {r.i: r for r in analyze(spark.createDataFrame(rows, "i int, content string"), keep=["i"]).collect()}
+    assert out[0].description == out[1].description == body.strip()
+    assert out[2].description is None and out[3].description is None and out[4].description == "a"  # a quote that opens nothing is no token
