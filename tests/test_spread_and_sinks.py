@@ -146,3 +146,21 @@ def test_outcomes_keep_scripts_outputs_and_the_last_attempt(spark):
     got = {r.request_id: (r.status, r.fixed_code, r.repro_script, r.test_output, r.last_attempt, r.last_error) for r in FX.fix_outcomes(requests, attempts, files).collect()}
     assert got == {1: ("success", "fix1", "repro1", None, None, None), 2: ("failed", None, "repro2", "ok", None, None), 3: ("failed", None, "repro3", None, "fix33", "Error: x3"),
                    4: ("success", "fix4", None, None, None, None), 5: ("failed", None, None, None, None, None)}
+
+
+def test_deliveries_of_the_stream_do_not_grow_with_the_partitions(spark, monkeypatch):
+    from lintel.plans import catalog
+
+    def delivered(spark, source, schema, *args, **kwargs):
+        files = spark.read.schema(schema).parquet(source)
+        assert len(files.inputFiles()) <= catalog.DELIVERED
+        return files
+
+    monkeypatch.setattr(catalog.STR, "stream_upsert", delivered)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        rows = catalog.q_stream_upsert(spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert rows == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
