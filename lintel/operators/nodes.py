@@ -26,15 +26,27 @@ their weights added up.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintel.operators.metrics import halstead_volume, maintainability_index, sqale_hours
 from lintel.operators.scan import segmented_running
+from lintel.session import scratch_path
 
 #: Characters of text whose events one segment of the running sum holds.
 SEGMENT = 1 << 16
 ROLES = ("control", "nesting", "encapsulation", "operator", "operand")
+#: Characters up to which an operand's text is its own key; longer ones are told apart by their digest.
+SHORT = 64
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` from a table in the shared folder: computed once, however often it is read, and of a size that Spark knows."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def rule_columns(rules: DataFrame) -> DataFrame:
@@ -43,8 +55,12 @@ def rule_columns(rules: DataFrame) -> DataFrame:
 
 
 def with_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Nodes with their weights by role, and whether they deepen what they hold. Spark broadcasts the rules once it knows that they are small."""
-    wide = rule_columns(rules)
+    """Nodes with their weights by role, and whether they deepen what they hold.
+
+    The rules are written down first: only if Spark knows their size before it plans the join does it send
+    small ones to the nodes, instead of dealing all nodes out by their few types.
+    """
+    wide = _written(rule_columns(rules), "rules")
     of_parent = wide.filter(F.col("__encapsulation").isNotNull()).select(F.col("node_type").alias("parent_type"), F.lit(True).alias("__held"))
     x = nodes.join(wide, "node_type", "left").join(of_parent, "parent_type", "left")
     return x.withColumn("__step", F.when(F.col("__nesting").isNotNull() & F.col("__held").isNull(), 1).otherwise(0)).drop("__held", "__encapsulation", "__nesting")
@@ -101,20 +117,50 @@ def node_depth(nodes: DataFrame, key: list[str], rules: DataFrame | None = None,
     return swept.filter(F.col("kind") > 0).select(*key, "node.*", "depth").drop("__step")
 
 
+def _costs(x: DataFrame, key: list[str]) -> DataFrame:
+    """``(key..., cost)``: weight * (1 + depth), summed over the control nodes that have an extent."""
+    x = x.filter(F.col("start").isNotNull() & F.col("end").isNotNull())
+    if "seq" in x.columns:  # what neither counts nor deepens has no part in the sweep; without seq it may link others
+        x = x.filter(F.col("__control").isNotNull() | (F.col("__step") != 0)).select(*key, "start", "end", "seq", "__step", "__control")
+    else:
+        x = x.select(*key, "start", "end", "node_type", "parent_type", "__step", "__control")
+    deep = node_depth(x, key, step="__step").filter(F.col("__control").isNotNull())
+    return deep.groupBy(*key).agg(F.sum(F.col("__control") * (1 + F.col("depth"))).alias("cost"))
+
+
 def analyze_nodes(nodes: DataFrame, rules: DataFrame, key: list[str], lines: DataFrame | None = None) -> DataFrame:
-    """M2-M6 and M8 (with ``lines(key..., lines_of_code)`` also M7) from a table of nodes, one row a key."""
+    """M2-M6 and M8 (with ``lines(key..., lines_of_code)`` also M7) from a table of nodes, one row a key.
+
+    The nodes are made once and written without their texts. Counts come from groups of
+    equal operators and operands, formed where the nodes are, costs from the sweep.
+    """
+    operand = F.coalesce("text", "node_type")
+    operand = F.when(F.length(operand) > SHORT, F.concat(F.lit("sha2:"), F.sha2(operand, 256))).otherwise(operand)
     x = with_rules(nodes, rules)
-    x = x.select(*key, "start", "end", "node_type", "parent_type", *(["seq"] if "seq" in nodes.columns else []), "__step", "__control",
-                 F.when(F.col("__operator").isNotNull(), F.col("node_type")).alias("__operator"),
-                 F.when(F.col("__operand").isNotNull(), F.coalesce("text", "node_type")).alias("__operand"))
-    nowhere = x.filter(F.col("start").isNull() | F.col("end").isNull()).withColumn("depth", F.lit(None).cast("long")).drop("__step")
-    x = node_depth(x, key, step="__step").unionByName(nowhere)
-    out = x.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("node_count"),
-        F.count("__control").cast("int").alias("complexity_score"),
-        F.coalesce(F.sum(F.col("__control") * (1 + F.col("depth"))), F.lit(0)).cast("long").alias("cognitive_complexity"),
-        F.count("__operator").alias("operators_total"), F.count_distinct("__operator").alias("operators_unique"),
-        F.count("__operand").alias("operands_total"), F.count_distinct("__operand").alias("operands_unique"))
+    x = _written(x.select(*key, "start", "end", "node_type", "parent_type", *(["seq"] if "seq" in nodes.columns else []), "__step", "__control",
+                          F.when(F.col("__operator").isNotNull(), F.col("node_type")).alias("__operator"),
+                          F.when(F.col("__operand").isNotNull(), operand).alias("__operand")), "nodes")
+    some = F.count(F.lit(1)).alias("n")
+    alike = x.groupBy(*key, "__operator", "__operand").agg(some, F.count("__control").alias("controls"))
+    n, one, none = F.col("n"), F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def row(kind: str, value: Column, count: Column, controls: Column = none) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), count.alias("n"), controls.alias("controls"))
+
+    parts = F.array(row("node", F.lit(None).cast("string"), n, F.col("controls")), row("operator", F.col("__operator"), n), row("operand", F.col("__operand"), n))
+    parts = alike.select(*key, F.inline(F.filter(parts, lambda p: (p["kind"] == "node") | p["value"].isNotNull())))
+    parts = parts.groupBy(*key, "kind", "value").agg(F.sum("n").alias("n"), F.sum("controls").alias("controls"), F.lit(0).cast("long").alias("cost"))
+    costs = _costs(x, key).select(*key, F.lit("cost").alias("kind"), F.lit(None).cast("string").alias("value"), none.alias("n"), none.alias("controls"), "cost")
+
+    def total(kind: str, of: Column) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("kind") == kind, of)), none)
+
+    out = parts.unionByName(costs).groupBy(*key).agg(
+        total("node", n).alias("node_count"),
+        total("node", F.col("controls")).cast("int").alias("complexity_score"),
+        total("cost", F.col("cost")).cast("long").alias("cognitive_complexity"),
+        total("operator", n).alias("operators_total"), total("operator", one).alias("operators_unique"),
+        total("operand", n).alias("operands_total"), total("operand", one).alias("operands_unique"))
     volume = halstead_volume(F.col("operators_total") + F.col("operands_total"), F.col("operators_unique") + F.col("operands_unique"))
     out = out.withColumn("halstead_volume", F.round(volume, 2)).withColumn("sqale_debt_hours", sqale_hours(F.col("cognitive_complexity")))
     if lines is None:

@@ -140,3 +140,26 @@ def test_exact_and_text_front_end_agree(spark):
     text = analyze(files, keep=key)
     same = ["complexity_score", "cognitive_complexity", "halstead_volume", "sqale_debt_hours", "lines_of_code", "maintainability_index"]
     assert sorted(map(tuple, exact.select(*key, *same).collect())) == sorted(map(tuple, text.select(*key, *same).collect()))
+
+
+def test_nodes_are_made_once_and_not_dealt_out_by_type(spark):
+    files = C.code_corpus(spark, "/root/testdata/sf0.001")
+    found = SX.python_nodes(files, ["repo", "file_path"])
+    weighed = N.with_rules(found, default_rules(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in weighed and weighed.count("BroadcastHashJoin") == 2
+    plan = N.analyze_nodes(found, default_rules(spark), ["repo", "file_path"])._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Expand" not in plan and "collect_list" not in plan
+
+
+def test_long_operands_are_told_apart(spark):
+    rows = [("f", i, i + 1, "name", None, t) for i, t in enumerate(["x" * 70, "x" * 70, "x" * 70 + "y", "x" * 64, "x", ""])]
+    out = N.analyze_nodes(spark.createDataFrame(rows, NODES), spark.createDataFrame([("name", "operand", 1)], R.RULE_SCHEMA), ["file_path"]).collect()
+    assert [(r.operands_total, r.operands_unique) for r in out] == [(6, 5)]
+
+
+def test_order_of_source_nodes_nests_equal_extents(spark):
+    files = spark.createDataFrame([("a", "match x:\n    case 1:\n        if y: z\nif a: b\nfor q in r: s\n")], "file_path string, content string")
+    nodes = SX.python_nodes(files, ["file_path"])
+    kinds = ["file_path", "start", "end", "node_type", "depth"]
+    with_seq, without = (N.node_depth(x, ["file_path"]).select(*kinds) for x in (nodes, nodes.drop("seq")))
+    assert sorted(map(tuple, with_seq.collect())) == sorted(map(tuple, without.collect()))
