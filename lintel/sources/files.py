@@ -1,9 +1,9 @@
 """File sources (S1-S3): scan a folder tree of ``*.py`` files as a DataFrame.
 
-``binaryFile`` lists and reads files in parallel tasks; the listing itself is
-done by Spark's file index (parallel listing above
-``spark.sql.sources.parallelPartitionDiscovery.threshold``). Ignored folders
-are removed with one array predicate on the path.
+Folders with the scheme ``file`` are listed and read by tasks (``local_files``).
+Other stores are read by ``binaryFile``, with Hadoop's settings; their listing is
+done by Spark's file index, which leaves out names that begin with ``_`` or ``.``.
+Ignored folders are removed with one array predicate on the path.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel import rules as R
+from lintel.sources import local_files as LF
 from lintel.sources.named_files import write_named
 
 
@@ -43,21 +44,26 @@ def scan_sources(spark: SparkSession, root: str, repo: str | None = None, snapsh
                  keep_invalid: bool = False) -> DataFrame:
     """S1 + S2 + S3: all ``*.py`` files below ``root`` with their UTF-8 text.
 
-    Files that are not valid UTF-8 are dropped (``keep_invalid`` keeps them
-    with NULL content, for ``quarantine``). A missing root is an error.
+    Files that are not valid UTF-8 or unreadable are dropped (``keep_invalid`` keeps
+    them with NULL content, for ``quarantine``). A missing root is an error.
     """
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
         raise FileNotFoundError(f"Directory not found: {root}")
-    raw = (spark.read.format("binaryFile")
-           .option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.py")
-           .option("ignoreCorruptFiles", "true")
-           .load(root)
-           .select("path", "content"))
-    raw = raw.withColumn("file_path", F.regexp_replace("path", r"^file:/*", "/"))
-    raw = prune_ignored(raw, "file_path")
+    if fs.getUri().getScheme() == "file" and fs.getFileStatus(jvm_path).isDirectory():
+        shown = F.make_valid_utf8(F.col("path").cast("string"))
+        listed = LF.list_files(spark, fs.makeQualified(jvm_path).toUri().getPath(), ".py", skip=R.IGNORE_DIRS)
+        kept = prune_ignored(listed.withColumn("file_path", shown))
+        raw = LF.read_files(kept).withColumn("file_path", shown)
+    else:
+        raw = (spark.read.format("binaryFile")
+               .option("recursiveFileLookup", "true")
+               .option("pathGlobFilter", "*.py")
+               .option("ignoreCorruptFiles", "true")
+               .load(root)
+               .select("path", "content"))
+        raw = prune_ignored(raw.withColumn("file_path", F.regexp_replace("path", r"^file:/*", "/")))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     df = raw.select(
         F.lit(repo or root.rstrip("/").rsplit("/", 1)[-1]).alias("repo"),
