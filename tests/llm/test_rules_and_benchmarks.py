@@ -1,8 +1,11 @@
 """Operators 4 and 6: URL rules and benchmark overlaps against brute force."""
 
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 
 from pyspark.sql import functions as F
 
@@ -110,6 +113,38 @@ def test_overlaps_with_replaced_words(spark, monkeypatch):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 == decontaminate.contaminated(d, b.limit(0)).count()
 
 
+def test_items_of_equal_words_and_hits_in_parts(spark, monkeypatch):
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefgh", k=3))
+    items = [(k, " ".join(word() for _ in range(r.choice([3, 7, 12, 20])))) for k in range(8)]
+    items += [(100 + k, f"{u.upper()}.") for k, u in items] + [(3, items[5][1]), (200, "a a a a a a a a a a a a")]
+    docs = [(i, " ".join([word(), *[x for k in r.sample(range(8), 4) for x in (items[k][1], word())] * 5])) for i in range(6)]
+    docs += [(4, items[0][1]), (4, items[7][1] + " x"), (7, "a " * 60), (8, None)]
+    d, b = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = sorted(decontaminate.contaminated(d, b).collect())
+    assert {(x.doc_id, x.item_id) for x in got} == brute(docs, items) and len(got) == len({x[:2] for x in got})
+    monkeypatch.setattr(decontaminate, "BROADCAST_HITS", 0)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 30)
+    assert sorted(decontaminate.contaminated(d, b).collect()) == got
+
+
+def test_a_long_document_full_of_items_fits_a_small_heap():
+    """Each of its 667 passages has some 50 hits in each of 20 items: a copy of the words for each hit takes 480 KB."""
+    code = """
+from lintel.session import get_spark
+spark = get_spark("local[2]", **{"spark.driver.memory": "700m"})
+from lintel.llm import decontaminate
+passage = [f"word{i}" for i in range(30)]
+items = [(k, " ".join([*passage[:-1], f"end{k}"])) for k in range(20)]
+d = spark.createDataFrame([(1, " ".join(passage * 667)), (2, "nothing " * 50)], "doc_id int, text string")
+found = decontaminate.contaminated(d, spark.createDataFrame(items, "item_id int, text string")).collect()
+print("FOUND", sorted((x.doc_id, x.item_id, x.matched_words, x.run_words, x.item_words) for x in found) == [(1, k, 29, 13, 30) for k in range(20)])
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, cwd=root, capture_output=True, text=True, timeout=300)
+    assert "FOUND True" in said.stdout, said.stderr[-2000:]
+
+
 def test_masks_see_every_run_with_a_quarter_replaced():
     for n in range(1, decontaminate.WINDOW + 1):
         masks = decontaminate.MASKS[:2] if n >= decontaminate.LONG else [decontaminate.OF_SHORT[n]]
