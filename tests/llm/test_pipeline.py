@@ -1,5 +1,9 @@
 """The corpus pipeline: what each stage keeps, on whole small tables and on edges."""
 
+import os
+import subprocess
+import sys
+
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +56,22 @@ def test_empty_documents(spark, docs):
     empty = docs.limit(0)
     for _, stage in C.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_decontamination_of_a_long_document_full_of_items_fits_a_small_heap(tmp_path):
+    code = """
+import sys
+import corpus_pipeline
+from lintel.session import get_spark
+spark = get_spark("local[2]", **{"spark.driver.memory": "700m"})
+passage = [f"word{i}" for i in range(30)]
+items = [(k, " ".join([*passage[:-1], f"end{k}"])) for k in range(20)]
+spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sys.argv[1]}/benchmark.parquet")
+texts = [(1, " ".join(passage * 667)), (None, items[4][1]), (2, "nothing " * 50), (2, "else " * 50), (None, None)]
+docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+left = corpus_pipeline.decontaminated(spark, docs, sys.argv[1]).collect()
+print("LEFT", sorted(str((x.doc_id, (x.text or "")[:3])) for x in left) == sorted(["(2, 'not')", "(2, 'els')", "(None, '')"]))
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = subprocess.run([sys.executable, "-c", code, str(tmp_path)], env=os.environ | {"PYTHONPATH": root}, cwd=root, capture_output=True, text=True, timeout=300)
+    assert "LEFT True" in said.stdout, said.stderr[-2000:]
